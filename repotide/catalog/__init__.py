@@ -1 +1,6 @@
-"""See the package README for the list of operators."""
+"""All registered queries."""
+
+from repotide.catalog import extract_queries, path_queries, source_queries, text_queries  # noqa: F401
+from repotide.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

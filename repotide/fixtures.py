@@ -154,6 +154,14 @@ SELECT repo_id, dir || '/m' || CAST(file_id AS STRING) || '/index.js' AS path, f
   || chr(10) || 'export * from ''../f' || CAST(file_id AS STRING) || ''';' || chr(10) AS content
 FROM fx_links WHERE up_id IS NOT NULL AND p_size > 30"""
 
+# Directories with an index file that names its first and last file; the other files are gaps.
+VIEWS["fx_dir_sources"] = """
+SELECT repo_id, path, 'export const v = 1;' || chr(10) AS content FROM fx_paths
+UNION ALL
+SELECT repo_id, dir || '/index.js' AS path, 'export * from "./f' || CAST(min(file_id) AS STRING) || '";' || chr(10)
+  || 'export { v } from ''./f' || CAST(max(file_id) AS STRING) || '.js'';' || chr(10) AS content
+FROM fx_paths WHERE path LIKE '%.js' AND path NOT LIKE '%.test.%' GROUP BY repo_id, dir"""
+
 # An audit document per file in one of three layouts.
 VIEWS["fx_audits"] = """
 SELECT file_id, repo_id, p_size, p_name, dir, path AS module_path,

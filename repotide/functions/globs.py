@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _STARS = re.compile(r"(\*\*/|\*\*|\*)")
-_META = re.compile(r"([\\^$+?.()|{}\[\]])")
+_META = re.compile(r"([\\^$*+?.()|{}\[\]])")
 
 
 def _literal(text: str) -> str:
