@@ -10,8 +10,8 @@ from repotide.functions.paths import file_kind
 from repotide.operators import entropy, extract
 from repotide.sources import audit_docs
 
-_ERR = "JOIN events e ON e.event_id = r.run_id"
 _TESTS = "path LIKE '%.test.%'"
+_TEST_FILES = "path LIKE '%.test.%' AND path NOT LIKE '%.md'"
 _SPEC = "to_root || replace(replace(replace(up_path, '.js', ''), '.py', ''), '.md', '')"
 
 
@@ -84,7 +84,7 @@ def _(spark, sf):
 
 
 @query("c04_test_imports", f"""SELECT repo_id, path, s || '_' || up_id AS symbol, {_SPEC} AS from_path
- FROM (SELECT *, unnest(['fn', 'v']) AS s FROM fx_links) WHERE up_id IS NOT NULL AND {_TESTS}""")
+ FROM (SELECT *, unnest(['fn', 'v']) AS s FROM fx_links) WHERE up_id IS NOT NULL AND {_TEST_FILES}""")
 def _(spark, sf):
     return extract.extract_test_imports(extract.without_comments(_tests(spark, sf)))
 
@@ -138,14 +138,10 @@ def _(spark, sf):
     return extract.rule_scan(_code(spark, sf), extract.PACK_MODULE).groupBy("message", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SMELL = f"""SELECT repo_id, path, 'weak' AS type, CAST(1 + 1 + CASE WHEN up_id IS NULL THEN 0 ELSE 1 END AS INT) AS line, 'toBeDefined()' AS description FROM (
-   SELECT *, unnest([1, 2]) FROM fx_links WHERE {_TESTS} AND p_size BETWEEN 21 AND 30)"""
-
-
 @query("c08_smell_scan", f"""WITH t AS (SELECT *, 1 + CASE WHEN up_id IS NULL THEN 0 ELSE 1 END + CASE WHEN jump_id IS NULL OR p_size <= 40 THEN 0 ELSE 1 END + CASE WHEN p_size > 46 THEN 2 ELSE 0 END + 1 AS l0
      FROM fx_links WHERE {_TESTS})
  SELECT repo_id, path, 'weak' AS type, CAST(l0 + 1 AS INT) AS line, 'toBeDefined()' AS description FROM (SELECT *, unnest([1, 2]) FROM t WHERE p_size BETWEEN 21 AND 30)
- UNION ALL SELECT repo_id, path, 'skipped', CAST(l0 + 1 + CASE WHEN p_size > 40 THEN 0 ELSE 1 END AS INT), 'skipped' FROM t WHERE p_size > 44
+ UNION ALL SELECT repo_id, path, 'skipped', CAST(l0 + 2 AS INT), 'skipped' FROM t WHERE p_size > 44
  UNION ALL SELECT repo_id, path, 'commented', CAST(l0 + 3 AS INT), 'commented out' FROM t WHERE p_size BETWEEN 15 AND 18
  UNION ALL SELECT repo_id, path, 'commented', CAST(l0 + 4 AS INT), 'block commented out' FROM t WHERE p_size BETWEEN 15 AND 18
  UNION ALL SELECT repo_id, path, 'flaky', CAST(l0 + 3 AS INT), unnest(['setTimeout', 'Date.now()']) FROM t WHERE p_size BETWEEN 10 AND 14""")
@@ -161,7 +157,7 @@ def _(spark, sf):
     return smell_stats(extract.smell_scan(_tests(spark, sf)))
 
 
-@query("c09_test_blocks", f"""SELECT repo_id, path, 'works ' || file_id AS name, p_size > 30 AS pseudo, p_size > 40 AS empty FROM fx_paths WHERE {_TESTS}""")
+@query("c09_test_blocks", f"""SELECT repo_id, path, 'works ' || file_id AS name, p_size > 30 AS pseudo, p_size > 40 AS empty FROM fx_paths WHERE {_TEST_FILES}""")
 def _(spark, sf):
     return extract.test_blocks(_tests(spark, sf)).filter(F.col("name").startswith("works")).select(
         "repo_id", "path", "name", "pseudo", "empty")

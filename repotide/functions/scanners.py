@@ -7,6 +7,13 @@ from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_MATCHES = T.ArrayType(T.StructType([
+    T.StructField("type", T.StringType()), T.StructField("line", T.IntegerType()),
+    T.StructField("description", T.StringType()), T.StructField("context", T.StringType())]))
+_BLOCKS = T.ArrayType(T.StructType([
+    T.StructField("name", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("body", T.StringType())]))
 
 _TOKEN = re.compile(
     r"'(?:\\[\s\S]|[^'\\])*(?:'|\\?\Z)" r'|"(?:\\[\s\S]|[^"\\])*(?:"|\\?\Z)' r"|`(?:\\[\s\S]|[^`\\])*(?:`|\\?\Z)"
@@ -25,7 +32,7 @@ def _blank(match: re.Match) -> str:
     return token
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_comments(texts: pd.Series) -> pd.Series:
     """Comments become blanks (newlines stay); string and template literals are kept."""
     return texts.map(lambda t: None if t is None else _TOKEN.sub(_blank, t))
@@ -59,7 +66,7 @@ def match_scanner(patterns: list[tuple[str, str, str]]):
     """Column function: every match of every pattern with the line where it starts."""
     compiled = [(kind, re.compile(p), desc) for kind, p, desc in patterns]
 
-    @F.pandas_udf("array<struct<type: string, line: int, description: string, context: string>>")
+    @F.pandas_udf(_MATCHES)
     def scan(texts: pd.Series) -> pd.Series:
         def one(text):
             if text is None:
@@ -91,6 +98,6 @@ def find_test_blocks(text: str | None) -> list[dict]:
     return blocks
 
 
-@F.pandas_udf("array<struct<name: string, line: int, body: string>>")
+@F.pandas_udf(_BLOCKS)
 def test_block_array(texts: pd.Series) -> pd.Series:
     return texts.map(find_test_blocks)

@@ -52,9 +52,7 @@ def console_residue(files: DataFrame) -> DataFrame:
 def swallowed_errors(files: DataFrame) -> DataFrame:
     """Empty catch blocks and catch blocks that only rethrow, one row per match."""
     forms = {"empty catch": r"catch\s*\([^)]*\)\s*\{\s*\}", "bare rethrow": r"catch.*\{[^}]*throw\s+\w+\s*;?\s*\}"}
-    found = F.concat(*[
-        F.transform(F.regexp_extract_all("content", F.lit(f"({p})"), F.lit(1)), lambda _m, n=name: F.lit(n))
-        for name, p in forms.items()])
+    found = F.concat(*[F.array_repeat(F.lit(name), F.regexp_count("content", F.lit(p))) for name, p in forms.items()])
     return files.select(F.lit(4).alias("check_id"), *FILE, F.explode(found).alias("detail")).select(
         "check_id", *FILE, F.lit(0).alias("line"), "detail")
 

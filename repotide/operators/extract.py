@@ -40,13 +40,13 @@ def extract_imports(files: DataFrame, language: str = "javascript", require: boo
     text = F.col("content")
     forms = PYTHON_IMPORTS if language == "python" else IMPORT_FORMS + ([REQUIRE_FORM] if require else [])
     specs = F.concat(*[_all(text, p) for p in forms])
-    trimmed = F.filter(F.array_distinct(F.transform(specs, F.trim)), lambda s: s != "")
+    trimmed = F.filter(F.array_distinct(F.transform(specs, lambda s: F.trim(s))), lambda s: s != "")
     return files.select(*FILE, F.explode(trimmed).alias("spec"))
 
 
 def _listed(text: Column) -> Column:
     """Exported names of the items of ``{ a, b as c }`` lists."""
-    items = F.transform(F.split(text, ","), F.trim)
+    items = F.transform(F.split(text, ","), lambda s: F.trim(s))
     names = F.transform(items, lambda s: F.when(
         s.rlike(r"^[\w$]+\s+as\s+[\w$]+$"), F.regexp_extract(s, r"([\w$]+)$", 1)
     ).when(s.rlike(r"^[\w$]+$"), s).otherwise(""))
@@ -89,7 +89,7 @@ def extract_test_imports(tests: DataFrame) -> DataFrame:
     pairs = F.concat(*[F.arrays_zip(_all(text, p, 1).alias("symbols"), _all(text, p, 2).alias("from_path"))
                        for p in (named, default)])
     rows = tests.select(*FILE, F.explode(pairs).alias("i")).filter(F.col("i.from_path").startswith("."))
-    symbol = F.explode(F.filter(F.transform(F.split("i.symbols", ","), F.trim), lambda s: s != ""))
+    symbol = F.explode(F.filter(F.transform(F.split("i.symbols", ","), lambda s: F.trim(s)), lambda s: s != ""))
     rows = rows.select(*FILE, F.col("i.from_path").alias("from_path"), symbol.alias("symbol"))
     return rows.withColumn("symbol", F.when(
         F.col("symbol").rlike(r"\w+\s+as\s+\w+"), F.regexp_extract("symbol", r"(\w+)\s+as\s+\w+", 1)
@@ -113,7 +113,7 @@ def reexport_map(index_files: DataFrame) -> DataFrame:
     rows = rows.select(
         REPO, F.col("path").alias("index_path"), "pos",
         with_js(join_path(dir_name(F.col("path")), F.col("e.from_path"))).alias("source_path"),
-        F.explode(F.filter(F.transform(F.split("e.symbols", ","), F.trim), lambda s: s != "")).alias("symbol"))
+        F.explode(F.filter(F.transform(F.split("e.symbols", ","), lambda s: F.trim(s)), lambda s: s != "")).alias("symbol"))
     symbol = F.when(F.col("symbol").rlike(r"\w+\s+as\s+\w+"), F.regexp_extract("symbol", r"\w+\s+as\s+(\w+)", 1)
                     ).otherwise(F.col("symbol"))
     rows = rows.withColumn("symbol", symbol)
