@@ -1,7 +1,312 @@
-"""placeholder"""
-from repotide.session import REPO
+"""Import-graph operators; ``edges(repo_id, src, dst)`` means "src imports dst".
 
+Iterative operators are loops of DataFrame joins over a shrinking frontier. Each round is fixed by
+a reliable checkpoint, so plans stay short and a lost executor costs one round at most. Neighbour
+lists are rows, never arrays: a hub may have any number of them.
+"""
 
-def reverse_edges(edges):
-    from pyspark.sql import functions as F
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from repotide.functions.paths import in_scope
+from repotide.operators.extract import extract_exports, extract_imports, without_comments
+from repotide.operators.joins import resolve_imports
+from repotide.session import REPO, cut
+
+NODE = [REPO, "node"]
+
+
+def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.select(REPO, F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, exports) of source files; isolated files stay nodes."""
+    clean = without_comments(files)
+    resolved = resolve_imports(extract_imports(clean), files)
+    edges = resolved.select(REPO, F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
+    return files.select(REPO, F.col("path").alias("node")), edges, extract_exports(clean)
+
+
+def endpoints(edges: DataFrame) -> DataFrame:
+    return edges.select(REPO, F.col("src").alias("node")).unionByName(
+        edges.select(REPO, F.col("dst").alias("node"))).distinct()
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Import and importer counts per node."""
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    ends = edges.select(REPO, F.col("src").alias("node"), one.alias("o"), zero.alias("i")).unionByName(
+        edges.select(REPO, F.col("dst").alias("node"), zero.alias("o"), one.alias("i")))
+    counted = ends.groupBy(*NODE).agg(F.sum("o").alias("imports"), F.sum("i").alias("imported_by"))
+    return nodes.select(*NODE).join(counted, NODE, "left").na.fill(0, ["imports", "imported_by"])
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame, exports: DataFrame | None = None) -> DataFrame:
+    """(node, relation, neighbour): imports, imported_by and exports of each node, in long form."""
+    rows = edges.select(REPO, F.col("src").alias("node"), F.lit("imports").alias("relation"), F.col("dst").alias("neighbour")
+                        ).unionByName(edges.select(REPO, F.col("dst").alias("node"), F.lit("imported_by").alias("relation"),
+                                                   F.col("src").alias("neighbour")))
+    if exports is not None:
+        rows = rows.unionByName(exports.select(REPO, "node", F.lit("exports").alias("relation"), F.col("symbol").alias("neighbour")))
+    return rows.join(nodes.select(*NODE).distinct(), NODE, "left_semi").distinct()
+
+
+def neighbours(edges: DataFrame, keys: DataFrame, exports: DataFrame | None = None) -> DataFrame:
+    """The adjacency rows of the asked files only."""
+    return adjacency(keys, edges, exports)
+
+
+def module_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(module stats, module edges). ``nodes``: repo_id, node, module; self loops are dropped."""
+    side = lambda end: nodes.select(REPO, F.col("node").alias(end), F.col("module").alias(f"{end}_module"))
+    links = edges.join(side("src"), [REPO, "src"]).join(side("dst"), [REPO, "dst"]).select(
+        REPO, "src_module", "dst_module").filter("src_module <> dst_module").distinct()
+    files = nodes.groupBy(REPO, "module").agg(F.count(F.lit(1)).alias("files"))
+    out = links.groupBy(REPO, F.col("src_module").alias("module")).agg(F.count(F.lit(1)).alias("out_degree"))
+    inn = links.groupBy(REPO, F.col("dst_module").alias("module")).agg(F.count(F.lit(1)).alias("in_degree"))
+    stats = files.join(inn, [REPO, "module"], "left").join(out, [REPO, "module"], "left").na.fill(0, ["in_degree", "out_degree"])
+    return stats, links
+
+
+def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Files without imports and importers."""
+    return nodes.select(*NODE).join(edges.select(REPO, F.col("src").alias("node")), NODE, "left_anti").join(
+        edges.select(REPO, F.col("dst").alias("node")), NODE, "left_anti")
+
+
+def _trim(edges: DataFrame, steps: int = 3) -> DataFrame:
+    """Drop edges that cannot lie between cycles: repeatedly those from sources or into sinks."""
+    size = -1
+    while True:
+        for _ in range(steps):
+            heads = edges.select(REPO, F.col("dst").alias("src")).distinct()
+            tails = edges.select(REPO, F.col("src").alias("dst")).distinct()
+            edges = edges.join(heads, [REPO, "src"], "left_semi").join(tails, [REPO, "dst"], "left_semi")
+        edges = cut(edges)
+        left = edges.count()
+        if left in (0, size):
+            return edges
+        size = left
+
+
+def _min_labels(edges: DataFrame) -> DataFrame:
+    """(node, f, b): smallest node that reaches it and smallest node it reaches, itself included.
+
+    Only labels that changed in a round are sent in the next one.
+    """
+    labels = cut(endpoints(edges).select(*NODE, F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")))
+    while True:
+        active = labels.filter("moved").select(*NODE, "f", "b")
+        none = F.lit(None).cast(labels.schema["f"].dataType)
+        forward = edges.join(active.withColumnRenamed("node", "src"), [REPO, "src"]).select(
+            REPO, F.col("dst").alias("node"), "f", none.alias("b"), none.alias("old_f"), none.alias("old_b"))
+        backward = edges.join(active.withColumnRenamed("node", "dst"), [REPO, "dst"]).select(
+            REPO, F.col("src").alias("node"), none.alias("f"), "b", none.alias("old_f"), none.alias("old_b"))
+        kept = labels.select(*NODE, "f", "b", F.col("f").alias("old_f"), F.col("b").alias("old_b"))
+        merged = kept.unionByName(forward).unionByName(backward).groupBy(*NODE).agg(
+            F.min("f").alias("f"), F.min("b").alias("b"), F.max("old_f").alias("old_f"), F.max("old_b").alias("old_b"))
+        labels = cut(merged.select(*NODE, "f", "b", ((F.col("f") < F.col("old_f")) | (F.col("b") < F.col("old_b"))).alias("moved")))
+        if labels.filter("moved").isEmpty():
+            return labels.select(*NODE, "f", "b")
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(repo_id, node, component) of nodes on a cycle; the component is its smallest node.
+
+    A node whose two smallest labels agree belongs to that label's component. Resolved components
+    leave, edges between different label pairs cannot lie on a cycle and leave too, and the rest is
+    solved again; every pass resolves at least the smallest node left.
+    """
+    core = _trim(edges.select(REPO, "src", "dst").filter("src <> dst").distinct())
+    found = None
+    while not core.isEmpty():
+        labels = _min_labels(core)
+        solved = labels.filter("f = b").select(*NODE, F.col("f").alias("component"))
+        found = solved if found is None else found.unionByName(solved)
+        open_ = labels.filter("f <> b")
+        ends = lambda e: open_.select(REPO, F.col("node").alias(e), F.col("f").alias(f"{e}_f"), F.col("b").alias(f"{e}_b"))
+        core = _trim(core.join(ends("src"), [REPO, "src"]).join(ends("dst"), [REPO, "dst"]).filter(
+            (F.col("src_f") == F.col("dst_f")) & (F.col("src_b") == F.col("dst_b"))).select(REPO, "src", "dst"))
+    if found is None:
+        return endpoints(edges).withColumn("component", F.col("node")).limit(0)
+    big = found.groupBy(REPO, "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(REPO, "component")
+    return cut(found.join(big, [REPO, "component"], "left_semi").select(*NODE, "component"))
+
+
+def scc(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(repo_id, node, component) of every node; a node on no cycle is its own component."""
+    every = endpoints(edges) if nodes is None else endpoints(edges).unionByName(nodes.select(*NODE)).distinct()
+    return every.join(cyclic_nodes(edges), NODE, "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """Cycle groups: component and its size. The members are the rows of ``cyclic_nodes``."""
+    return cyclic_nodes(edges).groupBy(REPO, "component").agg(F.count(F.lit(1)).alias("size"))
+
+
+def condense(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """Edges between components (acyclic). ``cyclic`` holds only the nodes on cycles."""
+    side = lambda end: cyclic.select(REPO, F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    return edges.join(side("src"), [REPO, "src"], "left").join(side("dst"), [REPO, "dst"], "left").select(
+        REPO, F.coalesce("src_c", "src").alias("src"), F.coalesce("dst_c", "dst").alias("dst")).filter("src <> dst").distinct()
+
+
+def component_of(rows: DataFrame, cyclic: DataFrame, node: str = "node") -> DataFrame:
+    """``rows`` with the component of ``node``."""
+    return rows.join(cyclic.select(REPO, F.col("node").alias(node), "component"), [REPO, node], "left").withColumn(
+        "component", F.coalesce("component", node))
+
+
+def closure(dag: DataFrame, starts: DataFrame) -> DataFrame:
+    """(repo_id, start, node) pairs with ``node`` depending on ``start`` (importers), start included.
+
+    Semi-naive: only new pairs are extended. ``starts``: repo_id, start. Run it on a condensed graph
+    so that no pairs inside a cycle are made.
+    """
+    pair = [REPO, "start", "node"]
+    frontier = cut(starts.select(REPO, "start", F.col("start").alias("node")).distinct())
+    seen = frontier
+    importers = dag.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
+    while True:
+        step = frontier.join(importers, NODE).select(REPO, "start", F.col("next").alias("node")).distinct()
+        frontier = cut(step.join(seen, pair, "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(frontier))
+
+
+def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(repo_id, node, dependents): transitive importers of each start, itself not counted."""
+    cyclic = cyclic_nodes(edges)
+    asked = component_of(starts.select(*NODE).distinct(), cyclic)
+    sizes = cyclic.groupBy(REPO, "component").agg(F.count(F.lit(1)).alias("size"))
+    pairs = closure(condense(edges, cyclic), asked.select(REPO, F.col("component").alias("start")))
+    weighed = pairs.join(sizes.withColumnRenamed("component", "node"), NODE, "left")
+    total = weighed.groupBy(REPO, F.col("start").alias("component")).agg(
+        (F.sum(F.coalesce("size", F.lit(1))) - 1).alias("dependents"))
+    return asked.join(total, [REPO, "component"]).select(*NODE, "dependents")
+
+
+def _levels(edges: DataFrame, starts: DataFrame, depth: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Nodes with the first level at which ``step`` (frontier -> repo_id, node) reaches them."""
+    seen = starts.select(*NODE).distinct().withColumn("level", F.lit(0))
+    frontier = seen
+    for level in range(1, depth + 1):
+        fresh = step(frontier).distinct().join(seen, NODE, "left_anti").withColumn("level", F.lit(level))
+        if level > 2:  # shallow walks stay one lazy plan
+            fresh = cut(fresh)
+            if fresh.isEmpty():
+                break
+        seen, frontier = seen.unionByName(fresh), fresh
+    return seen
+
+
+def impact(edges: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:
+    """(repo_id, node, level): importers at hop 1 and 2 of the changed files, those excluded."""
+    depth = max(0, min(2, depth))
+    importers = edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
+    step = lambda f: f.join(importers, NODE).select(REPO, F.col("next").alias("node"))
+    return _levels(edges, changed, depth, step).filter("level > 0")
+
+
+MAX_FOCUS_DEPTH, MIN_FOCUS_NODES, MAX_FOCUS_NODES = 10, 50, 5000
+
+
+def focus(edges: DataFrame, start: DataFrame, depth: int = 2, max_nodes: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes with level, edges among them, one row per repository with size and too_large).
+
+    Both directions from the start files. Nothing is dropped when the limit is passed; the flag
+    tells a viewer to narrow the question.
+    """
+    depth = max(0, min(MAX_FOCUS_DEPTH, depth))
+    max_nodes = max(MIN_FOCUS_NODES, min(MAX_FOCUS_NODES, max_nodes))
+    both = edges.select(REPO, F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(
+        edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next")))
+    step = lambda f: f.join(both, NODE).select(REPO, F.col("next").alias("node"))
+    nodes = _levels(edges, start, depth, step)
+    size = nodes.groupBy(REPO).agg(F.count(F.lit(1)).alias("nodes")).withColumn("too_large", F.col("nodes") >= max_nodes)
+    return nodes, induced(edges, nodes), size
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends in ``nodes``."""
+    keep = nodes.select(*NODE).distinct()
+    return edges.join(keep.withColumnRenamed("node", "src"), [REPO, "src"], "left_semi").join(
+        keep.withColumnRenamed("node", "dst"), [REPO, "dst"], "left_semi")
+
+
+def module_subgraph(nodes: DataFrame, edges: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes under a directory (by ``path``) and the edges inside it."""
+    inside = nodes.filter(in_scope(F.col("path"), prefix))
+    return inside, induced(edges, inside)
+
+
+def fix_graph(edges: DataFrame, involved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges dependency -> dependent among the involved files, node degrees)."""
+    links = reverse_edges(induced(edges.filter("src <> dst"), involved)).distinct()
+    degree = degrees(involved.select(*NODE).distinct(), links)
+    return links, degree.select(*NODE, F.col("imports").alias("out_degree"), F.col("imported_by").alias("in_degree"))
+
+
+def peel(links: DataFrame, nodes: DataFrame, break_cycles: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node with layer, nodes left over): layers of nodes whose predecessors are all in earlier ones.
+
+    ``links``: src before dst. Without ``break_cycles`` nodes on or behind a cycle are left over. With
+    it, a repository that is stuck releases the one node of smallest in-degree (smallest name).
+    """
+    todo = nodes.select(*NODE).distinct()
+    inner = induced(links.filter("src <> dst"), todo).select(REPO, "src", "dst").distinct()
+    waits = inner.groupBy(REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
+    state = cut(todo.join(waits, NODE, "left").na.fill(0, ["indeg"]))
+    done, layer = None, 0
+    while True:
+        if break_cycles:
+            best = state.groupBy(REPO).agg(F.min(F.struct("indeg", "node")).alias("_b"))
+            marked = state.join(best, REPO).withColumn(
+                "_go", (F.col("indeg") == 0) | ((F.col("_b.indeg") > 0) & (F.col("node") == F.col("_b.node")))).drop("_b")
+        else:
+            marked = state.withColumn("_go", F.col("indeg") == 0)
+        ready = cut(marked.filter("_go").select(*NODE))
+        if ready.isEmpty():
+            break
+        tagged = ready.withColumn("layer", F.lit(layer))
+        done = tagged if done is None else done.unionByName(tagged)
+        freed = inner.join(ready.withColumnRenamed("node", "src"), [REPO, "src"], "left_semi").groupBy(
+            REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_freed"))
+        state = cut(marked.filter(~F.col("_go")).select(*NODE, "indeg").join(freed, NODE, "left").select(
+            *NODE, F.greatest(F.col("indeg") - F.coalesce("_freed", F.lit(0)), F.lit(0)).alias("indeg")))
+        layer += 1
+        if state.isEmpty():
+            break
+    if done is None:
+        done = state.select(*NODE, F.lit(0).alias("layer")).limit(0)
+    return done, state.select(*NODE)
+
+
+def topo_layers(edges: DataFrame, nodes: DataFrame, links_are_ordered: bool = False) -> DataFrame:
+    """(node, component, layer): dependencies in earlier layers, cycles as one component."""
+    links = edges if links_are_ordered else reverse_edges(edges)
+    links = induced(links, nodes)
+    cyclic = cyclic_nodes(links)
+    placed = component_of(nodes.select(*NODE).distinct(), cyclic)
+    layers, _ = peel(condense(links, cyclic), placed.select(REPO, F.col("component").alias("node")))
+    return placed.join(layers.withColumnRenamed("node", "component"), [REPO, "component"]).select(*NODE, "component", "layer")
+
+
+def topo_order(edges: DataFrame, nodes: DataFrame, links_are_ordered: bool = False) -> DataFrame:
+    """(node, layer, position): dependency before dependent, by layer, component, name."""
+    from repotide.operators.windows import number_rows
+
+    layers = topo_layers(edges, nodes, links_are_ordered)
+    return number_rows(layers, [REPO], [F.col("layer"), F.col("component"), F.col("node")], "position").select(
+        *NODE, "layer", "position")
+
+
+def topo_batches(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, batch) for parallel work; a stuck repository releases one node at a time."""
+    return peel(links, nodes, break_cycles=True)[0].withColumnRenamed("layer", "batch")
