@@ -201,7 +201,7 @@ def _(spark, sf):
 
 
 _ATESTS = """src AS (SELECT repo_id, node, 1 AS level FROM direct UNION ALL SELECT repo_id, node, level + 1 FROM prop),
-  at AS (SELECT t.repo_id, t.test_path, CAST(coalesce(min(s.level), 99) AS INT) AS level FROM fx_test_map t LEFT JOIN src s ON s.node = t.source_id GROUP BY 1, 2)"""
+  aft AS (SELECT t.repo_id, t.test_path, CAST(coalesce(min(s.level), 99) AS INT) AS level FROM fx_test_map t LEFT JOIN src s ON s.node = t.source_id GROUP BY 1, 2)"""
 
 
 def _affected(spark, sf):
@@ -209,14 +209,14 @@ def _affected(spark, sf):
     return impact.affected_tests(direct, impact.propagate(_edges(spark, sf), direct), smap, smap)
 
 
-@query("e21_affected_tests", f"WITH {DIRECT}, {LEVELS}, {_ATESTS} SELECT * FROM at")
+@query("e21_affected_tests", f"WITH {DIRECT}, {LEVELS}, {_ATESTS} SELECT * FROM aft")
 def _(spark, sf):
     return _affected(spark, sf)
 
 
 @query("e22_test_order", f"""WITH {DIRECT}, {LEVELS}, {_ATESTS}, rk AS (SELECT repo_id, source_id, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, source_id) - 1 AS r FROM fx_test_map GROUP BY 1, 2),
   b AS (SELECT m.repo_id, m.test_path, min(rk.r) AS r FROM fx_test_map m JOIN rk USING (repo_id, source_id) GROUP BY 1, 2)
- SELECT at.repo_id, at.test_path, at.level, row_number() OVER (PARTITION BY at.repo_id ORDER BY at.level, coalesce(b.r, 1000000000), at.test_path) AS position FROM at LEFT JOIN b USING (repo_id, test_path)""")
+ SELECT aft.repo_id, aft.test_path, aft.level, row_number() OVER (PARTITION BY aft.repo_id ORDER BY aft.level, coalesce(b.r, 1000000000), aft.test_path) AS position FROM aft LEFT JOIN b USING (repo_id, test_path)""")
 def _(spark, sf):
     smap = _source_map(spark, sf)
     counted = smap.groupBy("repo_id", "source").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ lists are rows, never arrays: a hub may have any number of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from repotide.functions.paths import in_scope
 from repotide.operators.extract import extract_exports, extract_imports, without_comments
 from repotide.operators.joins import resolve_imports
-from repotide.session import REPO, cut
+from repotide.session import REPO, cut, release
 
 NODE = [REPO, "node"]
+COMPACT_EVERY = 8  # rounds after which a union of per-round tables is written as one
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -79,19 +81,22 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select(REPO, F.col("dst").alias("node")), NODE, "left_anti")
 
 
-def _trim(edges: DataFrame, steps: int = 3) -> DataFrame:
-    """Drop edges that cannot lie between cycles: repeatedly those from sources or into sinks."""
-    size = -1
-    while True:
-        for _ in range(steps):
-            heads = edges.select(REPO, F.col("dst").alias("src")).distinct()
-            tails = edges.select(REPO, F.col("src").alias("dst")).distinct()
-            edges = edges.join(heads, [REPO, "src"], "left_semi").join(tails, [REPO, "dst"], "left_semi")
-        edges = cut(edges)
-        left = edges.count()
-        if left in (0, size):
-            return edges
-        size = left
+def _trim(edges: DataFrame) -> DataFrame:
+    """Drop edges that cannot lie between cycles: repeatedly those from sources or into sinks.
+
+    ``edges`` is a table made by ``cut``; the result is one too.
+    """
+    size = edges.count()
+    while size:
+        heads = edges.select(REPO, F.col("dst").alias("src")).distinct()
+        tails = edges.select(REPO, F.col("src").alias("dst")).distinct()
+        left = cut(edges.join(heads, [REPO, "src"], "left_semi").join(tails, [REPO, "dst"], "left_semi"))
+        before, size = size, left.count()
+        release(edges)
+        edges = left
+        if size == before:
+            break
+    return edges
 
 
 def _min_labels(edges: DataFrame) -> DataFrame:
@@ -110,7 +115,9 @@ def _min_labels(edges: DataFrame) -> DataFrame:
         kept = labels.select(*NODE, "f", "b", F.col("f").alias("old_f"), F.col("b").alias("old_b"))
         merged = kept.unionByName(forward).unionByName(backward).groupBy(*NODE).agg(
             F.min("f").alias("f"), F.min("b").alias("b"), F.max("old_f").alias("old_f"), F.max("old_b").alias("old_b"))
-        labels = cut(merged.select(*NODE, "f", "b", ((F.col("f") < F.col("old_f")) | (F.col("b") < F.col("old_b"))).alias("moved")))
+        moved = (F.col("f") < F.col("old_f")) | (F.col("b") < F.col("old_b"))
+        before, labels = labels, cut(merged.select(*NODE, "f", "b", moved.alias("moved")))
+        release(before)
         if labels.filter("moved").isEmpty():
             return labels.select(*NODE, "f", "b")
 
@@ -122,7 +129,7 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     leave, edges between different label pairs cannot lie on a cycle and leave too, and the rest is
     solved again; every pass resolves at least the smallest node left.
     """
-    core = _trim(edges.select(REPO, "src", "dst").filter("src <> dst").distinct())
+    core = _trim(cut(edges.select(REPO, "src", "dst").filter("src <> dst").distinct()))
     found = None
     while not core.isEmpty():
         labels = _min_labels(core)
@@ -130,8 +137,10 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
         found = solved if found is None else found.unionByName(solved)
         open_ = labels.filter("f <> b")
         ends = lambda e: open_.select(REPO, F.col("node").alias(e), F.col("f").alias(f"{e}_f"), F.col("b").alias(f"{e}_b"))
-        core = _trim(core.join(ends("src"), [REPO, "src"]).join(ends("dst"), [REPO, "dst"]).filter(
+        rest = cut(core.join(ends("src"), [REPO, "src"]).join(ends("dst"), [REPO, "dst"]).filter(
             (F.col("src_f") == F.col("dst_f")) & (F.col("src_b") == F.col("dst_b"))).select(REPO, "src", "dst"))
+        release(core)
+        core = _trim(rest)
     if found is None:
         return endpoints(edges).withColumn("component", F.col("node")).limit(0)
     big = found.groupBy(REPO, "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(REPO, "component")
@@ -162,6 +171,12 @@ def component_of(rows: DataFrame, cyclic: DataFrame, node: str = "node") -> Data
         "component", F.coalesce("component", node))
 
 
+def _append(rows: DataFrame | None, fresh: DataFrame, turn: int) -> DataFrame:
+    """Union of written tables, written as one now and then so that the plan stays short."""
+    both = fresh if rows is None else rows.unionByName(fresh)
+    return cut(both) if turn % COMPACT_EVERY == 0 else both
+
+
 def closure(dag: DataFrame, starts: DataFrame) -> DataFrame:
     """(repo_id, start, node) pairs with ``node`` depending on ``start`` (importers), start included.
 
@@ -171,17 +186,18 @@ def closure(dag: DataFrame, starts: DataFrame) -> DataFrame:
     pair = [REPO, "start", "node"]
     frontier = cut(starts.select(REPO, "start", F.col("start").alias("node")).distinct())
     seen = frontier
-    importers = dag.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
-    while True:
+    importers = cut(dag.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next")))
+    for turn in count(1):
         step = frontier.join(importers, NODE).select(REPO, "start", F.col("next").alias("node")).distinct()
         frontier = cut(step.join(seen, pair, "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = _append(seen, frontier, turn)
 
 
 def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(repo_id, node, dependents): transitive importers of each start, itself not counted."""
+    edges = cut(edges)
     cyclic = cyclic_nodes(edges)
     asked = component_of(starts.select(*NODE).distinct(), cyclic)
     sizes = cyclic.groupBy(REPO, "component").agg(F.count(F.lit(1)).alias("size"))
@@ -202,7 +218,7 @@ def _levels(edges: DataFrame, starts: DataFrame, depth: int, step: Callable[[Dat
             fresh = cut(fresh)
             if fresh.isEmpty():
                 break
-        seen, frontier = seen.unionByName(fresh), fresh
+        seen, frontier = _append(seen, fresh, level), fresh
     return seen
 
 
@@ -260,7 +276,7 @@ def peel(links: DataFrame, nodes: DataFrame, break_cycles: bool = False) -> tupl
     it, a repository that is stuck releases the one node of smallest in-degree (smallest name).
     """
     todo = nodes.select(*NODE).distinct()
-    inner = induced(links.filter("src <> dst"), todo).select(REPO, "src", "dst").distinct()
+    inner = cut(induced(links.filter("src <> dst"), todo).select(REPO, "src", "dst").distinct())
     waits = inner.groupBy(REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
     state = cut(todo.join(waits, NODE, "left").na.fill(0, ["indeg"]))
     done, layer = None, 0
@@ -275,11 +291,12 @@ def peel(links: DataFrame, nodes: DataFrame, break_cycles: bool = False) -> tupl
         if ready.isEmpty():
             break
         tagged = ready.withColumn("layer", F.lit(layer))
-        done = tagged if done is None else done.unionByName(tagged)
+        done = _append(done, tagged, layer + 1)
         freed = inner.join(ready.withColumnRenamed("node", "src"), [REPO, "src"], "left_semi").groupBy(
             REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_freed"))
-        state = cut(marked.filter(~F.col("_go")).select(*NODE, "indeg").join(freed, NODE, "left").select(
+        before, state = state, cut(marked.filter(~F.col("_go")).select(*NODE, "indeg").join(freed, NODE, "left").select(
             *NODE, F.greatest(F.col("indeg") - F.coalesce("_freed", F.lit(0)), F.lit(0)).alias("indeg")))
+        release(before)
         layer += 1
         if state.isEmpty():
             break
@@ -290,10 +307,10 @@ def peel(links: DataFrame, nodes: DataFrame, break_cycles: bool = False) -> tupl
 
 def topo_layers(edges: DataFrame, nodes: DataFrame, links_are_ordered: bool = False) -> DataFrame:
     """(node, component, layer): dependencies in earlier layers, cycles as one component."""
-    links = edges if links_are_ordered else reverse_edges(edges)
-    links = induced(links, nodes)
+    nodes = cut(nodes.select(*NODE).distinct())
+    links = cut(induced(edges if links_are_ordered else reverse_edges(edges), nodes))
     cyclic = cyclic_nodes(links)
-    placed = component_of(nodes.select(*NODE).distinct(), cyclic)
+    placed = component_of(nodes, cyclic)
     layers, _ = peel(condense(links, cyclic), placed.select(REPO, F.col("component").alias("node")))
     return placed.join(layers.withColumnRenamed("node", "component"), [REPO, "component"]).select(*NODE, "component", "layer")
 

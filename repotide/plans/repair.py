@@ -20,6 +20,7 @@ def potential_cover(edges: DataFrame, failing_map: DataFrame) -> DataFrame:
 
     ``failing_map``: repo_id, node, test_path. Walks the condensed graph, so a cycle is one node.
     """
+    edges = cut(edges)
     cyclic = cyclic_nodes(edges)
     failing = component_of(failing_map.select(*NODE, "test_path").distinct(), cyclic)
     tests = failing.select(REPO, F.col("component").alias("node"), "test_path").distinct()
@@ -71,6 +72,7 @@ def root_causes(cands: DataFrame, cover: DataFrame, total_failing: DataFrame) ->
 def repair_plan(edges: DataFrame, failing_map: DataFrame) -> DataFrame:
     """(phase, batch, position, node, tests): root causes, then batches of middle files, then leaves;
     ``order`` rows give the dependency-first order over all involved files."""
+    edges = cut(edges)
     failing_map = cut(failing_map.select(*NODE, "test_path").distinct())
     cover = cut(potential_cover(edges, failing_map))
     cands = cut(candidates(edges, failing_map, cover))

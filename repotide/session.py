@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,6 @@ def build_session(app: str = "repotide", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -44,6 +44,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage, so loops keep a short plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the checkpoint folder and read it back.
+
+    Lineage ends there, lost executors read the table again, and the optimiser sees real sizes
+    (so it can choose broadcast joins for small rounds).
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/repotide-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._repotide_table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that a later round has replaced."""
+    for df in tables:
+        path = getattr(df, "_repotide_table", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
