@@ -277,7 +277,7 @@ def _(spark, sf):
     return hooks.tasks_from(table(spark, sf, "fx_files").select("file_id", "path"), build, "file_id bigint, title string")
 
 
-@query("k05_sql_functions", "SELECT file_id, length(content) - 1 - CASE WHEN p_size < 20 AND path NOT LIKE '%.test.%' THEN 2 ELSE 0 END - CASE WHEN p_size BETWEEN 10 AND 24 AND path NOT LIKE '%.test.%' THEN 1 ELSE 0 END - CASE WHEN p_size BETWEEN 15 AND 18 AND path LIKE '%.test.%' THEN 3 ELSE 0 END AS stripped FROM fx_code")
+@query("k05_sql_functions", "SELECT file_id, length(content) - 1 - CASE WHEN p_size < 20 AND path NOT LIKE '%.test.%' THEN 2 ELSE 0 END - CASE WHEN p_size BETWEEN 10 AND 24 AND path NOT LIKE '%.test.%' THEN 1 ELSE 0 END - CASE WHEN p_size BETWEEN 15 AND 18 AND path LIKE '%.test.%' THEN 3 ELSE 0 END - CASE WHEN p_size > 25 AND path NOT LIKE '%.test.%' THEN 2 ELSE 0 END AS stripped FROM fx_code")
 def _(spark, sf):
     hooks.register_functions(spark)
     table(spark, sf, "fx_code").createOrReplaceTempView("k05_code")
