@@ -10,6 +10,7 @@ from repotide.fixtures import table
 from repotide.functions.paths import module_of
 from repotide.operators import extract, freshness, graph, windows
 from repotide.plans import impact, repair, waves
+from repotide.session import cut
 
 DIRECT = f"""{OWNED}, direct AS (SELECT f.repo_id, f.file_id AS node FROM owned o JOIN fx_files f ON f.repo_id = o.repo_id AND f.path = o.path WHERE o.mtime > o.doc_mtime)"""
 LEVELS = """l1 AS (SELECT e.repo_id, e.src AS node, 1 AS level, min([d.node]) AS via FROM direct d JOIN fx_edges e ON e.repo_id = d.repo_id AND e.dst = d.node WHERE e.src NOT IN (SELECT node FROM direct) GROUP BY 1, 2),
@@ -31,7 +32,7 @@ ROOTS = f"""rk AS (SELECT *, {RANK} AS rank FROM cands), adds AS (SELECT repo_id
 
 
 def _edges(spark, sf):
-    return table(spark, sf, "fx_edges")
+    return cut(table(spark, sf, "fx_edges"))
 
 
 def _nodes(spark, sf):
@@ -41,7 +42,8 @@ def _nodes(spark, sf):
 def _direct(spark, sf):
     files = table(spark, sf, "fx_files")
     changed = freshness.changed_files(files, table(spark, sf, "fx_docs"))
-    return files.join(changed.select("repo_id", "path"), ["repo_id", "path"], "left_semi").select("repo_id", F.col("file_id").alias("node"))
+    # The change set is read by several steps, so it is written once.
+    return cut(files.join(changed.select("repo_id", "path"), ["repo_id", "path"], "left_semi").select("repo_id", F.col("file_id").alias("node")))
 
 
 def _failmap(spark, sf):
@@ -155,7 +157,8 @@ def _(spark, sf):
 
 @query("e15_topological_batches")
 def _(spark, sf):
-    return graph.topo_batches(graph.reverse_edges(_edges(spark, sf)), _nodes(spark, sf))
+    involved = _failmap(spark, sf).select("repo_id", "node").distinct()
+    return graph.topo_batches(graph.fix_graph(_edges(spark, sf), involved)[0], involved)
 
 
 @query("e16_fix_graph", f"""WITH {FAILMAP}, i AS (SELECT DISTINCT repo_id, node FROM failmap), l AS (SELECT e.repo_id, e.dst AS src, e.src AS dst FROM fx_edges e WHERE e.src IN (SELECT node FROM i) AND e.dst IN (SELECT node FROM i))

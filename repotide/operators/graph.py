@@ -210,21 +210,18 @@ def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def _levels(edges: DataFrame, starts: DataFrame, depth: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Nodes with the first level at which ``step`` (frontier -> repo_id, node) reaches them."""
-    seen = starts.select(*NODE).distinct().withColumn("level", F.lit(0))
-    frontier = seen
+    seen = frontier = cut(starts.select(*NODE).distinct().withColumn("level", F.lit(0)))
     for level in range(1, depth + 1):
-        fresh = step(frontier).distinct().join(seen, NODE, "left_anti").withColumn("level", F.lit(level))
-        if level > 2:  # shallow walks stay one lazy plan
-            fresh = cut(fresh)
-            if fresh.isEmpty():
-                break
-        seen, frontier = _append(seen, fresh, level), fresh
+        frontier = cut(step(frontier).distinct().join(seen, NODE, "left_anti").withColumn("level", F.lit(level)))
+        seen = seen.unionByName(frontier)
+        if level < depth and frontier.isEmpty():
+            break
     return seen
 
 
 def impact(edges: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:
     """(repo_id, node, level): importers at hop 1 and 2 of the changed files, those excluded."""
-    depth = max(0, min(2, depth))
+    depth, edges = max(0, min(2, depth)), cut(edges)
     importers = edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
     step = lambda f: f.join(importers, NODE).select(REPO, F.col("next").alias("node"))
     return _levels(edges, changed, depth, step).filter("level > 0")
@@ -241,6 +238,7 @@ def focus(edges: DataFrame, start: DataFrame, depth: int = 2, max_nodes: int = 2
     """
     depth = max(0, min(MAX_FOCUS_DEPTH, depth))
     max_nodes = max(MIN_FOCUS_NODES, min(MAX_FOCUS_NODES, max_nodes))
+    edges = cut(edges)
     both = edges.select(REPO, F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(
         edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next")))
     step = lambda f: f.join(both, NODE).select(REPO, F.col("next").alias("node"))
@@ -278,31 +276,27 @@ def peel(links: DataFrame, nodes: DataFrame, break_cycles: bool = False) -> tupl
     todo = nodes.select(*NODE).distinct()
     inner = cut(induced(links.filter("src <> dst"), todo).select(REPO, "src", "dst").distinct())
     waits = inner.groupBy(REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
-    state = cut(todo.join(waits, NODE, "left").na.fill(0, ["indeg"]))
-    done, layer = None, 0
-    while True:
-        if break_cycles:
-            best = state.groupBy(REPO).agg(F.min(F.struct("indeg", "node")).alias("_b"))
-            marked = state.join(best, REPO).withColumn(
-                "_go", (F.col("indeg") == 0) | ((F.col("_b.indeg") > 0) & (F.col("node") == F.col("_b.node")))).drop("_b")
-        else:
-            marked = state.withColumn("_go", F.col("indeg") == 0)
-        ready = cut(marked.filter("_go").select(*NODE))
-        if ready.isEmpty():
-            break
-        tagged = ready.withColumn("layer", F.lit(layer))
-        done = _append(done, tagged, layer + 1)
+
+    def mark(state: DataFrame) -> DataFrame:
+        free = F.col("indeg") == 0
+        if not break_cycles:
+            return state.withColumn("go", free)
+        best = state.groupBy(REPO).agg(F.min(F.struct("indeg", "node")).alias("_b"))  # one row per repository
+        return state.join(best, REPO).withColumn(
+            "go", free | ((F.col("_b.indeg") > 0) & (F.col("node") == F.col("_b.node")))).drop("_b")
+
+    state = cut(mark(todo.join(waits, NODE, "left").na.fill(0, ["indeg"])))
+    done = state.filter("go").select(*NODE, F.lit(0).alias("layer"))
+    for layer in count(1):
+        ready, waiting = state.filter("go").select(*NODE), state.filter(~F.col("go")).select(*NODE, "indeg")
+        left = state.agg(F.count_if("go").alias("ready"), F.count(F.lit(1)).alias("all")).first()
+        if left["ready"] in (0, left["all"]):
+            return done, waiting.select(*NODE)
         freed = inner.join(ready.withColumnRenamed("node", "src"), [REPO, "src"], "left_semi").groupBy(
             REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_freed"))
-        before, state = state, cut(marked.filter(~F.col("_go")).select(*NODE, "indeg").join(freed, NODE, "left").select(
-            *NODE, F.greatest(F.col("indeg") - F.coalesce("_freed", F.lit(0)), F.lit(0)).alias("indeg")))
-        release(before)
-        layer += 1
-        if state.isEmpty():
-            break
-    if done is None:
-        done = state.select(*NODE, F.lit(0).alias("layer")).limit(0)
-    return done, state.select(*NODE)
+        state = cut(mark(waiting.join(freed, NODE, "left").select(
+            *NODE, F.greatest(F.col("indeg") - F.coalesce("_freed", F.lit(0)), F.lit(0)).alias("indeg"))))
+        done = _append(done, state.filter("go").select(*NODE, F.lit(layer).alias("layer")), layer)
 
 
 def topo_layers(edges: DataFrame, nodes: DataFrame, links_are_ordered: bool = False) -> DataFrame:

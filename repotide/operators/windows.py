@@ -19,15 +19,13 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[Column], number:
                    sums: dict[str, str] | None = None) -> DataFrame:
     """1-based position inside each key, and running sums (``{output: input}``), at any group size.
 
-    Rows are range-partitioned and sorted by key and order, fixed by a checkpoint, and numbered
+    Rows are range-partitioned and sorted by key and order, fixed by writing them, and numbered
     inside each slice; the offsets of the slices come from one small row per (slice, key). ``order``
     must be unique inside a key.
     """
     sums = sums or {}
-    spark = df.sparkSession
     by = [*_cols(keys), *order]
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(slices, *by).sortWithinPartitions(*by)
+    laid = df.repartitionByRange(*by).sortWithinPartitions(*by)  # no fixed number: adaptive execution sizes the slices
     laid = cut(laid.withColumn("_at", F.monotonically_increasing_id())
                .withColumn("_slice", F.shiftright("_at", 33)))
     per_slice = laid.groupBy("_slice", *keys).agg(

@@ -23,22 +23,20 @@ def propagate(edges: DataFrame, direct: DataFrame, depth: int = 2) -> DataFrame:
     the smallest path.
     """
     depth = max(0, min(MAX_DEPTH, depth))
-    seen = direct.select(*NODE).distinct()
+    edges, seen = cut(edges), cut(direct.select(*NODE).distinct())
     frontier = seen.withColumn("path_key", F.array("node"))
     importers = edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
     out = None
     for level in range(1, depth + 1):
         step = frontier.join(importers, NODE).groupBy(REPO, F.col("next").alias("node")).agg(F.min("path_key").alias("_via"))
-        fresh = step.join(seen, NODE, "left_anti").select(
+        fresh = cut(step.join(seen, NODE, "left_anti").select(
             *NODE, F.lit(level).alias("level"), F.element_at("_via", -1).alias("cause"),
-            F.concat("_via", F.array("node")).alias("path_key"))
-        if level > 2:
-            fresh = cut(fresh)
-            if fresh.isEmpty():
-                break
+            F.concat("_via", F.array("node")).alias("path_key")))
         rows = fresh.select(*NODE, "level", "cause")
         out = rows if out is None else out.unionByName(rows)
         seen, frontier = seen.unionByName(fresh.select(*NODE)), fresh.select(*NODE, "path_key")
+        if level < depth and fresh.isEmpty():
+            break
     if out is None:
         return seen.select(*NODE, F.lit(0).alias("level"), F.col("node").alias("cause")).limit(0)
     return out

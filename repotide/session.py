@@ -47,8 +47,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the checkpoint folder and read it back.
 
     Lineage ends there, lost executors read the table again, and the optimiser sees real sizes
-    (so it can choose broadcast joins for small rounds).
+    (so it can choose broadcast joins for small rounds). A table that ``cut`` made comes back as is.
     """
+    if getattr(df, "_repotide_table", None):
+        return df
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/repotide-{uuid.uuid4().hex}"
     df.write.parquet(path)
