@@ -106,7 +106,7 @@ def _(spark, sf):
     tasks = _tasks(spark, sf)
     now = tasks.agg(F.max("updated_at").alias("now"))
     rows = ops.eta(tasks, F.lit("2000-01-01").cast("timestamp"))
-    done = F.timestamp_millis(F.unix_millis(F.col("now").cast("timestamp")) + F.col("remaining_ms"))
+    done = F.timestamp_millis(F.unix_millis(F.col("now").cast("timestamp")) + F.col("remaining_ms")).cast("timestamp_ntz")
     return rows.join(F.broadcast(now)).withColumn("completion", done).drop("now")  # one row
 
 

@@ -138,8 +138,8 @@ def error_location(message: Column) -> Column:
     part = lambda i: F.regexp_extract(message, pattern, i)
     return F.struct(
         F.nullif(part(1), F.lit("")).alias("file"),
-        F.nullif(part(2), F.lit("")).cast("int").alias("line"),
-        F.nullif(part(3), F.lit("")).cast("int").alias("column"),
+        F.nullif(part(2), F.lit("")).try_cast("int").alias("line"),
+        F.nullif(part(3), F.lit("")).try_cast("int").alias("column"),
     )
 
 

@@ -30,7 +30,7 @@ def parse_bracket_issues(docs: DataFrame) -> DataFrame:
         *DOC, F.col("seq").cast("bigint").alias("seq"), F.regexp_extract(b, heading, 1).alias("severity"),
         title.alias("title"), F.trim(F.split_part(place, F.lit(":"), F.lit(1))).alias("file"),
         F.coalesce(F.nullif(F.regexp_extract(F.split_part(place, F.lit(":"), F.lit(2)), r"^\s*(\d+)", 1), F.lit("")
-                            ).cast("int"), F.lit(0)).alias("line"),
+                            ).try_cast("int"), F.lit(0)).alias("line"),
         description.alias("description"), _field(b, "Suggestion").alias("suggestion"),
         F.regexp_extract(b, r"(?s)(```.*?```)", 1).alias("snippet"))
     return rows.withColumn("type", infer_issue_type(F.col("title"), F.col("description"))).withColumn(
@@ -107,7 +107,7 @@ def audit_header(docs: DataFrame) -> DataFrame:
     severity = F.lower(F.coalesce(grab(r"(?i)Severity:\s*\*\*(\w+)\*\*"), grab(r"(?i)##\s*Severity:\s*(\w+)"),
                                   F.lit("unknown")))
     section = F.regexp_extract("content", r"(?s)\n## Issues[^\n(]*\n(.*)", 1)
-    count = F.coalesce(grab(r"## Issues \((\d+)\)").cast("bigint"),
+    count = F.coalesce(grab(r"## Issues \((\d+)\)").try_cast("bigint"),
                        F.regexp_count(section, F.lit(r"(?m)^- \*\*")).cast("bigint"))
     return docs.select(*DOC, severity.alias("severity"), count.alias("issue_count"))
 

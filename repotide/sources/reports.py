@@ -106,7 +106,7 @@ def _go(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 def parse_test_text(df: DataFrame, column: str, exit_code: str | None = None) -> DataFrame:
     """Counts from raw output. With an exit code, a non-zero one means at least one failure."""
     text = F.col(column)
-    grab = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("bigint")
+    grab = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("bigint")
     zero = F.lit(0).cast("bigint")
     if exit_code is None:
         passed, failed, skipped = (F.coalesce(grab(rf"(?i)(\d+)\s+{w}\b"), zero)
@@ -124,7 +124,7 @@ def parse_file_summary(df: DataFrame, column: str) -> DataFrame:
     """Passed and failed test files from the last ``Test Files`` line of a console tail."""
     usual = r"(?s).*Test Files\s+(\d+)\s+passed\s+\((\d+)\)(?:\s*\|\s*(\d+)\s+failed)?"
     other = r"Test Files\s+(\d+)\s+failed\s*\|\s*(\d+)\s+passed\s+\((\d+)\)"
-    grab = lambda p, i: F.nullif(F.regexp_extract(column, p, i), F.lit("")).cast("bigint")
+    grab = lambda p, i: F.nullif(F.regexp_extract(column, p, i), F.lit("")).try_cast("bigint")
     part, rare = (lambda i: grab(usual, i)), (lambda i: grab(other, i))
     return df.select("run_id", F.coalesce(part(1), rare(2)).alias("passed"),
                      F.when(part(1).isNotNull(), F.coalesce(
