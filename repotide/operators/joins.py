@@ -25,9 +25,13 @@ def nearest_owner(dirs: DataFrame, owners: DataFrame, include_self: bool = True,
 
 
 def own_files(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """Files with the nearest documented directory above them (``owner``) and its document's time."""
-    owned = files.join(nearest_owner(files, docs), [REPO, "dir"])
-    return owned.join(docs.select(REPO, F.col("dir").alias("owner"), "doc_mtime"), [REPO, "owner"])
+    """Files with the nearest documented directory above them (``owner``) and its document's time.
+
+    The owner's columns are attached per directory, so the files meet one join, on their directory.
+    """
+    owners = nearest_owner(files, docs).join(
+        docs.select(REPO, F.col("dir").alias("owner"), "doc_mtime"), [REPO, "owner"])
+    return files.join(owners, [REPO, "dir"])
 
 
 def changed_since(owned: DataFrame) -> DataFrame:
@@ -72,14 +76,20 @@ def split_known(changed: DataFrame, nodes: DataFrame, keys: list[str]) -> tuple[
 def longest_prefix_join(files: DataFrame, rules: DataFrame, path: str = "path", rule: str = "rule_path") -> DataFrame:
     """Each row with the most specific rule at or above its path; null columns without one.
 
-    ``rules``: [repo_id,] rule_path and any columns. Without ``repo_id`` they hold everywhere.
+    ``rules``: [repo_id,] rule_path and any columns. Without ``repo_id`` they hold everywhere. A rule
+    for the path itself wins; the others are resolved once per directory.
     """
     keys = [REPO, rule] if REPO in rules.columns else [rule]
-    above = files.select(REPO, path).distinct().select(
-        REPO, path, F.explode(ancestors(F.col(path), include_self=True)).alias(rule)).filter(F.col(rule) != ".")
-    best = above.join(rules.select(*keys).distinct(), keys).groupBy(REPO, path).agg(
-        F.max_by(rule, F.length(rule)).alias(rule))
-    return files.join(best, [REPO, path], "left").join(rules, keys, "left")
+    extra = [c for c in rules.columns if c not in (REPO, rule)]
+    carried = F.struct(F.col(rule), *extra)
+    rows = files.withColumn("_dir", dir_name(F.col(path)))
+    above = rows.select(REPO, "_dir").distinct().select(
+        REPO, "_dir", F.explode(ancestors(F.col("_dir"), include_self=True)).alias(rule)).filter(F.col(rule) != ".")
+    by_dir = above.join(rules, keys).groupBy(REPO, "_dir").agg(F.max_by(carried, F.length(rule)).alias("_above"))
+    exact = rules.select(*[REPO for _ in keys[1:]], F.col(rule).alias(path), carried.alias("_own"))
+    joined = rows.join(by_dir, [REPO, "_dir"], "left").join(exact, [*[REPO for _ in keys[1:]], path], "left")
+    best = F.coalesce("_own", "_above")
+    return joined.select(*[F.col(c) for c in files.columns], *[best[c].alias(c) for c in (rule, *extra)])
 
 
 def merge_modules(*lists: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 REPO = "repo_id"
+_TABLES: list[DataFrame] = []
 
 
 def build_session(app: str = "repotide", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,6 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._repotide_table = path
+    _TABLES.append(out)
     return out
 
 
@@ -67,3 +69,9 @@ def release(*tables: DataFrame) -> None:
             jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_all() -> None:
+    """Delete every table ``cut`` made in this process; call it when the results are written."""
+    while _TABLES:
+        release(_TABLES.pop())
