@@ -116,8 +116,8 @@ def test_assertion(spark):
 
 
 @pytest.mark.parametrize("raw,want", [
-    ("a // b\nc", "a    \nc"), ("x /* y\nz */ w", "x    \n    w"), ("'// no' // yes", "'// no'       "),
-    ('"a\\"//b"', '"a\\"//b"'), ("`/* t */`", "`/* t */`"), ("a /* open", "a      ")])
+    ("a // b\nc", "a" + " " * 4 + "\nc"), ("x /* y\nz */ w", "x" + " " * 4 + "\n" + " " * 4 + "w"),
+    ("'// no' // yes", "'// no'" + " " * 6), ('"a\\"//b"', '"a\\"//b"'), ("`/* t */`", "`/* t */`"), ("a /* open", "a" + " " * 7)])
 def test_strip_comments_keeps_strings(raw, want):
     assert scanners._TOKEN.sub(scanners._blank, raw) == want
 
