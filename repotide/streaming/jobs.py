@@ -113,7 +113,10 @@ def run(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", e
 
 
 def read_sink(spark: SparkSession, target: str, schema: T.StructType, latest_by: list[str] | None = None) -> DataFrame:
-    """Rows of a sink; with ``latest_by`` the row of the newest batch per key (for update mode)."""
+    """Rows of a sink; with ``latest_by`` the row of the newest batch per key (for update mode).
+
+    The sink must have at least one batch.
+    """
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option(
         "basePath", target).parquet(f"{target}/batch=*")
     if latest_by is None:
