@@ -118,7 +118,7 @@ def _(spark, sf):
     built = table(spark, sf, "fx_docs").agg(F.min("doc_mtime").alias("generated_at"))
     artefacts = files.select("repo_id").distinct().withColumn("target", F.lit("test")).join(F.broadcast(built))  # one row
     target = _scratch(spark, "refresh")
-    jobs.refresh_stream(stream, artefacts, f"{target}-inventory", target, f"{target}-checkpoint", every=None).awaitTermination()
+    jobs.refresh_stream(stream, artefacts, f"{target}-newest", target, f"{target}-checkpoint", every=None).awaitTermination()
     from repotide.operators.freshness import artefact_staleness
     schema = artefact_staleness(files, artefacts).schema
     return jobs.read_sink(spark, target, schema, ["repo_id", "target"]).select("repo_id", "target", "stale", "newest_source")

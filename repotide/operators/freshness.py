@@ -232,24 +232,35 @@ def modules_by_mode(mode: str, files: DataFrame, docs: DataFrame, audits: DataFr
     return merge_modules(*lists)
 
 
-def artefact_staleness(files: DataFrame, artefacts: DataFrame, config: DataFrame | None = None, doc_scope: str = "") -> DataFrame:
-    """Whether the dependency graph (``deps``), test map (``test``) and root document (``doc``) are
-    older than what they were built from, with the newest source.
-
-    ``artefacts``: repo_id, target, generated_at (null when absent). ``config``: repo_id,
-    config_mtime; a newer configuration makes everything stale.
-    """
+def newest_sources(files: DataFrame, doc_scope: str = "") -> DataFrame:
+    """Newest source per repository and artefact: ``deps`` (sources), ``test`` (sources and tests),
+    ``doc`` (sources below ``doc_scope``), with the number of files looked at."""
     kind = file_kind(F.col("path"))
     targets = F.array_compact(F.array(
         F.when(kind == "code", "deps"), F.when(kind.isin("code", "test"), "test"),
         F.when((kind == "code") & F.col("path").startswith(doc_scope), "doc")))
-    newest = files.select(REPO, "path", "mtime", F.explode(targets).alias("target")).groupBy(REPO, "target").agg(
+    return files.select(REPO, "path", "mtime", F.explode(targets).alias("target")).groupBy(REPO, "target").agg(
         F.max("mtime").alias("source_mtime"), _newest().alias("newest_source"), F.count(F.lit(1)).alias("scanned"))
+
+
+def merge_newest(parts: DataFrame) -> DataFrame:
+    """``newest_sources`` of several inventories as one."""
+    return parts.groupBy(REPO, "target").agg(
+        _newest("source_mtime", "newest_source").alias("newest_source"), F.max("source_mtime").alias("source_mtime"),
+        F.sum("scanned").alias("scanned"))
+
+
+def judge_artefacts(artefacts: DataFrame, newest: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """Artefacts older than their newest source or the configuration, with the reason.
+
+    ``artefacts``: repo_id, target, generated_at (null when absent). ``config``: repo_id,
+    config_mtime; a newer configuration makes everything stale.
+    """
     rows = artefacts.join(newest, [REPO, "target"], "left")
     if config is not None:
         rows = rows.join(config, REPO, "left")
     else:
-        rows = rows.withColumn("config_mtime", F.lit(None).cast("timestamp_ntz"))
+        rows = rows.withColumn("config_mtime", F.lit(None).cast(newest.schema["source_mtime"].dataType))
     by_config = F.coalesce(F.col("config_mtime") > F.col("source_mtime"), F.col("source_mtime").isNull() & F.col("config_mtime").isNotNull())
     latest = F.greatest("source_mtime", "config_mtime")
     absent = F.col("generated_at").isNull()
@@ -263,6 +274,12 @@ def artefact_staleness(files: DataFrame, artefacts: DataFrame, config: DataFrame
                        F.coalesce("scanned", F.lit(0).cast("bigint")).alias("scanned"))
 
 
+def artefact_staleness(files: DataFrame, artefacts: DataFrame, config: DataFrame | None = None, doc_scope: str = "") -> DataFrame:
+    """Whether the dependency graph (``deps``), test map (``test``) and root document (``doc``) are
+    older than what they were built from, with the newest source."""
+    return judge_artefacts(artefacts, newest_sources(files, doc_scope), config)
+
+
 def kpi(module_rows: DataFrame, test_rows: DataFrame) -> DataFrame:
     """One status row per repository over ``module_status`` rows and per-source test states."""
     wanted = lambda k: F.count_if(F.col(f"enable_{k}"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from repotide.functions.text import rank_of
-from repotide.operators.freshness import artefact_staleness
+from repotide.operators.freshness import judge_artefacts, merge_newest, newest_sources
 from repotide.operators.joins import changed_since, own_files
 from repotide.session import REPO
 
@@ -139,15 +139,18 @@ def new_files(spark: SparkSession, folder: str, schema: T.StructType) -> DataFra
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def refresh_stream(changes: DataFrame, artefacts: DataFrame, inventory: str, target: str, checkpoint: str,
+def refresh_stream(changes: DataFrame, artefacts: DataFrame, state: str, target: str, checkpoint: str,
                    every: str | None = "60 seconds", doc_scope: str = "") -> StreamingQuery:
-    """Each round: add the arrived files to the inventory table, then say which artefacts to rebuild."""
-    spark, schema = changes.sparkSession, changes.schema
+    """Each round: reduce the arrived files to their newest per artefact, then say what to rebuild.
+
+    ``state`` keeps a few rows per repository and round, so a round costs its own changes, not the
+    whole inventory. ``scanned`` counts the file changes seen.
+    """
+    spark = changes.sparkSession
+    schema = newest_sources(spark.createDataFrame([], changes.schema), doc_scope).schema
 
     def work(batch: DataFrame, batch_id: int) -> DataFrame:
-        batch.write.mode("overwrite").parquet(f"{inventory}/batch={batch_id}")
-        known = spark.read.schema(schema).option("basePath", inventory).parquet(f"{inventory}/batch=*")
-        latest = known.groupBy(REPO, "path").agg(F.max("mtime").alias("mtime"))
-        return artefact_staleness(latest, artefacts, doc_scope=doc_scope)
+        newest_sources(batch, doc_scope).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        return judge_artefacts(artefacts, merge_newest(read_sink(spark, state, schema)))
 
     return run(changes, target, checkpoint, every=every, work=work)
