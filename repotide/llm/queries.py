@@ -5,14 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from repotide.llm.chat import chat_digests, format_conversations, with_probe
 from repotide.llm.common import table
+from repotide.llm.language import identify_language
 from repotide.llm.packing import pack_documents
+from repotide.llm.secrets import scan_secrets
 from repotide.llm.sharding import even_tree, shard_documents
 
 SHARDS = 16
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(format_conversations(with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(spark, table(spark, sf_dir, "documents"))
+
+    def digest(rows: F.Column) -> F.Column:
+        return F.array_join(F.transform(rows, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    base = F.filter("findings", lambda f: f["base"])
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("findings", lambda f: f["base"] & (f["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("findings")).alias("spans"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), even_tree(SHARDS))
 
@@ -22,6 +50,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op7_sharding": op7_sharding,
     "op10_packing": op10_packing,
 }
