@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 
 from repotide.llm.chat import chat_digests, format_conversations, with_probe
 from repotide.llm.common import table
+from repotide.llm.decontaminate import decontaminate
 from repotide.llm.language import identify_language
 from repotide.llm.packing import pack_documents
 from repotide.llm.secrets import scan_secrets
 from repotide.llm.sharding import even_tree, shard_documents
+from repotide.llm.sketches import as_text, fingerprint_documents
 
 SHARDS = 16
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_conversations(with_probe(spark, table(spark, sf_dir, "conversations"))))
 
@@ -45,15 +54,24 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), even_tree(SHARDS))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op7_sharding": op7_sharding,
+    "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
 
