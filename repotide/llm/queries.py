@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from repotide.llm.chat import chat_digests, format_conversations, with_probe
 from repotide.llm.common import table
 from repotide.llm.decontaminate import decontaminate
+from repotide.llm.jaccard import jaccard_components
 from repotide.llm.language import identify_language
 from repotide.llm.packing import pack_documents
+from repotide.llm.pages import extract_pages
 from repotide.llm.secrets import scan_secrets
 from repotide.llm.sharding import even_tree, shard_documents
 from repotide.llm.sketches import as_text, fingerprint_documents
@@ -50,10 +52,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), even_tree(SHARDS))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_documents(table(spark, sf_dir, "documents"))
     return found.select(
@@ -70,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
+    "op6_html_text": op6_html_text,
     "op7_sharding": op7_sharding,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
