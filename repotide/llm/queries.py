@@ -17,6 +17,7 @@ from repotide.llm.pages import extract_pages
 from repotide.llm.secrets import scan_secrets
 from repotide.llm.sharding import even_tree, shard_documents
 from repotide.llm.sketches import as_text, fingerprint_documents
+from repotide.llm.tokenfile import read_token_digests, write_tokens
 
 SHARDS = 16
 
@@ -52,6 +53,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_digests(spark, write_tokens(spark, table(spark, sf_dir, "documents")))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
+    "op5_token_file": op5_token_file,
     "op6_html_text": op6_html_text,
     "op7_sharding": op7_sharding,
     "op8_jaccard_join": op8_jaccard_join,
