@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from repotide.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,6 +38,19 @@ def rows_in(df: DataFrame) -> int:
     return df.count()
 
 
+#: Rows of a small side (ids and a few numbers) that may go to every task.
+FITTING_ROWS = 500_000
+
+
+def fitted(side: DataFrame, most: int = FITTING_ROWS) -> DataFrame:
+    """``side`` written down and, if it has at most ``most`` rows, marked for broadcast.
+
+    The texts of the other side then stay where they are; a larger side meets them in a shuffle.
+    """
+    side = cut(side)
+    return F.broadcast(side) if side.count() <= most else side
+
+
 def numbered(df: DataFrame, keys: list[str], spread: list[str], out: str, rows: int, per_task: int = 50_000) -> DataFrame:
     """Add ``out``: a gapless number from 0 inside each key, in no particular order.
 

@@ -147,21 +147,23 @@ def learn_profiles(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Pr
 
 def predict_language(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text",
                      keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) and the columns in ``keep`` for every row.
+    """(doc_id, lang_pred, score) and the columns in ``keep`` (under their names) for every row.
 
     The language is that of the prototype with the highest cosine, which is the score (0 to 1). Null texts,
     texts without a letter, and all texts if nothing was learnt are ``und`` with score 0. Ties go to the
     language that sorts first. Repeated rows get equal rows; an empty table gives an empty result.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"__{c}") for c in keep]).schema
-    names = [f.name for f in schema.fields]
+    kept = [F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"__{c}") for c in keep]]
+    schema = docs.select(*kept).schema
+    names = list(schema.names)
+    text_name = f"__{text_col}" if text_col in keep else "__own_text"
     languages, vectors = profiles.languages, profiles.vectors
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
             for start in range(0, rows.num_rows, 512):
                 part = rows.slice(start, 512)
-                own = bundle(part.column("__own_text").to_pylist())
+                own = bundle(part.column(text_name).to_pylist())
                 if languages:
                     cosines = own @ vectors.T
                     best, some = cosines.argmax(1), own.any(1)
@@ -172,9 +174,10 @@ def predict_language(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(n) for n in names], pa.array(lang), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    fed = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"__{c}") for c in keep], F.col(text_col).alias("__own_text"))
+    fed = docs.select(*kept) if text_col in keep else docs.select(*kept, F.col(text_col).alias("__own_text"))
     out = fed.mapInArrow(predict, schema.add("lang_pred", "string").add("score", "double"))
-    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in keep], "lang_pred", "score")
+    return out.select(
+        *([] if id_col in keep else ["doc_id"]), *[F.col(f"__{c}").alias(c) for c in keep], "lang_pred", "score")
 
 
 def identify_language(docs: DataFrame) -> DataFrame:
