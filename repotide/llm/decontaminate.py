@@ -12,6 +12,8 @@ from repotide.session import cut
 SPAN = 10
 #: Words per hashed k-gram; a fingerprint is kept for every SPAN - GRAM + 1 k-grams in a row.
 GRAM = 6
+#: Fingerprint hits (about 30 bytes each) that may be broadcast.
+BROADCAST_HITS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -118,6 +120,9 @@ def contamination_spans(docs: DataFrame, items: DataFrame, span: int = SPAN, gra
     hits = found.join(marks.select("k", "hash").distinct(), ["k", "hash"], "left_semi")
     hit_docs = cut(hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("k", "pos", "hash")).alias("hits")))
     right = hit_docs.withColumnsRenamed({"doc_id": "__doc", "key": "__key"})
+    # Few enough hits go to every task, so the texts stay where they are; more meet the texts in a shuffle.
+    if (hit_docs.agg(F.sum(F.size("hits")).alias("n")).first()["n"] or 0) <= BROADCAST_HITS:
+        right = F.broadcast(right)
     again = keyed.join(right, keyed["doc_id"].eqNullSafe(right["__doc"]) & (keyed["key"] == right["__key"])).select("doc_id", "key", "text", "hits")
     # Copies of a row give the same runs; the aggregations below count them once.
     around = again.select("doc_id", "key", F.inline(let(words_of(F.col("text")), lambda w: F.transform("hits", lambda h: F.struct(
