@@ -275,7 +275,7 @@ def _join_large(spark: SparkSession, rows: DataFrame, words: int, percent: int)
             others.select("comp").distinct(), "comp").select("comp", "node"))
         open_ = rows.join(F.broadcast(chosen.select("comp").distinct()), "comp", "left_semi")
         leaders = rows.join(F.broadcast(chosen.select("node")), "node", "left_semi")
-        copies = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("int"))
+        copies = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         both = open_.select("comp", "chunk", F.lit(False).alias("leads"), "node", "text").unionByName(
             copies.select("comp", "chunk", F.lit(True).alias("leads"), "node", "text"))
         new = cut(links.unionByName(_join_leaders(both, words, percent)))
