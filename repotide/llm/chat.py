@@ -117,7 +117,7 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
 
     Rows become records, go through ``canonical_turns`` and are formatted one by one. ``masks`` has for each
     turn the characters to skip and then to train on (those of the escaped text of ``train_on`` turns). Turns
-    go by turn, role, text; nulls first. A null role or text is empty, repeated rows are repeated turns,
+    go by turn, then by what is written for them; nulls first. A null role or text is empty, repeated rows are repeated turns,
     rows with a null id are one conversation, an empty table gives an empty result, other columns are ignored.
     Chunks of turns are concatenated first, so the task of a conversation gets few rows, whatever its length.
     """
@@ -128,10 +128,10 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     whole = F.length(F.col("line"))
     take = F.when(F.col("role") == train_on, body).otherwise(0)
     lines = single.withColumn("line", format_turn(F.col("role"), F.col("text"))).select(
-        "conv_id", "turn", F.floor(F.col("turn") / CHUNK).alias("chunk"), "role", "text", "line",
+        "conv_id", "turn", F.floor(F.col("turn") / CHUNK).alias("chunk"), "line",
         F.struct((whole - len(END) - take).alias("skip"), take.alias("take"), F.lit(len(END)).alias("tail")).alias("mask"))
     chunks = lines.groupBy("conv_id", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "line", "mask"))).alias("t"))
+        F.sort_array(F.collect_list(F.struct("turn", "line", "mask"))).alias("t"))
     joined = chunks.select("conv_id", "chunk", F.array_join("t.line", "").alias("part"), F.col("t.mask").alias("part_masks"))
     return joined.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "part", "part_masks"))).alias("c")).select(
         "conv_id", F.array_join("c.part", "").alias("formatted"), F.flatten("c.part_masks").alias("masks"))
