@@ -9,11 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Dimensions of a vector.
 DIMENSIONS = 1024
-#: Documents per language that the prototypes are bundled from (those with the smallest id hashes).
+#: About so many documents per language are bundled into its prototype (those with the smallest id hashes).
 SAMPLE_PER_LANGUAGE = 2000
 #: Documents whose vectors are bundled in one matrix product, and n-gram vectors kept by a worker.
 TOGETHER, GRAMS_KEPT = 64, 40_000
@@ -113,13 +112,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learn_profiles(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     """Prototypes from rows (doc_id, text, lang) without null langs.
 
-    The sample of a language is the rows whose id hash is among its ``sample`` smallest. The driver gets one
-    vector per language.
+    The sample of a language is the rows whose id hash is in the share of the range that holds about
+    ``sample`` of its rows. The driver gets one count and one vector per language.
     """
-    hashed = labelled.select(F.xxhash64("doc_id").alias("h"), "lang")
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    last = hashed.withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("h"))
-    limits = {r["lang"]: r["h"] for r in last.collect()}
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    limits = {r["lang"]: int(min(1, sample / r["n"]) * (2**64 - 1)) - 2**63 for r in counts}
     if not limits:
         return Profiles((), np.zeros((0, DIMENSIONS), np.float32))
     bound = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
