@@ -128,7 +128,7 @@ def _(spark, sf):
     return impact.propagate(_edges(spark, sf), _direct(spark, sf))
 
 
-@query("e11_propagation_deep", f"""WITH RECURSIVE {DIRECT}, walk AS (SELECT repo_id, node, 0 AS level FROM direct UNION SELECT w.repo_id, e.src, w.level + 1 FROM walk w JOIN fx_edges e ON e.repo_id = w.repo_id AND e.dst = w.node WHERE w.level < 25)
+@query("e11_propagation_deep", f"""WITH RECURSIVE {DIRECT}, walk AS (SELECT repo_id, node, 0 AS level FROM direct UNION SELECT w.repo_id, e.src, w.level + 1 FROM walk w JOIN fx_edges e ON e.repo_id = w.repo_id AND e.dst = w.node WHERE w.level < 99)
  SELECT repo_id, node, CAST(min(level) AS INT) AS level FROM walk GROUP BY 1, 2 HAVING min(level) > 0""")
 def _(spark, sf):
     return impact.propagate(_edges(spark, sf), _direct(spark, sf), 99).select("repo_id", "node", "level")

@@ -151,7 +151,7 @@ def _(spark, sf):
    ELSE 'src/modules/' || split_part(dir, '/', 1) END AS package, count(*) AS files FROM fx_files GROUP BY 1, 2""")
 def _(spark, sf):
     p = F.col("path")
-    moved = F.when(p.startswith("small/"), F.concat(F.lit("packages/"), F.substring("path", 7, 999))).otherwise(
+    moved = F.when(p.startswith("small/"), F.concat(F.lit("packages/"), F.substr("path", F.lit(7)))).otherwise(
         F.concat(F.lit("src/modules/"), p))
     return table(spark, sf, "fx_files").groupBy("repo_id", paths.package_of(moved).alias("package")).agg(
         F.count(F.lit(1)).alias("files"))

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _STARS = re.compile(r"(\*\*/|\*\*|\*)")
 _META = re.compile(r"([\\^$*+?.()|{}\[\]])")
@@ -43,6 +44,12 @@ def glob_regex(patterns: Iterable[str], dialect: str = "anchored") -> str:
     return "^(?:" + "|".join(source(p) for p in patterns) + ")(?:/|$)"
 
 
+@F.udf(StringType())
+def anchored_source(pattern: str) -> str:
+    """The alternative of one ``anchored`` pattern; for tables of patterns, which are small beside the files."""
+    return _anchored(pattern)
+
+
 def glob_match(col: Column, patterns: Iterable[str], dialect: str = "anchored") -> Column:
     """True where the path matches any pattern.
 

@@ -85,15 +85,24 @@ _BRACE = re.compile(r"[{}]")
 
 def find_test_blocks(text: str | None) -> list[dict]:
     """Name, line and body of each test block; the body ends at the matching brace or the text's end."""
-    blocks = []
-    ends = _newlines(text or "")
-    for m in _BLOCK.finditer(text or ""):
-        depth, stop = 1, len(text)
-        for brace in _BRACE.finditer(text, m.end()):
-            depth += 1 if brace.group() == "{" else -1
-            if depth == 0:
-                stop = brace.end()
-                break
+    text = text or ""
+    blocks, ends, closes, open_ = [], _newlines(text), {}, []
+    heads = {m.end(): m for m in _BLOCK.finditer(text)}
+    # One pass over all braces: ``open_`` holds where the bodies and braces still open began. A body
+    # begins where its heading ends, and a brace after that belongs to what opened last.
+    marks = sorted([(at, 0) for at in heads] + [(b.start(), 1 if b.group() == "{" else 2) for b in _BRACE.finditer(text)])
+    for at, kind in marks:
+        if kind == 0:
+            open_.append(at)
+        elif kind == 1:
+            if at + 1 not in heads:  # the brace of a heading opens its body, once
+                open_.append(None)
+        elif open_:
+            body = open_.pop()
+            if body is not None:
+                closes[body] = at + 1
+    for at, m in heads.items():
+        stop = closes.get(at, len(text))
         blocks.append({"name": m.group(1), "line": bisect_left(ends, m.start()) + 1, "body": text[m.end():stop - 1]})
     return blocks
 

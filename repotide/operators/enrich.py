@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +41,15 @@ def enrich(df: DataFrame, fn: Callable[[dict[str, Any]], str | None], id_col: st
             return {id_col: row[id_col], "status": status, "result": result, "error": error,
                     "duration_ms": int((time.monotonic() - start) * 1000), "attempts": attempt}
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([one(r) for r in part.to_dict("records")], columns=schema.fieldNames())
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:  # Python values as they are: nulls stay None, integers stay integers
+            rows = [one(r) for r in part.to_pylist()]
+            ids = pa.array([r[id_col] for r in rows], part.schema.field(id_col).type)
+            rest = [pa.array([r[n] for r in rows], t) for n, t in (
+                ("status", pa.string()), ("result", pa.string()), ("error", pa.string()), ("duration_ms", pa.int64()), ("attempts", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([ids, *rest], names=schema.fieldNames())
 
-    return df.mapInPandas(batches, schema)
+    return df.mapInArrow(batches, schema)
 
 
 def tasks_from(df: DataFrame, builder: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -57,11 +62,14 @@ def tasks_from(df: DataFrame, builder: Callable[[pd.DataFrame], pd.DataFrame], s
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Register ``strip_comments(text)``, ``test_blocks(text)`` and ``bracket_issues(text)`` for SQL.
+    """Register ``strip_comments(text)`` and ``test_block_array(text)`` for SQL, in Arrow batches, and
+    ``test_blocks(text)`` and ``bracket_issues(text)`` as table functions for ``LATERAL`` use.
 
-    The last two are table functions for ``LATERAL`` use.
+    Large tables are better served by ``LATERAL inline(test_block_array(text))`` and
+    ``parse_bracket_issues``; the table functions run row by row.
     """
     spark.udf.register("strip_comments", scanners.strip_comments)
+    spark.udf.register("test_block_array", scanners.test_block_array)
 
     @F.udtf(returnType="name: string, line: int, body: string")
     class TestBlocks:

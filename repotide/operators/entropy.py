@@ -21,12 +21,17 @@ CHECKS = {
 
 def _line_findings(files: DataFrame, check: int, test) -> DataFrame:
     """``test(lines, i)`` says whether 1-based line ``i`` is a finding."""
-    lines = F.split("content", "\n", -1)
-    hits = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: test(lines, i))
-    return files.select(F.lit(check).alias("check_id"), *FILE, F.explode(hits).alias("line"),
+    return files.select(F.lit(check).alias("check_id"), *FILE, F.explode(_hits(test)).alias("line"),
                         ).select("check_id", *FILE, "line", F.lit("").alias("detail"))
 
 
+def _hits(test) -> Column:
+    """Line numbers for which ``test`` holds; the text is split once and bound, whatever its length."""
+    bound = F.transform(F.array(F.split("content", "\n", -1)), lambda lines: F.filter(
+        F.sequence(F.lit(1), F.size(lines)), lambda i: test(lines, i)))
+    return F.get(bound, F.lit(0))
+
+
 def _at(lines: Column, i: Column) -> Column:
     return F.coalesce(F.get(lines, i - 1), F.lit(""))
 

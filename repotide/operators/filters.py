@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repotide.functions.globs import glob_match, glob_regex
+from repotide.functions.globs import anchored_source, glob_match
 from repotide.session import REPO
 
 FAILED_STATES = ["failed", "timeout", "cancelled"]
@@ -19,26 +19,18 @@ def apply_path_policy(df: DataFrame, include=(), ignore=(), path: str = "path",
     return df.filter(keep)
 
 
-MAX_POLICY_ROWS = 10000
-
-
 def apply_repo_policies(df: DataFrame, policies: DataFrame, path: str = "path") -> DataFrame:
     """Per-repository policies from rows (repo_id, kind include/ignore, pattern).
 
-    The policy table is configuration: its size is checked, each repository's patterns become one
-    regular expression per kind, and the joined side has one row per repository. Repositories
-    without a policy keep all paths.
+    Each repository's patterns become one regular expression per kind, and the joined side has one
+    row per repository. Repositories without a policy keep all paths.
     """
-    rows = policies.limit(MAX_POLICY_ROWS + 1).collect()
-    if len(rows) > MAX_POLICY_ROWS:
-        raise ValueError(f"at most {MAX_POLICY_ROWS} policy rows; got more")
-    by_repo: dict[str, dict[str, list[str]]] = {}
-    for row in rows:
-        by_repo.setdefault(row[REPO], {}).setdefault(row["kind"], []).append(row["pattern"])
-    regexes = [(repo, *(glob_regex(kinds[k]) if kinds.get(k) else None for k in ("include", "ignore")))
-               for repo, kinds in by_repo.items()]
-    side = df.sparkSession.createDataFrame(regexes, f"{REPO} string, _in string, _out string")
-    joined = df.join(F.broadcast(side), REPO, "left")
+    source = policies.filter(F.col("pattern").isNotNull()).select(REPO, "kind", anchored_source("pattern").alias("_s"))
+    sources = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("_s"))))
+    whole = lambda a: F.when(F.size(a) > 0, F.concat(F.lit("^(?:"), F.array_join(a, "|"), F.lit(")(?:/|$)")))
+    side = source.groupBy(REPO).agg(sources("include").alias("_in"), sources("ignore").alias("_out")).select(
+        REPO, whole(F.col("_in")).alias("_in"), whole(F.col("_out")).alias("_out"))
+    joined = df.join(side, REPO, "left")
     return joined.filter(
         (F.col("_in").isNull() | F.expr(f"`{path}` RLIKE _in")) & (F.col("_out").isNull() | ~F.expr(f"`{path}` RLIKE _out"))
     ).drop("_in", "_out")
@@ -86,21 +78,20 @@ FULL_ID_LENGTH = 16
 def resolve_prefix(tasks: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Each id prefix with its single task id, or ``missing`` / ``ambiguous``.
 
-    Equi-join on the prefixes of every id, of the lengths that were asked for; full-length ids are
-    taken as they are.
+    Equi-join on the prefixes of every id, of the lengths that were asked for; from ``FULL_ID_LENGTH``
+    characters on the whole id must be equal.
     """
     lengths = F.array_sort(F.collect_set(F.length("prefix")))  # at most FULL_ID_LENGTH values
     asked = prefixes.filter(F.length("prefix") < FULL_ID_LENGTH).agg(lengths.alias("_lengths"))
     cut = tasks.join(F.broadcast(asked)).select(  # one row
         "task_id", F.explode(F.filter("_lengths", lambda n: n <= F.length("task_id"))).alias("_n"))
-    found = cut.select("task_id", F.expr("substring(task_id, 1, _n)").alias("prefix")).groupBy("prefix").agg(
-        F.count(F.lit(1)).alias("_matches"), F.min("task_id").alias("_one"))
-    full = F.length("prefix") >= FULL_ID_LENGTH
-    matches = F.when(full, F.lit(1).cast("bigint")).otherwise(F.coalesce("_matches", F.lit(0).cast("bigint")))
+    short = cut.select("task_id", F.expr("substring(task_id, 1, _n)").alias("prefix"))
+    full = tasks.filter(F.length("task_id") >= FULL_ID_LENGTH).select("task_id", F.col("task_id").alias("prefix"))
+    found = short.unionByName(full).groupBy("prefix").agg(F.count(F.lit(1)).alias("_matches"), F.min("task_id").alias("_one"))
+    matches = F.coalesce("_matches", F.lit(0).cast("bigint"))
     state = F.when(matches == 0, "missing").when(matches == 1, "ok").otherwise("ambiguous")
     return prefixes.join(found, "prefix", "left").select(
-        "prefix", matches.alias("matches"), state.alias("state"),
-        F.when(full, F.col("prefix")).when(matches == 1, F.col("_one")).alias("task_id"))
+        "prefix", matches.alias("matches"), state.alias("state"), F.when(matches == 1, F.col("_one")).alias("task_id"))
 
 
 def ops_filter(tasks: DataFrame, status: str = "all", name: str = "all") -> DataFrame:

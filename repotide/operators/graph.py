@@ -208,36 +208,37 @@ def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return asked.join(total, [REPO, "component"]).select(*NODE, "dependents")
 
 
-def _levels(edges: DataFrame, starts: DataFrame, depth: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Nodes with the first level at which ``step`` (frontier -> repo_id, node) reaches them."""
+def rounds(depth: int | None):
+    """1, 2, ... up to ``depth``; without end for None."""
+    return count(1) if depth is None else range(1, depth + 1)
+
+
+def _levels(edges: DataFrame, starts: DataFrame, depth: int | None, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Nodes with the first level at which ``step`` (frontier -> repo_id, node) reaches them, down to
+    ``depth`` levels, or all of them for None."""
     seen = frontier = cut(starts.select(*NODE).distinct().withColumn("level", F.lit(0)))
-    for level in range(1, depth + 1):
+    for level in rounds(depth):
         frontier = cut(step(frontier).distinct().join(seen, NODE, "left_anti").withColumn("level", F.lit(level)))
-        seen = seen.unionByName(frontier)
-        if level < depth and frontier.isEmpty():
+        if level != depth and frontier.isEmpty():
             break
+        seen = _append(seen, frontier, level)
     return seen
 
 
-def impact(edges: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:
-    """(repo_id, node, level): importers at hop 1 and 2 of the changed files, those excluded."""
-    depth, edges = max(0, min(2, depth)), cut(edges)
+def impact(edges: DataFrame, changed: DataFrame, depth: int | None = 2) -> DataFrame:
+    """(repo_id, node, level): importers up to ``depth`` hops from the changed files (None: all), those excluded."""
+    edges = cut(edges)
     importers = edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
     step = lambda f: f.join(importers, NODE).select(REPO, F.col("next").alias("node"))
     return _levels(edges, changed, depth, step).filter("level > 0")
 
 
-MAX_FOCUS_DEPTH, MIN_FOCUS_NODES, MAX_FOCUS_NODES = 10, 50, 5000
-
-
-def focus(edges: DataFrame, start: DataFrame, depth: int = 2, max_nodes: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def focus(edges: DataFrame, start: DataFrame, depth: int | None = 2, max_nodes: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes with level, edges among them, one row per repository with size and too_large).
 
     Both directions from the start files. Nothing is dropped when the limit is passed; the flag
     tells a viewer to narrow the question.
     """
-    depth = max(0, min(MAX_FOCUS_DEPTH, depth))
-    max_nodes = max(MIN_FOCUS_NODES, min(MAX_FOCUS_NODES, max_nodes))
     edges = cut(edges)
     both = edges.select(REPO, F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(
         edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next")))

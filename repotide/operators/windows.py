@@ -88,11 +88,12 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
 
 
 def page(df: DataFrame, keys: list[str], order: list[Column], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` per key with the range shown and what follows."""
+    """Rows ``offset`` .. ``offset + limit`` per key with the range shown and what follows.
+
+    Rows are numbered in slices, so a deep page of a hot key is no heavier than the first one.
+    """
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    top = keep_last(df, keys, order, offset + limit)
-    w = Window.partitionBy(*keys).orderBy(*order)  # at most offset + limit rows per key
-    shown = top.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") > offset)
+    shown = number_rows(df, keys, order).filter((F.col("rn") > offset) & (F.col("rn") <= offset + limit))
     end = F.least(F.lit(offset + limit).cast("bigint"), F.col("total"))
     return shown.join(totals, keys).select(
         *keys, *[c for c in df.columns if c not in keys], F.col("rn").cast("bigint").alias("rn"), "total",

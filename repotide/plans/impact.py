@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repotide.operators.graph import NODE
+from repotide.operators.graph import NODE, rounds
 from repotide.operators.windows import keep_last, number_rows
 from repotide.session import REPO, cut
 
-MAX_DEPTH = 25
 HIGH_RISK_DEPENDENTS = 50
 HIGH_RISK_TOP = 10
 UNMAPPED_LEVEL = 99
 
 
-def propagate(edges: DataFrame, direct: DataFrame, depth: int = 2) -> DataFrame:
+def propagate(edges: DataFrame, direct: DataFrame, depth: int | None = 2) -> DataFrame:
     """(node, level, cause): files made stale by the direct ones through their importers.
 
     The cause is the importer chain's previous file. Among equally near ones it is the one first in
     the breadth-first order of sorted names, which is the order of the name paths; each node keeps
     the smallest path.
     """
-    depth = max(0, min(MAX_DEPTH, depth))
     edges, seen = cut(edges), cut(direct.select(*NODE).distinct())
     frontier = seen.withColumn("path_key", F.array("node"))
     importers = edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
     out = None
-    for level in range(1, depth + 1):
+    for level in rounds(depth):
         step = frontier.join(importers, NODE).groupBy(REPO, F.col("next").alias("node")).agg(F.min("path_key").alias("_via"))
         fresh = cut(step.join(seen, NODE, "left_anti").select(
             *NODE, F.lit(level).alias("level"), F.element_at("_via", -1).alias("cause"),
@@ -35,7 +33,7 @@ def propagate(edges: DataFrame, direct: DataFrame, depth: int = 2) -> DataFrame:
         rows = fresh.select(*NODE, "level", "cause")
         out = rows if out is None else out.unionByName(rows)
         seen, frontier = seen.unionByName(fresh.select(*NODE)), fresh.select(*NODE, "path_key")
-        if level < depth and fresh.isEmpty():
+        if level != depth and fresh.isEmpty():
             break
     if out is None:
         return seen.select(*NODE, F.lit(0).alias("level"), F.col("node").alias("cause")).limit(0)

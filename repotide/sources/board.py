@@ -29,10 +29,15 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (f.strip().split(" ", 1) for f in ddl.split(",")))
 
 
-def update_tasks(tasks: DataFrame, updates: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(updated board, one row with updated and skipped counts). ``updates`` has one row per id."""
+def update_tasks(tasks: DataFrame, updates: DataFrame, fields: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(updated board, one row with updated and skipped counts).
+
+    Of several updates of one id the last set value by ``order`` wins, field by field; without an order
+    column (or at a tie) the largest value.
+    """
     named = updates.filter(F.col("task_id").isNotNull())
-    changed = named.select("task_id", *[F.col(f).alias(f"_new_{f}") for f in fields])
+    last = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(*([F.col(order)] if order else []), F.col(f))))
+    changed = named.groupBy("task_id").agg(*[last(f).alias(f"_new_{f}") for f in fields])
     board = tasks.join(changed, "task_id", "left").select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in tasks.columns])
     known = tasks.select("task_id", F.lit(1).alias("_known"))

@@ -43,16 +43,21 @@ def scan_files(spark: SparkSession, root: str, repo: str, extensions=CODE_EXTENS
                modified_after: str | None = None, with_content: bool = False) -> DataFrame:
     """Inventory of the files below ``root``: path, directory, time, and content when asked for.
 
-    The extension list becomes the file source's glob filter, so other files are never listed as
-    input; ``content`` is read only when selected.
+    ``root`` is a path or URI of any store that Spark reads. The extension list, in either case, becomes
+    the file source's glob filter, so other files are never listed as input; ``content`` is read only when
+    selected.
     """
+    either = lambda ext: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
     reader = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*{" + ",".join(extensions) + "}"))
+              .option("pathGlobFilter", "*{" + ",".join(map(either, extensions)) + "}"))
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     raw = reader.load(root)
-    tail = F.regexp_replace(F.col("path"), r"^[a-zA-Z0-9+]+:/*", "/")
-    rel = F.substring(tail, len("/" + root.strip("/")) + 2, 1 << 20)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath()
+    tail = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")  # scheme and host
+    rel = F.substr(tail, F.lit(len(whole.rstrip("/")) + 2))
     out = raw.select(F.lit(repo).alias(REPO), rel.alias("path"), F.col("modificationTime").alias("mtime"),
                      F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
     out = scan_snapshot(out, extensions)
