@@ -356,7 +356,10 @@ def main_text(pages: Sequence[str | None], model: BiLstm) -> list[str]:
 
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> BiLstm:
     """Train on words of ``sample`` pages (the smallest id hashes), which is all that the driver reads."""
-    rows = pages.filter(F.col(html_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(sample).collect()
+    known = pages.filter(F.col(html_col).isNotNull() & F.col(id_col).isNotNull())
+    # Ids first: tasks send the least ids alone, not pages.
+    ids = [r[0] for r in known.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
+    rows = known.filter(F.col(id_col).isin(ids)).select(html_col).limit(sample).collect()
     words = sorted({w for r in rows for b in blocks(r[0]) for w in b.text.split(" ")[:400]})
     return train(words)
 
