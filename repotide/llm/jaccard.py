@@ -81,49 +81,37 @@ def prefix_sizes(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return min(n, prefix), min(n, prefix) - max(1, least // 10) + 1
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, key): size and content hash of each document's set."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in parts:
-            sets = [shingle_set(t.as_py(), words) for t in rows.column("text")]
-            keys = [xxhash.xxh128_hexdigest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys)], names=["doc_id", "n", "key"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, key string")
-
-
-def _tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, n, token): the hash-ordered prefix of every different set of a partition, cut to 48 bits.
+def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, key, tokens): size and content hash of each document's set, and its hash-ordered prefix,
+    cut to 48 bits, once for every different set of a partition (copies are told apart by content).
 
-    Copies inside a partition are told apart by content and emitted once; the node is the first one's id.
     Tokens only make candidates, so hashes that fall together cost time, not results.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[str] = set()
         for rows in parts:
             for begin in range(0, rows.num_rows, 1024):
                 part = rows.slice(begin, 1024)
-                nodes, sizes, prefixes = [], [], []
-                for node, text in zip(part.column("doc_id"), part.column("text"), strict=True):
+                ids, sizes, keys, prefixes = part.column("doc_id"), [], [], []
+                for known, text in zip(ids.is_valid().to_pylist(), part.column("text"), strict=True):
                     s = shingle_set(text.as_py(), words)
-                    if not len(s) or (key := xxhash.xxh128_digest(s.tobytes())) in seen:
-                        continue
-                    seen.add(key)
-                    nodes.append(node.as_py())
+                    key = xxhash.xxh128_hexdigest(s.tobytes())
                     sizes.append(len(s))
-                    prefixes.append((s[:prefix_sizes(len(s), percent)[0]] & np.uint64(_MASK)).astype(np.int64))
-                if nodes:
-                    counts = [len(p) for p in prefixes]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(nodes, counts), pa.int64()), pa.array(np.repeat(sizes, counts), pa.int32()),
-                        pa.array(np.concatenate(prefixes))], names=["node", "n", "token"])
+                    keys.append(key)
+                    if not len(s) or not known or key in seen:
+                        prefixes.append(None)
+                    else:
+                        seen.add(key)
+                        prefixes.append((s[:prefix_sizes(len(s), percent)[0]] & np.uint64(_MASK)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(sizes, pa.int32()), pa.array(keys), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "tokens"])
 
-    return docs.mapInArrow(run, "node long, n int, token long")
+    return docs.mapInArrow(run, "doc_id long, n int, key string, tokens array<long>")
 
 
-def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(edges u, v between sets that share a rare enough token; node, weight of those sets)."""
-    tokens = _tokens(docs, words, percent)
+    tokens = sets.select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     rows = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     least = -F.floor(-F.col("n") * percent / 100)
@@ -308,9 +296,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
        chunks with leaders until nothing is left to find.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(_sets(own, words))
+    sets = cut(_sets(own, words, percent))
     known = own.filter(F.col("doc_id").isNotNull())
-    edges, weights = _candidates(known, words, percent)
+    edges, weights = _candidates(sets, percent)
     coarse = connected(edges).withColumnRenamed("u", "node").withColumnRenamed("root", "comp")
     sizes = coarse.groupBy("comp").agg(F.count("*").alias("members"))
     nodes = cut(coarse.join(sizes, "comp").join(weights.groupBy("node").agg(F.max("weight").alias("weight")), "node").select(
@@ -329,5 +317,5 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     firsts = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_key = named.join(firsts, "root").select("key", "component_id")
     out = sets.join(by_key, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out
