@@ -159,7 +159,7 @@ def _(spark, sf):
 
 @query("c09_test_blocks", f"""SELECT repo_id, path, 'works ' || file_id AS name, p_size > 30 AS pseudo, p_size > 40 AS empty FROM fx_paths WHERE {_TEST_FILES}""")
 def _(spark, sf):
-    return extract.test_blocks(_tests(spark, sf)).filter(F.col("name").startswith("works")).select(
+    return extract.test_blocks(_tests(spark, sf)).select(
         "repo_id", "path", "name", "pseudo", "empty")
 
 
@@ -269,14 +269,14 @@ def _(spark, sf):
     return entropy.undocumented_exports(_code(spark, sf)).select("repo_id", "path", "line")
 
 
-@query("c16_todo_markers", f"SELECT repo_id, path, count(*) AS n FROM fx_links WHERE NOT {_TESTS} AND p_size BETWEEN 10 AND 24 GROUP BY 1, 2")
+@query("c16_todo_markers", f"SELECT repo_id, path, CAST({_L1} + CASE WHEN p_size < 20 THEN 4 ELSE 2 END AS INT) AS line FROM fx_links WHERE NOT {_TESTS} AND p_size BETWEEN 10 AND 24")
 def _(spark, sf):
-    return entropy.todo_markers(_code(spark, sf)).groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("n"))
+    return entropy.todo_markers(_code(spark, sf)).select("repo_id", "path", "line")
 
 
-@query("c17_console_residue", f"SELECT repo_id, path FROM fx_links WHERE NOT {_TESTS} AND p_size < 20")
+@query("c17_console_residue", f"SELECT repo_id, path, CAST({_L1} + 2 AS INT) AS line FROM fx_links WHERE NOT {_TESTS} AND p_size < 20")
 def _(spark, sf):
-    return entropy.console_residue(_code(spark, sf)).select("repo_id", "path")
+    return entropy.console_residue(_code(spark, sf)).select("repo_id", "path", "line")
 
 
 @query("c18_swallowed_errors", f"""SELECT repo_id, path, CASE WHEN p_size > 42 THEN 'bare rethrow' ELSE 'empty catch' END AS detail FROM fx_links WHERE NOT {_TESTS} AND p_size > 38""")
@@ -284,26 +284,32 @@ def _(spark, sf):
     return entropy.swallowed_errors(_code(spark, sf)).select("repo_id", "path", "detail")
 
 
-@query("c19_index_gaps", f"""WITH j AS (SELECT *, min(file_id) OVER (PARTITION BY repo_id, dir) AS a, max(file_id) OVER (PARTITION BY repo_id, dir) AS b
+_GAPS = f"""WITH j AS (SELECT *, min(file_id) OVER (PARTITION BY repo_id, dir) AS a, max(file_id) OVER (PARTITION BY repo_id, dir) AS b
    FROM fx_paths WHERE path LIKE '%.js' AND NOT {_TESTS}),
   i AS (SELECT DISTINCT repo_id, dir FROM j)
- SELECT repo_id, path FROM j WHERE file_id NOT IN (a, b) UNION ALL SELECT p.repo_id, p.path FROM fx_paths p JOIN i USING (repo_id, dir) WHERE p.path LIKE '%.test.js'""")
+ SELECT repo_id, path FROM j WHERE file_id NOT IN (a, b) UNION ALL SELECT p.repo_id, p.path FROM fx_paths p JOIN i USING (repo_id, dir) WHERE p.path LIKE '%.test.js'"""
+
+
+@query("c19_index_gaps", _GAPS)
 def _(spark, sf):
     return entropy.index_gaps(table(spark, sf, "fx_dir_sources")).select("repo_id", "path")
 
 
-@query("c20_unused_exports", f"""WITH e AS (SELECT repo_id, path, file_id, 'fn_' || file_id AS symbol FROM fx_paths WHERE NOT {_TESTS} AND p_size <= 35
+_UNUSED = f"""WITH e AS (SELECT repo_id, path, file_id, 'fn_' || file_id AS symbol FROM fx_paths WHERE NOT {_TESTS} AND p_size <= 35
    UNION ALL SELECT repo_id, path, file_id, 'v_' || file_id FROM fx_paths WHERE NOT {_TESTS}
    UNION ALL SELECT repo_id, path, file_id, 'C_' || file_id FROM fx_paths WHERE NOT {_TESTS} AND p_size BETWEEN 28 AND 33),
   used AS (SELECT repo_id, unnest(['fn_' || up_id, 'v_' || up_id]) AS symbol FROM fx_links WHERE up_id IS NOT NULL)
- SELECT repo_id, path, symbol AS detail FROM e WHERE (repo_id, symbol) NOT IN (SELECT (repo_id, symbol) FROM used)""")
+ SELECT repo_id, path, symbol AS detail FROM e WHERE (repo_id, symbol) NOT IN (SELECT (repo_id, symbol) FROM used)"""
+
+
+@query("c20_unused_exports", _UNUSED)
 def _(spark, sf):
     return entropy.unused_exports(_code(spark, sf)).select("repo_id", "path", "detail")
 
 
-@query("c21_async_without_try", f"SELECT repo_id, path FROM fx_links WHERE NOT {_TESTS} AND p_size BETWEEN 36 AND 42")
+@query("c21_async_without_try", f"SELECT repo_id, path, CAST({_L1} + 2 AS INT) AS line FROM fx_links WHERE NOT {_TESTS} AND p_size BETWEEN 36 AND 42")
 def _(spark, sf):
-    return entropy.async_without_try(_code(spark, sf)).select("repo_id", "path")
+    return entropy.async_without_try(_code(spark, sf)).select("repo_id", "path", "line")
 
 
 @query("c22_mutual_imports", "SELECT a.repo_id, a.src, a.dst FROM fx_edges a JOIN fx_edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
@@ -316,10 +322,12 @@ def _(spark, sf):
    UNION ALL SELECT 2, 'todo marker', 'low', (SELECT count(*) FROM fx_paths WHERE NOT {_TESTS} AND p_size BETWEEN 10 AND 24)
    UNION ALL SELECT 3, 'console residue', 'medium', (SELECT count(*) FROM fx_paths WHERE NOT {_TESTS} AND p_size < 20)
    UNION ALL SELECT 4, 'swallowed error', 'high', (SELECT count(*) FROM fx_paths WHERE NOT {_TESTS} AND p_size > 38)
-   UNION ALL SELECT 5, 'index export gap', 'medium', 0 UNION ALL SELECT 6, 'unused export', 'low', 0
+   UNION ALL SELECT 5, 'index export gap', 'medium', (SELECT count(*) FROM ({_GAPS})) UNION ALL SELECT 6, 'unused export', 'low', (SELECT count(*) FROM ({_UNUSED}))
    UNION ALL SELECT 7, 'async without try', 'high', (SELECT count(*) FROM fx_paths WHERE NOT {_TESTS} AND p_size BETWEEN 36 AND 42)
    UNION ALL SELECT 8, 'mutual import', 'high', (SELECT count(*) FROM fx_edges a JOIN fx_edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst))
  SELECT * FROM n UNION ALL SELECT 0, 'TOTAL', NULL, CAST(sum(findings) AS BIGINT) FROM n""")
 def _(spark, sf):
-    found = entropy.entropy_scan(_code(spark, sf), table(spark, sf, "fx_edges"), checks=(1, 2, 3, 4, 7, 8))
-    return entropy.entropy_report(found)
+    found = entropy.entropy_scan(_code(spark, sf), table(spark, sf, "fx_edges"), checks=(1, 2, 3, 4, 6, 7, 8))
+    # The code fixture has no index files; the directory fixture has.
+    gaps = entropy.entropy_scan(table(spark, sf, "fx_dir_sources"), checks=(5,))
+    return entropy.entropy_report(found.unionByName(gaps))

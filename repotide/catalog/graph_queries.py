@@ -65,6 +65,20 @@ def _(spark, sf):
     return graph.build_graph(table(spark, sf, "fx_code"))[1]
 
 
+@query("e01_typescript_graph", f"WITH g AS ({_GRAPH}) SELECT repo_id, regexp_replace(src, '[.]js$', '.ts') AS src, regexp_replace(dst, '[.]js$', '.ts') AS dst FROM g")
+def _(spark, sf):
+    code = table(spark, sf, "fx_code")
+    typed = code.withColumns({"path": F.regexp_replace("path", r"\.js$", ".ts"), "content": F.regexp_replace("content", r"\.js\b", ".ts")})
+    return graph.build_graph(typed, "typescript")[1]
+
+
+@query("e01_require_graph", _GRAPH)
+def _(spark, sf):
+    code = table(spark, sf, "fx_code")
+    called = F.regexp_replace("content", r"import (\{[^}]*\}) from ('[^']+');", "const $1 = require($2);")
+    return graph.build_graph(code.withColumn("content", called), require=True)[1]
+
+
 @query("e02_adjacency", "SELECT repo_id, src AS node, 'imports' AS relation, dst AS neighbour FROM fx_edges UNION ALL SELECT repo_id, dst, 'imported_by', src FROM fx_edges")
 def _(spark, sf):
     return graph.adjacency(_nodes(spark, sf), _edges(spark, sf))
@@ -155,7 +169,23 @@ def _(spark, sf):
     return graph.topo_order(_edges(spark, sf), _nodes(spark, sf))
 
 
-@query("e15_topological_batches")
+def _topo(p: str, nodes: str, links: str) -> str:
+    """CTEs over the CTEs ``nodes`` (repo_id, node) and ``links`` (src before dst): {p}c (repo_id, node, component, layer), {p}b (node, batch)."""
+    return f"""{p}r AS (SELECT src AS a, dst AS b FROM {links} WHERE src <> dst UNION SELECT r.a, l.dst FROM {p}r r JOIN {links} l ON r.b = l.src WHERE l.src <> l.dst),
+  {p}y AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM {p}r x JOIN {p}r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1, x.a),
+  {p}k AS (SELECT n.repo_id, n.node, coalesce(y.component, n.node) AS component FROM {nodes} n LEFT JOIN {p}y y USING (node)),
+  {p}d AS (SELECT DISTINCT a.component AS before, b.component AS after FROM {links} l JOIN {p}k a ON a.node = l.src JOIN {p}k b ON b.node = l.dst WHERE a.component <> b.component),
+  {p}v AS (SELECT component, 0 AS layer FROM {p}k UNION SELECT d.after, v.layer + 1 FROM {p}v v JOIN {p}d d ON d.before = v.component),
+  {p}c AS (SELECT k.repo_id, k.node, k.component, t.layer FROM {p}k k JOIN (SELECT component, max(layer) AS layer FROM {p}v GROUP BY 1) t USING (component)),
+  {p}s AS (SELECT *, count(*) OVER (PARTITION BY component) AS size, row_number() OVER (PARTITION BY component
+      ORDER BY (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM {links} WHERE src <> dst) l WHERE l.dst = {p}c.node), node) - 1 AS place FROM {p}c),
+  {p}h AS (SELECT repo_id, layer, sum(max(size)) OVER (PARTITION BY repo_id ORDER BY layer) - max(size) AS base FROM {p}s GROUP BY repo_id, layer),
+  {p}b AS (SELECT s.repo_id, s.node, CAST(h.base + s.place AS INT) AS batch FROM {p}s s JOIN {p}h h USING (repo_id, layer))"""
+
+
+@query("e15_topological_batches", f"""WITH RECURSIVE {FAILMAP}, i AS (SELECT DISTINCT repo_id, node FROM failmap),
+  l AS (SELECT e.dst AS src, e.src AS dst FROM fx_edges e WHERE e.src IN (SELECT node FROM i) AND e.dst IN (SELECT node FROM i)), {_topo('t', 'i', 'l')}
+ SELECT repo_id, node, batch FROM tb""")
 def _(spark, sf):
     involved = _failmap(spark, sf).select("repo_id", "node").distinct()
     return graph.topo_batches(graph.fix_graph(_edges(spark, sf), involved)[0], involved)
@@ -189,7 +219,11 @@ def _(spark, sf):
     return plan.filter("phase IN ('root_causes', 'leaf_nodes')").drop("batch")
 
 
-@query("e19_repair_plan_batches")
+@query("e19_repair_plan_batches", f"""WITH RECURSIVE {REACH}, {FAILMAP}, {COVER}, {CANDS}, {ROOTS}, l AS (SELECT e.dst AS src, e.src AS dst FROM fx_edges e WHERE e.src IN (SELECT node FROM cands) AND e.dst IN (SELECT node FROM cands)),
+  middle AS (SELECT c.* FROM cands c WHERE node NOT IN (SELECT node FROM roots) AND EXISTS (SELECT 1 FROM l WHERE l.src = c.node AND l.dst <> c.node)),
+  ml AS (SELECT src, dst FROM l WHERE src IN (SELECT node FROM middle) AND dst IN (SELECT node FROM middle)), {_topo('m', 'middle', 'ml')}, {_topo('q', 'cands', 'l')}
+ SELECT repo_id, 'independent' AS phase, batch, row_number() OVER (PARTITION BY repo_id, batch ORDER BY failing DESC, node) AS position, node, failing AS tests FROM mb JOIN middle USING (repo_id, node)
+ UNION ALL SELECT repo_id, 'order', 0, row_number() OVER (PARTITION BY repo_id ORDER BY layer, component, node), node, failing FROM qc JOIN cands USING (repo_id, node)""")
 def _(spark, sf):
     return repair.repair_plan(_edges(spark, sf), _failmap(spark, sf)).filter("phase IN ('independent', 'order')")
 

@@ -288,7 +288,7 @@ def _(spark, sf):
 def _(spark, sf):
     hooks.register_functions(spark)
     table(spark, sf, "fx_code").createOrReplaceTempView("k06_code")
-    return spark.sql("SELECT c.file_id, b.name FROM k06_code c, LATERAL test_blocks(c.content) b WHERE b.name LIKE 'works %'")
+    return spark.sql("SELECT c.file_id, b.name FROM k06_code c, LATERAL test_blocks(c.content) b")
 
 
 @query("k06_issue_table_function", """SELECT file_id, 'HIGH' AS severity FROM fx_audits WHERE layout = 'bracket' UNION ALL SELECT file_id, CASE WHEN p_size > 10 THEN 'CRITICAL' ELSE 'LOW' END FROM fx_audits WHERE layout = 'bracket'""")

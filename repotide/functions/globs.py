@@ -44,7 +44,7 @@ def glob_regex(patterns: Iterable[str], dialect: str = "anchored") -> str:
     return "^(?:" + "|".join(source(p) for p in patterns) + ")(?:/|$)"
 
 
-@F.udf(StringType())
+@F.udf(returnType=StringType(), useArrow=False)
 def anchored_source(pattern: str) -> str:
     """The alternative of one ``anchored`` pattern; for tables of patterns, which are small beside the files."""
     return _anchored(pattern)

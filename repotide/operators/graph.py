@@ -12,6 +12,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from repotide.functions.paths import in_scope
 from repotide.operators.extract import extract_exports, extract_imports, without_comments
@@ -26,12 +27,16 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.select(REPO, F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, exports) of source files; isolated files stay nodes."""
-    clean = without_comments(files)
-    resolved = resolve_imports(extract_imports(clean), files)
+def build_graph(files: DataFrame, language: str = "javascript", require: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, exports) of the source files of one language; isolated files stay nodes.
+
+    ``require`` also follows ``require(...)`` calls. Python texts keep their comments: its import forms
+    are whole lines.
+    """
+    clean = files if language == "python" else without_comments(files)
+    resolved = resolve_imports(extract_imports(clean, language, require), files, language=language)
     edges = resolved.select(REPO, F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
-    return files.select(REPO, F.col("path").alias("node")), edges, extract_exports(clean)
+    return files.select(REPO, F.col("path").alias("node")), edges, extract_exports(clean, "python" if language == "python" else "javascript")
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -268,23 +273,17 @@ def fix_graph(edges: DataFrame, involved: DataFrame) -> tuple[DataFrame, DataFra
     return links, degree.select(*NODE, F.col("imports").alias("out_degree"), F.col("imported_by").alias("in_degree"))
 
 
-def peel(links: DataFrame, nodes: DataFrame, break_cycles: bool = False) -> tuple[DataFrame, DataFrame]:
+def peel(links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node with layer, nodes left over): layers of nodes whose predecessors are all in earlier ones.
 
-    ``links``: src before dst. Without ``break_cycles`` nodes on or behind a cycle are left over. With
-    it, a repository that is stuck releases the one node of smallest in-degree (smallest name).
+    ``links``: src before dst. Nodes on or behind a cycle are left over.
     """
     todo = nodes.select(*NODE).distinct()
     inner = cut(induced(links.filter("src <> dst"), todo).select(REPO, "src", "dst").distinct())
     waits = inner.groupBy(REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
 
     def mark(state: DataFrame) -> DataFrame:
-        free = F.col("indeg") == 0
-        if not break_cycles:
-            return state.withColumn("go", free)
-        best = state.groupBy(REPO).agg(F.min(F.struct("indeg", "node")).alias("_b"))  # one row per repository
-        return state.join(best, REPO).withColumn(
-            "go", free | ((F.col("_b.indeg") > 0) & (F.col("node") == F.col("_b.node")))).drop("_b")
+        return state.withColumn("go", F.col("indeg") == 0)
 
     state = cut(mark(todo.join(waits, NODE, "left").na.fill(0, ["indeg"])))
     done = state.filter("go").select(*NODE, F.lit(0).alias("layer"))
@@ -320,5 +319,23 @@ def topo_order(edges: DataFrame, nodes: DataFrame, links_are_ordered: bool = Fal
 
 
 def topo_batches(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, batch) for parallel work; a stuck repository releases one node at a time."""
-    return peel(links, nodes, break_cycles=True)[0].withColumnRenamed("layer", "batch")
+    """(node, batch) for parallel work: what comes before a node is in an earlier batch, except inside a cycle.
+
+    Cycles are one component each and go through the layers as one; its nodes follow each other by
+    in-degree and name. A layer takes as many batches as its largest component has nodes, so rounds follow
+    the longest path, however many cycles there are.
+    """
+    from repotide.operators.windows import number_rows
+
+    nodes = cut(nodes.select(*NODE).distinct())
+    links = cut(induced(links.filter("src <> dst"), nodes).select(REPO, "src", "dst").distinct())
+    layers = cut(topo_layers(links, nodes, links_are_ordered=True))
+    sizes = layers.groupBy(REPO, "layer", "component").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(REPO).orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.groupBy(REPO, "layer").agg(F.max("_n").alias("_h")).select(
+        REPO, "layer", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_base"))  # a row per layer
+    waits = links.groupBy(REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_in"))
+    cyclic = layers.join(sizes.filter("_n > 1").select(REPO, "component"), [REPO, "component"], "left_semi").join(waits, NODE)
+    places = number_rows(cyclic, [REPO, "component"], [F.col("_in"), F.col("node")], "_rn").select(*NODE, "_rn")
+    return layers.join(places, NODE, "left").join(base, [REPO, "layer"]).select(
+        *NODE, (F.col("_base") + F.coalesce("_rn", F.lit(1)) - 1).cast("int").alias("batch"))

@@ -139,12 +139,20 @@ def match_by_token(tests: DataFrame, sources: DataFrame) -> DataFrame:
         by_token, [REPO, "_name"]).drop("_name")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, extensions=(".js",)) -> DataFrame:
+# Extensions tried for a specifier without one, in order; the first names the index file.
+RESOLVE_EXTENSIONS = {
+    "javascript": (".js", ".mjs", ".jsx"), "typescript": (".ts", ".tsx", ".js", ".jsx"), "python": (".py",),
+}
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] | None = None,
+                    language: str = "javascript") -> DataFrame:
     """(repo_id, path, spec, target): the first existing candidate of a relative specifier.
 
-    Candidates: the path itself when it has an extension, else with each extension, else the
+    ``extensions``: those of the language unless given. Candidates: the path itself when it has an extension, else with each extension, else the
     index file of the directory.
     """
+    extensions = extensions or RESOLVE_EXTENSIONS[language]
     relative = imports.filter(F.col("spec").startswith("."))
     base = join_path(dir_name(F.col("path")), F.col("spec"))
     tried = F.when(extension(base) != "", F.array(base)).otherwise(F.array(

@@ -143,14 +143,18 @@ def refresh_stream(changes: DataFrame, artefacts: DataFrame, state: str, target:
                    every: str | None = "60 seconds", doc_scope: str = "") -> StreamingQuery:
     """Each round: reduce the arrived files to their newest per artefact, then say what to rebuild.
 
-    ``state`` keeps a few rows per repository and round, so a round costs its own changes, not the
-    whole inventory. ``scanned`` counts the file changes seen.
+    Each round merges its changes with the state of the round before (a few rows per repository) into a
+    new state and reads no older one. ``scanned`` counts the file changes seen.
     """
     spark = changes.sparkSession
     schema = newest_sources(spark.createDataFrame([], changes.schema), doc_scope).schema
 
     def work(batch: DataFrame, batch_id: int) -> DataFrame:
-        newest_sources(batch, doc_scope).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        return judge_artefacts(artefacts, merge_newest(read_sink(spark, state, schema)))
+        now = newest_sources(batch, doc_scope)
+        if batch_id > 0:
+            last = spark.read.schema(schema).parquet(f"{state}/batch={batch_id - 1}")
+            now = merge_newest(now.unionByName(last)).select(*schema.fieldNames())
+        now.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        return judge_artefacts(artefacts, spark.read.schema(schema).parquet(f"{state}/batch={batch_id}"))
 
     return run(changes, target, checkpoint, every=every, work=work)

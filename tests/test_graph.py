@@ -2,9 +2,10 @@
 (one repository per graph)."""
 
 import random
-from collections import deque
+from collections import Counter, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from repotide.operators import graph
 from repotide.plans import impact, repair, waves
@@ -98,18 +99,23 @@ def test_topo_order(graphs, frames):
 
 
 def _batches(names, links):
-    left, out, batch = set(names), {}, 0
-    indeg = {n: sum(1 for a, b in links if b == n) for n in names}
-    while left:
-        ready = sorted(n for n in left if indeg[n] == 0)
-        take = ready or [min(left, key=lambda n: (indeg[n], n))]
-        for n in take:
-            out[n] = batch
-        left -= set(take)
-        for a, b in links:
-            if a in take and b in left:
-                indeg[b] = max(0, indeg[b] - 1)
-        batch += 1
+    """Layers of components, each as many batches high as its largest one; in a component by in-degree and name."""
+    comp = _components(names, links)
+    inside = {(a, b) for a, b in links if a != b}
+    layer = dict.fromkeys(set(comp.values()), 0)
+    for _ in layer:
+        for a, b in inside:
+            if comp[a] != comp[b]:
+                layer[comp[b]] = max(layer[comp[b]], layer[comp[a]] + 1)
+    size = Counter(comp.values())
+    height = Counter()
+    for c, at in layer.items():
+        height[at] = max(height[at], size[c])
+    out = {}
+    for c, at in layer.items():
+        members = sorted((n for n in names if comp[n] == c), key=lambda n: (sum(b == n for _, b in inside), n))
+        for i, n in enumerate(members):
+            out[n] = sum(height[x] for x in range(at)) + i
     return out
 
 
@@ -121,6 +127,17 @@ def test_topo_batches(graphs, frames):
             assert got[repo, n] == b
 
 
+def test_many_small_cycles_take_few_rounds(spark, monkeypatch):
+    """Forty separate two-node cycles go through one layer."""
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: written.append(1) or real(df))
+    rows = [("r", f"n{i}{a}", f"n{i}{b}") for i in range(40) for a, b in ("xy", "yx")]
+    edges = spark.createDataFrame(rows, "repo_id string, src string, dst string")
+    nodes = edges.select("repo_id", F.col("src").alias("node"))
+    got = Counter(r.batch for r in graph.topo_batches(edges, nodes).collect())
+    assert got == {0: 40, 1: 40} and len(written) < 25
+
+
 def _bfs(es, direct, depth):
     level, cause, queue = {d: 0 for d in direct}, {}, deque(sorted(direct))
     while queue:
