@@ -64,3 +64,21 @@ def test_alert_state_survives_a_restart(spark, tmp_path):
     add(spark, folder, [("r", dt.date(2024, 1, 2), 5), ("r", dt.date(2024, 1, 3), 9)], schema)
     rows = sorted((r["day"].day, r["last"], r["change"], r["notify"]) for r in go(spark, tmp_path, stream))
     assert rows == [(1, 0, 2, True), (2, 2, 3, False), (3, 5, 4, True)]
+
+
+def test_refresh_reads_one_earlier_state(spark, tmp_path):
+    """Three rounds; before the last one the oldest state is made unreadable."""
+    folder, state, schema = str(tmp_path / "in"), tmp_path / "state", "repo_id string, path string, mtime timestamp"
+    artefacts = spark.createDataFrame([("r", "deps", at(5))], "repo_id string, target string, generated_at timestamp")
+
+    def refresh():
+        stream = jobs.new_files(spark, folder, spark.createDataFrame([], schema).schema)
+        jobs.refresh_stream(stream, artefacts, str(state), str(tmp_path / "out"), str(tmp_path / "cp"), every=None).awaitTermination()
+
+    for round_, minutes in enumerate((1, 9, 3)):
+        add(spark, folder, [("r", f"src/f{round_}.js", at(minutes))], schema)
+        if round_ == 2:
+            (state / "batch=0" / "part-broken.parquet").write_bytes(b"not parquet")
+        refresh()
+    last = spark.read.parquet(str(state / "batch=2")).filter("target = 'deps'").first()
+    assert (last["newest_source"], last["scanned"]) == ("src/f1.js", 3)
