@@ -127,8 +127,10 @@ def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return edges, kept.select("node", "weight")
 
 
-def trie_links(base: list[np.ndarray], queries: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
-    """(index in base, indexes in queries linked with it) by walking a trie of the base sets.
+def trie_links(base: list[np.ndarray], queries: list[np.ndarray], percent: int = PERCENT,
+               strong: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index in base, indexes in queries linked with it, which of them at ``strong`` percent) by walking a
+    trie of the base sets.
 
     Tokens are ranked by how many sets have them, most first; the sets in rank order, sorted, are the trie:
     sets with a common beginning stand together, and its overlap with every query is counted once for all of
@@ -173,7 +175,8 @@ def trie_links(base: list[np.ndarray], queries: list[np.ndarray], percent: int =
             while low < high and depths[low] == stop:  # sets that end here
                 linked = overlap * (100 + percent) >= percent * (q[active] + sizes[low])
                 if linked.any():
-                    yield by_path[low], active[linked] + start
+                    sure = overlap[linked] * (100 + strong) >= strong * (q[active[linked]] + sizes[low])
+                    yield by_path[low], active[linked] + start, sure
                 low += 1
             while low < high:  # children: runs with the same next token
                 token, end = trie[low][stop], low + 1
@@ -202,7 +205,7 @@ def _join_small(rows: DataFrame, words: int, percent: int) -> DataFrame:
         for _, group in _grouped(parts, ["comp"]):
             sets = [shingle_set(r["text"], words) for r in group]
             labels = np.arange(len(sets))
-            for i, linked in trie_links(sets, sets, percent):
+            for i, linked, _ in trie_links(sets, sets, percent, percent):
                 _merge(labels, np.append(linked, i))
             nodes = np.array([r["node"] for r in group])
             moved = np.flatnonzero(labels != np.arange(len(sets)))
@@ -212,65 +215,74 @@ def _join_small(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _join_leaders(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v) links of members with leaders in every chunk; rows: comp, chunk, leads, node, text.
+    """(u, v, link) of members u with leaders v in every chunk; rows: comp, chunk, leads, node, text.
 
-    A member is linked with one leader; leaders that share a member are linked with each other. All links of
-    a member and leader are found, but what connects the same sets is not written twice.
+    ``link`` true: what connects the linked sets of the chunk, each pair of classes once. False: u is too far
+    from v to be linked, but near enough for a set linked with v to be linked with u; pairs of one class are
+    left out.
     """
+    near = max(1, 2 * percent - 100)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _grouped(parts, ["comp", "chunk"]):
             lead = [r for r in group if r["leads"]]
             rest = [r for r in group if not r["leads"]]
             if not lead or not rest:
                 continue
-            mine = np.arange(len(lead) + len(rest))
-            for i, linked in trie_links([shingle_set(r["text"], words) for r in lead], [shingle_set(r["text"], words) for r in rest], percent):
-                _merge(mine, np.append(linked + len(lead), i))
+            mine, close = np.arange(len(lead) + len(rest)), []
+            for i, found, sure in trie_links([shingle_set(r["text"], words) for r in lead], [shingle_set(r["text"], words) for r in rest], near, percent):
+                if sure.any():
+                    _merge(mine, np.append(found[sure] + len(lead), i))
+                close.append((i, found[~sure] + len(lead)))
             nodes = np.array([r["node"] for r in lead + rest])
             moved = np.flatnonzero(mine != np.arange(len(mine)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[mine[moved]], pa.int64())], names=["u", "v"])
+            # A set near several leaders of one class is named once.
+            size = len(mine)
+            away = np.unique(np.concatenate([np.zeros(0, np.int64), *[o[mine[o] != mine[i]] * size + mine[i] for i, o in close]]))
+            u = np.concatenate([nodes[moved], nodes[away // size]])
+            v = np.concatenate([nodes[mine[moved]], nodes[away % size]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.arange(len(u)) < len(moved))], names=["u", "v", "link"])
 
     return rows.repartition("comp", "chunk").sortWithinPartitions("comp", "chunk").select(
-        "comp", "chunk", "leads", "node", "text").mapInArrow(run, "u long, v long")
+        "comp", "chunk", "leads", "node", "text").mapInArrow(run, "u long, v long, link boolean")
 
 
 def _join_large(spark: SparkSession, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning links of groups of more than GROUP sets; rows: comp, node, weight, chunks, text.
 
-    Leaders (first the sets whose tokens are most common, later those of the smallest classes) meet all sets
-    of their group, chunk by chunk. A group is done when all its sets that have not led are in one class:
-    every pair with a leader was compared, and other pairs are already connected. Leaders of each round are
-    a bounded number per group.
+    Leaders (sets whose tokens are most common first) meet all sets of their group, chunk by chunk. What a
+    round leaves open: sets that no leader is linked with, which may be linked with each other, and sets near
+    a leader of another class, since Jaccard distance is a metric and only those can be linked with a set
+    that the leader is linked with. The next leaders are taken from them, until none are left.
     """
     rows = cut(rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
+    ids = rows.select("comp", "node", "weight")
     led = spark.createDataFrame([], "node long")
-    links = spark.createDataFrame([], "u long, v long")
-    state = rows.select("comp", "node", "weight", F.col("node").alias("class"))
-    turn = 0
+    pairs = spark.createDataFrame([], "u long, v long, link boolean")
+    pool, turn = ids, 0
     while True:
-        waiting = state.join(led, "node", "left_anti")
-        # Groups whose sets that have not led are in several classes, with the largest of those classes.
-        sizes = waiting.groupBy("comp", "class").agg(F.count("*").alias("k"))
-        order = Window.partitionBy("comp").orderBy(F.desc("k"), "class")
-        ranked = sizes.withColumn("r", F.row_number().over(order))
-        others = cut(waiting.join(ranked.filter("r > 1").select("comp", "class", "k"), ["comp", "class"]))
-        if others.isEmpty():
-            return links
-        pick = Window.partitionBy("comp").orderBy(*([F.desc("weight")] if turn == 0 else ["k"]), "node")
-        pool = waiting.withColumn("k", F.lit(1)) if turn == 0 else others
+        pick = Window.partitionBy("comp").orderBy(F.desc("weight"), "node")
         most = LEADERS[min(turn, len(LEADERS) - 1)]
-        chosen = cut(pool.withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= most).join(
-            others.select("comp").distinct(), "comp").select("comp", "node"))
-        open_ = rows.join(F.broadcast(chosen.select("comp").distinct()), "comp", "left_semi")
-        leaders = rows.join(F.broadcast(chosen.select("node")), "node", "left_semi")
+        chosen = cut(pool.withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= most).select("comp", "node"))
+        open_ = rows.join(chosen.select("comp").distinct(), "comp", "left_semi")
+        leaders = rows.join(chosen.select("node"), "node", "left_semi")
         copies = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         both = open_.select("comp", "chunk", F.lit(False).alias("leads"), "node", "text").unionByName(
             copies.select("comp", "chunk", F.lit(True).alias("leads"), "node", "text"))
-        new = cut(links.unionByName(_join_leaders(both, words, percent)))
-        links, led = new, cut(led.unionByName(chosen.select("node")))
-        classes = connected(links).withColumnRenamed("u", "node")
-        state = cut(rows.select("comp", "node", "weight").join(classes, "node", "left").select(
-            "comp", "node", "weight", F.coalesce("root", "node").alias("class")))
+        pairs = cut(pairs.unionByName(_join_leaders(both, words, percent)))
+        led = cut(led.unionByName(chosen.select("node")))
+        links = pairs.filter("link").select("u", "v")
+        classes = cut(connected(links))
+        named = lambda c: classes.select(F.col("u").alias(c), F.col("root").alias(f"{c}_class"))
+        apart = pairs.filter("not link").join(named("u"), "u", "left").join(named("v"), "v", "left").filter(
+            F.coalesce("u_class", "u") != F.coalesce("v_class", "v")).select(F.col("u").alias("node"))
+        alone = ids.join(classes.select(F.col("u").alias("node")), "node", "left_anti").join(led, "node", "left_anti")
+        some = alone.groupBy("comp").agg(F.count("*").alias("k")).filter("k > 1").select("comp")
+        left = alone.join(some, "comp", "left_semi").select("node").unionByName(apart).distinct().join(led, "node", "left_anti")
+        pool = cut(ids.join(left, "node", "left_semi"))
+        if pool.isEmpty():
+            return links
         turn += 1
 
 

@@ -181,7 +181,10 @@ def test_trie_finds_all_links(seed):
             base.append(np.unique(np.concatenate([core[rng.random(len(core)) < 0.93], rng.integers(0, 400, rng.integers(0, 4))])).astype(np.uint64))
     base = [b for b in base if len(b)]
     for queries in (base, base[::3]):
-        got = {(i, int(j)) for i, js in jaccard.trie_links(base, queries) for j in js}
+        found = [(i, int(j), bool(s)) for i, js, sure in jaccard.trie_links(base, queries, 60, 80) for j, s in zip(js, sure, strict=True)]
+        near = {(i, j) for i, a in enumerate(base) for j, b in enumerate(queries) if 100 * len(np.intersect1d(a, b)) >= 60 * len(np.union1d(a, b))}
+        assert {(i, j) for i, j, _ in found} == near
+        got = {(i, j) for i, j, s in found if s}
         want = {(i, j) for i, a in enumerate(base) for j, b in enumerate(queries)
                 if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
         assert got == want
