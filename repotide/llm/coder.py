@@ -23,10 +23,15 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Ids per block, sizes of the context tables, steps between updates of the order-0 shares.
-BLOCK, TABLE1, TABLE2, REFRESH = 4096, 1024, 2048, 128
-#: The coder's register has three 16-bit words; a range above FLOOR needs no new word.
-BITS, FLOOR, WORD = 48, 1 << 32, 0xFFFF
+BLOCK, TABLE1, TABLE2, REFRESH = 2048, 512, 1024, 128
+#: The coder's register has four 16-bit words; a range of FLOOR or more needs no new word.
+FLOOR, WORD = np.uint64(1 << 48), 0xFFFF
+#: Chances of the three parts of the mixture add up to SCALE, each id's share of the range to its square.
 SCALE = 1 << 16
+#: Least chance of order 0: enough for one unit of the finest share.
+LEAST0 = 4096
+
+_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
 MAGIC = b"TIDB"
 #: magic, ids, bytes of the payload, checksum of the ids, checksum of what stands before and of the payload
 HEADER = struct.Struct("<4sIIII")
@@ -51,11 +56,12 @@ class _Model:
     """Tables of ``n`` blocks; every method works on the first ``k`` of them."""
 
     def __init__(self, n: int):
-        self.t1, self.t2 = np.zeros(n * TABLE1, np.int32), np.zeros(n * TABLE2, np.int32)
-        self.b1, self.b2 = np.arange(n) * TABLE1, np.arange(n) * TABLE2
-        self.s1, self.s2 = np.full(n * 4, SCALE // 16, np.int32), np.full(n * 4, SCALE // 8, np.int32)
-        self.b4, self.b0 = np.arange(n) * 4, np.arange(n) * RANGES
-        self.bc = np.arange(n) * 129
+        # Both orders stand in one array: order 1 of all blocks, then order 2.
+        self.table = np.zeros(n * (TABLE1 + TABLE2), np.int32)
+        self.b1, self.b2 = np.arange(n) * TABLE1, n * TABLE1 + np.arange(n) * TABLE2
+        self.shares = np.repeat(np.array([SCALE // 16, SCALE // 8]), 4 * n)
+        self.b4 = np.stack([np.arange(n) * 4, 4 * n + np.arange(n) * 4])
+        self.b0, self.bc = np.arange(n) * RANGES, np.arange(n) * 129
         self.counts = np.full((n, RANGES), 4, np.int32)
         self.cum = np.full((n, 129), 1 << 30, np.int32)
         self.refresh(n)
@@ -66,27 +72,27 @@ class _Model:
         self.cum[:k, 1:RANGES + 1] = np.arange(1, RANGES + 1) + sums * (SCALE - RANGES) // sums[:, -1:]
 
     def predict(self, c1: np.ndarray, c2: np.ndarray, k: int) -> None:
-        self.j1 = (c1 * 0x9E3779B1 >> 13 & TABLE1 - 1) + self.b1[:k]
-        self.j2 = (c1 * 0x85EBCA6B + c2 * 0x27D4EB2F >> 16 & TABLE2 - 1) + self.b2[:k]
-        self.e1, self.e2 = self.t1[self.j1], self.t2[self.j2]
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.f1, self.f2 = self.e1 & 3, self.e2 & 3
-        self.k1, self.k2 = self.f1 + self.b4[:k], self.f2 + self.b4[:k]
-        self.r1, self.r2 = self.s1[self.k1].astype(np.int64), self.s2[self.k2].astype(np.int64)
-        self.w2 = (self.r2 * 64000 >> 16) + 64
-        self.w1 = ((SCALE - 512 - self.w2) * self.r1 >> 16) + 64
-        self.same = self.p1 == self.p2
-        self.w2 += np.where(self.same, self.w1, 0)
-        self.w1[self.same] = 0
+        self.j = np.empty((2, k), np.int64)
+        self.j[0] = (c1 * 0x9E3779B1 >> 13 & TABLE1 - 1) + self.b1[:k]
+        self.j[1] = (c1 * 0x85EBCA6B + c2 * 0x27D4EB2F >> 16 & TABLE2 - 1) + self.b2[:k]
+        self.entry = self.table[self.j]
+        self.sure = self.entry & 3
+        self.kept = self.entry >> 2
+        self.p1, self.p2 = self.kept
+        self.k = self.sure + self.b4[:, :k]
+        self.chance = self.shares[self.k]
+        r1, r2 = self.chance
+        self.w2 = (r2 * (SCALE - LEAST0 - 256) >> 16) + 64
+        self.w1 = ((SCALE - LEAST0 - 128 - self.w2) * r1 >> 16) + 64
+        same = self.w1 * (self.p1 == self.p2)
+        self.w2 += same
+        self.w1 -= same
 
     def update(self, x: np.ndarray, place: np.ndarray, k: int) -> None:
         """Learn the ids ``x`` of ranges ``place``."""
-        for table, j, e, f, p, shares, kk, r in (
-                (self.t1, self.j1, self.e1, self.f1, self.p1, self.s1, self.k1, self.r1),
-                (self.t2, self.j2, self.e2, self.f2, self.p2, self.s2, self.k2, self.r2)):
-            hit = x == p
-            table[j] = np.where(hit, e + (f < 3), np.where(f > 0, e - 1, x << 2))
-            shares[kk] = r + np.where(hit, SCALE - 1 - r >> 5, -(r >> 5))
+        hit = x == self.kept
+        self.table[self.j] = np.where(hit, self.entry + (self.sure < 3), np.where(self.sure > 0, self.entry - 1, x << 2))
+        self.shares[self.k] = self.chance + (hit * (SCALE - 1) - self.chance >> 5)
         self.counts.reshape(-1)[self.b0[:k] + place] += 32
 
 
@@ -94,67 +100,62 @@ def _check(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _ks(lengths: np.ndarray, steps: int) -> list[int]:
+    """For each step the number of blocks (longest first) that have an id there."""
+    return np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
+
+
 def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
     """Each block (ids below 2**18, at least one) as header and payload."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
     n, steps = len(order), int(lengths[0]) if len(order) else 0
-    ids = np.zeros((steps, n), np.int64)
+    ids = np.zeros((steps, n), np.int32)
     for column, i in enumerate(order):
         ids[:len(blocks[i]), column] = blocks[i]
     if n and (ids.max() >= MOST_ID or ids.min() < 0):
         raise ValueError("ids must be from 0 to 2**18 - 1")
     model = _Model(n)
-    low, span = np.zeros(n, np.int64), np.full(n, 1 << BITS, np.int64)
+    low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     width = 3 * steps + 8
     words, at = np.zeros((n, width), np.uint32), np.arange(n) * width
     flat, begin = words.reshape(-1), np.arange(n) * width
-
-    def put(k: int) -> None:
-        # A carry goes to the word before; it is passed on when all is written.
-        over = np.flatnonzero(low[:k] >> BITS)
-        if len(over):
-            flat[at[over] - 1] += 1
-            low[over] &= (1 << BITS) - 1
-        while len(small := np.flatnonzero(span[:k] <= FLOOR)):
-            flat[at[small]] = low[small] >> BITS - 16
-            at[small] += 1
-            low[small] = (low[small] & (1 << BITS - 16) - 1) << 16
-            span[small] <<= 16
-
     c1, c2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(steps):
-        k = int(np.searchsorted(-lengths, -t, "left"))
-        x = ids[t, :k]
+    for t, k in enumerate(_ks(lengths, steps)):
+        x = ids[t, :k].astype(np.int64)
         model.predict(c1[:k], c2[:k], k)
         place = _RANGE_OF[x]
-        two = x == model.p2
-        one = (x == model.p1) & ~two
+        two, one = x == model.p2, x == model.p1
         both = model.w2 + model.w1
-        start = np.where(two, 0, np.where(one, model.w2, both))
-        share = np.where(two, model.w2, np.where(one, model.w1, SCALE - both))
-        r = span[:k] >> 16
+        left = SCALE - both
+        cum, j = model.cum.reshape(-1), model.bc[:k] + place
+        under = cum[j].astype(np.int64)
+        share = left * (cum[j + 1] - under) // WIDTH[place]
+        start = (both << 16) + left * under + share * (x - FIRST[place])
+        # A prediction that is right takes its own part; order 2 comes first.
+        start = np.where(two, 0, np.where(one, model.w2 << 16, start)).view(np.uint64)
+        share = np.where(two, model.w2 << 16, np.where(one, model.w1 << 16, share)).view(np.uint64)
+        r = span[:k] >> _32
+        was = low[:k].copy()
         low[:k] += r * start
         span[:k] = r * share
-        put(k)
-        rest = ~(two | one)
-        j = model.bc[:k] + place
-        cum = model.cum.reshape(-1)
-        start = np.where(rest, cum[j], 0)
-        share = np.where(rest, cum[j + 1], SCALE) - start
-        r = span[:k] >> 16
-        fine = np.where(rest, WIDTH[place], 1)
-        inner = r * share // fine
-        low[:k] += r * start + inner * np.where(rest, x - FIRST[place], 0)
-        span[:k] = inner
-        put(k)
+        # A carry goes to the word before; it is passed on when all is written.
+        if len(over := np.flatnonzero(low[:k] < was)):
+            flat[at[over] - 1] += 1
+        small = np.flatnonzero(span[:k] < FLOOR)
+        while len(small):
+            flat[at[small]] = low[small] >> _48
+            at[small] += 1
+            low[small] <<= _16
+            span[small] <<= _16
+            small = small[span[small] < FLOOR]
         model.update(x, place, k)
         c2[:k] = c1[:k]
         c1[:k] = x
         if t % REFRESH == REFRESH - 1:
             model.refresh(k)
-    for shift in (BITS - 16, BITS - 32, 0):
-        flat[at] = low >> shift & WORD
+    for shift in (48, 32, 16, 0):
+        flat[at] = low >> np.uint64(shift) & np.uint64(WORD)
         at += 1
     used = at - begin
     for column in range(int(used.max()) - 1 if n else 0, 0, -1):
@@ -183,50 +184,40 @@ def decode_blocks(data: Sequence[bytes]) -> list[np.ndarray]:
     for column, i in enumerate(order):
         size = heads[i][2]
         words[column, :size // 2] = np.frombuffer(data[i], "<u2", size // 2, HEADER.size)
-    flat, at = words.reshape(-1), np.arange(n) * width + 3
-    first = words[:, :3].astype(np.int64)
-    code = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2]
-    span = np.full(n, 1 << BITS, np.int64)
-    model, ids = _Model(n), np.zeros((steps, n), np.int64)
-
-    def take(k: int) -> None:
-        while len(small := np.flatnonzero(span[:k] <= FLOOR)):
-            code[small] = code[small] << 16 | flat[at[small]]
-            at[small] += 1
-            span[small] <<= 16
-
+    flat, at = words.reshape(-1), np.arange(n) * width + 4
+    first = words[:, :4].astype(np.uint64)
+    code = first[:, 0] << _48 | first[:, 1] << _32 | first[:, 2] << _16 | first[:, 3]
+    span = np.full(n, 2**64 - 1, np.uint64)
+    model, ids = _Model(n), np.zeros((steps, n), np.int32)
     c1, c2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(steps):
-        k = int(np.searchsorted(-lengths, -t, "left"))
+    for t, k in enumerate(_ks(lengths, steps)):
         model.predict(c1[:k], c2[:k], k)
         both = model.w2 + model.w1
-        r = span[:k] >> 16
-        value = np.minimum(code[:k] // r, SCALE - 1)
-        two = value < model.w2
-        one = (value < both) & ~two
-        start = np.where(two, 0, np.where(one, model.w2, both))
-        share = np.where(two, model.w2, np.where(one, model.w1, SCALE - both))
-        code[:k] -= r * start
-        span[:k] = r * share
-        take(k)
-        rest = ~(two | one)
-        r = span[:k] >> 16
-        value = np.where(rest, np.minimum(code[:k] // r, SCALE - 1), 0)
+        left, part2, base = SCALE - both, model.w2 << 16, both << 16
+        r = span[:k] >> _32
+        value = np.minimum(code[:k] // r, np.uint64(2**32 - 1)).view(np.int64)
+        two, rest = value < part2, value >= base
+        target = np.where(rest, (value - base) // left, 0)
         cum, place = model.cum.reshape(-1), np.zeros(k, np.int64)
         for step in (64, 32, 16, 8, 4, 2, 1):
-            ahead = place + step
-            place = np.where(cum[model.bc[:k] + ahead] <= value, ahead, place)
+            place += step * (cum[model.bc[:k] + (place + step)] <= target)
         j = model.bc[:k] + place
-        start = np.where(rest, cum[j], 0)
-        share = np.where(rest, cum[j + 1], SCALE) - start
-        fine = np.where(rest, WIDTH[place], 1)
-        inner = r * share // fine
+        under = cum[j].astype(np.int64)
+        fine = WIDTH[place]
+        share = left * (cum[j + 1] - under) // fine
+        under = base + left * under
+        offset = np.minimum((value - under) // share, fine - 1)
+        x = np.where(rest, FIRST[place] + offset, np.where(two, model.p2, model.p1))
+        start = np.where(rest, under + share * offset, np.where(two, 0, part2)).view(np.uint64)
+        share = np.where(rest, share, np.where(two, part2, model.w1 << 16)).view(np.uint64)
         code[:k] -= r * start
-        offset = np.where(rest, np.minimum(code[:k] // inner, fine - 1), 0)
-        code[:k] -= inner * offset
-        span[:k] = inner
-        take(k)
-        x = np.where(two, model.p2, np.where(one, model.p1, FIRST[place] + offset))
+        span[:k] = r * share
+        small = np.flatnonzero(span[:k] < FLOOR)
+        while len(small):
+            code[small] = code[small] << _16 | flat[at[small]]
+            at[small] += 1
+            span[small] <<= _16
+            small = small[span[small] < FLOOR]
         model.update(x, _RANGE_OF[x], k)
         ids[t, :k] = x
         c2[:k] = c1[:k]
@@ -235,7 +226,7 @@ def decode_blocks(data: Sequence[bytes]) -> list[np.ndarray]:
             model.refresh(k)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for column, i in enumerate(order):
-        out[i] = ids[:heads[i][1], column].copy()
+        out[i] = ids[:heads[i][1], column].astype(np.int64)
         if _check(out[i]) != heads[i][3]:
             raise ValueError("ids do not fit their checksum")
     return out

@@ -22,7 +22,7 @@ from repotide.session import checkpoint_dir, cut
 
 END_ID = 0
 #: Documents per file (about), and blocks that are coded side by side.
-FILE_ROWS, ABREAST = 8000, 2048
+FILE_ROWS, ABREAST = 7000, 2560
 #: A record: first id of the block in its file, first document in its file, documents in the block; then for
 #: each of them its doc_id (least value: null) and its ids in this block; a checksum of all that; the coded block.
 RECORD = struct.Struct("<QQI")
@@ -65,7 +65,7 @@ class _Writer:
         """Rows for the whole blocks held; with ``last`` for the rest too."""
         if not self.held or not last and self.held < 2 * ABREAST * BLOCK:
             return
-        stream = np.concatenate(self.ids)
+        stream, self.ids = np.concatenate(self.ids), []
         use = len(stream) if last else ABREAST * BLOCK
         cut = [stream[i:min(i + BLOCK, use)] for i in range(0, use, BLOCK)]
         coded = encode_blocks(cut)

@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Entries kept before the cache of chunks starts afresh; bounds memory, never results.
 CACHE = 600_000
+#: Chunks that are encoded in one go.
+TOGETHER = 4096
 
 _SPACED = re.compile(r" \s")
 _CHUNKS = re.compile(r" (?=\S)")
@@ -33,32 +35,49 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # Bytes of text that each id stands for: a byte-level vocabulary has one character for each byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(added[i].encode()) if i in added else len(token)
+
+    def _learn(self, keys: list[str], chunks: list[str]) -> None:
+        """Encode chunks that each start with a blank before a visible character, many in one go, and cut the
+        ids at the chunks' ends."""
+        for start in range(0, len(keys), TOGETHER):
+            some = chunks[start:start + TOGETHER]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some])
+            stops = np.searchsorted(np.cumsum(self.widths[ids]), ends, "right")
+            data, begin = ids.tobytes(), 0
+            for key, stop in zip(keys[start:start + TOGETHER], (4 * stops).tolist(), strict=True):
+                self.known[key] = data[begin:stop]
+                begin = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none for null or empty."""
         if len(self.known) > CACHE:
             self.known.clear()
-        cut = []
+        cut: list[list[str] | bytes] = []
         for text in texts:
             text = text or ""
             if "\x00" in text:  # the mark below; such a text is encoded in one go
-                self.known[text] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                cut.append([text])
+                cut.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
             parts = _CHUNKS.split(text) if _SPACED.search(text) else text.split(" ")
             # Chunks after the first are kept without their blank; the first is marked, as it has none.
             parts[0] = "\x00" + parts[0]
             cut.append(parts)
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
+        new = set().union(*(c for c in cut if isinstance(c, list))) - self.known.keys()
         if new:
-            rest = [c for c in new if not c.startswith("\x00")]
-            plain = [c[1:] for c in new if c.startswith("\x00")]
-            before = [" " + c for c in rest]
-            encoded = self.tokenizer.encode_batch_fast(before + plain, add_special_tokens=False)
-            for chunk, got in zip(rest + ["\x00" + c for c in plain], encoded, strict=True):
-                self.known[chunk] = np.asarray(got.ids, "<u4").tobytes()
+            rest = [c for c in new if c and c[0] != "\x00"]
+            self._learn(rest, [" " + c for c in rest])
+            lone = [(c, c[1:] if c else " ") for c in new if not c or c[0] == "\x00"]  # "": a blank at the end of a text
+            for (key, _), got in zip(lone, self.tokenizer.encode_batch_fast([c for _, c in lone], add_special_tokens=False), strict=True):
+                self.known[key] = np.asarray(got.ids, "<u4").tobytes()
         get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        return [c if isinstance(c, bytes) else b"".join(map(get, c)) for c in cut]
 
 
 def encoder(path: str = BYTE_BPE) -> ChunkEncoder:
