@@ -79,6 +79,7 @@ def match_scanner(patterns: list[tuple[str, str, str]]):
     return scan
 
 
+# Fixed value: heading of a test block.
 _BLOCK = re.compile(r"""(?:test|it)\s*\(\s*['"`]([^'"`]+)['"`]\s*,\s*(?:async\s*)?\([^)]*\)\s*=>\s*\{""")
 _BRACE = re.compile(r"[{}]")
 

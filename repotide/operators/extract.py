@@ -24,6 +24,10 @@ IMPORT_FORMS = [
     r"""\bexport\s*\*\s*as\s*[\w$]+\s*from\s*['"]([^'"]+)['"]""",
 ]
 REQUIRE_FORM = r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)"""
+# Patterns of assertions, documented declarations and task dependencies.
+ASSERTION = r"expect\s*\(|assert\.|should\."
+DECLARATION_KINDS = r"(?:function|const|let|var|class|async\s+function)"
+DEPENDENCY = r"(?i)(?:blocked\s+by|depends\s+on|after|requires)[:\s]+\[([a-zA-Z0-9]+)\]"
 PYTHON_IMPORTS = [r"(?m)^\s*from\s+([\w.]+)\s+import", r"(?m)^\s*import\s+([\w.]+)"]
 
 
@@ -214,22 +218,20 @@ def test_blocks(tests: DataFrame) -> DataFrame:
     rows = tests.select(*FILE, F.explode(test_block_array(F.col("content"))).alias("b")).select(*FILE, "b.*")
     body = F.col("body")
     return rows.withColumns({
-        "pseudo": ~body.rlike(r"expect\s*\(|assert\.|should\."),
+        "pseudo": ~body.rlike(ASSERTION),
         "empty": F.length(F.btrim(body, F.lit(" \n\t\r"))) < 10})
 
 
 def parse_task_deps(tasks: DataFrame, column: str = "description") -> DataFrame:
     """(project_id, task_id, dep) named in task texts, distinct."""
-    pattern = r"(?i)(?:blocked\s+by|depends\s+on|after|requires)[:\s]+\[([a-zA-Z0-9]+)\]"
-    return tasks.select("project_id", "task_id", F.explode(F.array_distinct(_all(F.col(column), pattern))).alias("dep"))
+    return tasks.select("project_id", "task_id", F.explode(F.array_distinct(_all(F.col(column), DEPENDENCY))).alias("dep"))
 
 
 def doc_comment_coverage(files: DataFrame) -> DataFrame:
     """Per file: exported names, those declared right after a doc comment, rounded share (100 if none)."""
     text = F.col("content")
-    kinds = r"(?:function|const|let|var|class|async\s+function)"
     after = F.when(F.instr(text, "/**") > 0, F.substr(text, F.instr(text, "/**") + 3)).otherwise("")
-    documented = _all(after, rf"\*/\s*(?:export\s+)?{kinds}\s+(\w+)")
+    documented = _all(after, rf"\*/\s*(?:export\s+)?{DECLARATION_KINDS}\s+(\w+)")
     names = extract_exports(files, variant="names").groupBy(*FILE).agg(
         F.collect_set("symbol").alias("_names"))  # the names of one file
     rows = files.select(*FILE, documented.alias("_documented")).join(names, FILE, "left")

@@ -229,6 +229,8 @@ def modules_by_mode(mode: str, files: DataFrame, docs: DataFrame, audits: DataFr
             lists.append(_module_rows(missing(stats.filter("is_large"), docs, [REPO, "dir"]), "missing_doc", True, None))
         if audit:
             lists.append(_module_rows(missing(docs.select(REPO, "dir"), audits, [REPO, "dir"]), "missing_audit", None, True))
+    if not lists:  # nothing was asked for
+        return _module_rows(stats.limit(0), mode, None, None)
     return merge_modules(*lists)
 
 

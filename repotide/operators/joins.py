@@ -185,7 +185,7 @@ def overlay_failures(modules: DataFrame, runs: DataFrame) -> DataFrame:
     last = runs.groupBy(REPO).agg(F.max("run").alias("run"))
     failed = runs.join(last, [REPO, "run"], "left_semi").filter(
         F.col("status").isin("failed", "timeout", "cancelled")).groupBy(REPO, "module_id").agg(
-        F.max_by(F.struct("status", "reason"), "at").alias("_f"))
+        F.max_by(F.struct("status", "reason"), F.struct("at", "status", "reason")).alias("_f"))
     base = F.when(F.col("enable_audit"), "ready").otherwise("disabled")
     return modules.join(failed, [REPO, "module_id"], "left").select(
         REPO, "module_id", F.coalesce("_f.status", base).alias("status"), F.col("_f.reason").alias("error"))

@@ -82,8 +82,8 @@ def task_overview(types: DataFrame, results: DataFrame, history: DataFrame, keep
     """
     keys = [REPO, "task_name"]
     recent = keep_last(history, keys, [F.col("run_at").desc()], keep)
-    last = history.groupBy(*keys).agg(F.max_by(F.struct("status", "run_at", "processed"), "run_at").alias("h"))
-    result = results.groupBy(*keys).agg(F.max_by(F.struct("status", "run_at", "processed"), "run_at").alias("r"))
+    last = history.groupBy(*keys).agg(F.max_by(F.struct("status", "run_at", "processed"), F.struct("run_at", "status", "processed")).alias("h"))
+    result = results.groupBy(*keys).agg(F.max_by(F.struct("status", "run_at", "processed"), F.struct("run_at", "status", "processed")).alias("r"))
     rows = types.join(result, keys, "left").join(last, keys, "left")
     status = (F.when(F.col("r").isNotNull(), F.coalesce("r.status", F.lit("unknown")))
               .when(F.col("h").isNotNull(), F.coalesce("h.status", F.lit("completed"))).otherwise("never_run"))

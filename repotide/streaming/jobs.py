@@ -50,7 +50,7 @@ def stalled_runs(stream: DataFrame, silence: str = "35 minutes", delay: str = "0
     """
     n = lambda s: F.count_if(F.col("status") == s)
     sessions = stream.withWatermark("updated_at", delay).groupBy(F.session_window("updated_at", silence), REPO, "module_id").agg(
-        F.max("updated_at").alias("last_update"), F.max_by("status", "updated_at").alias("last_status"),
+        F.max("updated_at").alias("last_update"), F.max_by("status", F.struct(F.col("updated_at"), rank_of(F.col("status"), STATE_ORDER, -1))).alias("last_status"),
         n("completed").alias("processed"), n("pending").alias("pending"))
     return sessions.select(REPO, "module_id", "last_update", "processed", "pending", (F.col("last_status") == "running").alias("crashed"))
 

@@ -125,3 +125,14 @@ def test_blocks_with_one_stack():
         text = "".join(rng.choices(bits, k=rng.randint(0, 14)))
         assert [(b["name"], b["body"]) for b in scanners.find_test_blocks(text)] == brute_blocks(text)
     assert isinstance(scanners.test_block_array.func(pd.Series(["it('a', () => {" * 20_000])), pd.Series)  # broken, and still linear
+
+
+def test_latest_row_of_equal_times_is_fixed(spark):
+    """Repeated runs at one time give the same answer whatever the partitioning."""
+    from repotide.operators import joins
+
+    modules = spark.createDataFrame([("r", 1, True)], "repo_id string, module_id long, enable_audit boolean")
+    runs = spark.createDataFrame([("r", 1, 1, s, w, 5) for s, w in (("failed", "a"), ("timeout", "b"), ("failed", "c"))],
+                                 "repo_id string, run long, module_id long, status string, reason string, at long")
+    for n in (1, 2, 5):
+        assert joins.overlay_failures(modules, runs.repartition(n)).first()["error"] == "b"
