@@ -18,6 +18,9 @@ from repotide.session import cut, release
 WORDS = 5
 #: Two sets link when 100 * common >= PERCENT * union.
 PERCENT = 80
+#: The hash-ordered prefix is a fifth of a set plus its n / PART next tokens. A smaller PART costs more tokens
+#: and needs more of them shared before two sets become candidates: 27 % at 10, 40 % at 5.
+PART = 5
 #: Sets that one task joins among themselves; larger candidate groups are joined in chunks of so many.
 GROUP = 512
 #: Leaders per round of a large group: few at first, which is enough for tight groups.
@@ -72,13 +75,13 @@ def prefix_sizes(n: int, percent: int = PERCENT) -> tuple[int, int]:
     """(tokens of the hash-ordered prefix, those of it that count once ordered by rarity).
 
     Let a set of n share c >= least(n) tokens with a partner. The l least common tokens in hash order are
-    among the first n - c + l of both sets, so with l a tenth of the size the hash-ordered prefixes share at
-    least a tenth of the smaller set. Among so many common tokens in a prefix of p, the first in any other
+    among the first n - c + l of both sets, so with l = n / PART the hash-ordered prefixes share at least that
+    part of the smaller set. Among so many common tokens in a prefix of p, the first in any other
     order is within the first p - l + 1. Ordering by document frequency, tokens that nothing shares come first.
     """
     least = _least_overlap(n, percent)
-    prefix = n - least + max(1, n // 10)
-    return min(n, prefix), min(n, prefix) - max(1, least // 10) + 1
+    prefix = n - least + max(1, n // PART)
+    return min(n, prefix), min(n, prefix) - max(1, least // PART) + 1
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -115,8 +118,8 @@ def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     rows = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     least = -F.floor(-F.col("n") * percent / 100)
-    prefix = F.least(F.col("n"), F.col("n") - least + F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
-    rare = prefix - F.greatest(F.lit(1), F.floor(least / 10)) + 1
+    prefix = F.least(F.col("n"), F.col("n") - least + F.greatest(F.lit(1), F.floor(F.col("n") / PART)))
+    rare = prefix - F.greatest(F.lit(1), F.floor(least / PART)) + 1
     # Tokens that nothing shares come first and take their places; what is left goes to shared ones.
     left = (rare - (prefix - F.size("t"))).cast("int")
     weight = F.aggregate("t", F.lit(0).cast("double"), lambda a, x: a + x["df"]) / F.col("n")
