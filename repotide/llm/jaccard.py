@@ -24,7 +24,7 @@ PART = 5
 #: Sets that one task joins among themselves; larger candidate groups are joined in chunks of so many.
 GROUP = 512
 #: Leaders per round of a large group: few at first, which is enough for tight groups.
-LEADERS = (32, 256, 1024)
+LEADERS = (64, 1024, 2048)
 #: A table of node ids with at most so many rows may be broadcast.
 BROADCAST_ROWS = 500_000
 #: Queries that walk a trie together.
