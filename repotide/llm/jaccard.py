@@ -19,8 +19,8 @@ WORDS = 5
 #: Two sets link when 100 * common >= PERCENT * union.
 PERCENT = 80
 #: The hash-ordered prefix is a fifth of a set plus its n / PART next tokens. A smaller PART costs more tokens
-#: and needs more of them shared before two sets become candidates: 27 % at 10, 40 % at 5.
-PART = 5
+#: and needs more of them shared before two sets become candidates: 27 % at 10, 33 % at 8, 40 % at 5.
+PART = 8
 #: Sets that one task joins among themselves; larger candidate groups are joined in chunks of so many.
 GROUP = 512
 #: Leaders per round of a large group: few at first, which is enough for tight groups.
