@@ -16,6 +16,8 @@ DIMENSIONS = 1024
 SAMPLE_PER_LANGUAGE = 2000
 #: Documents whose vectors are bundled in one matrix product, and n-gram vectors kept by a worker.
 TOGETHER, GRAMS_KEPT = 64, 40_000
+#: Characters of a text looked at in one go (and about as many in one product), and n-gram vectors of a product.
+PART, SLICE = 1 << 20, 16_384
 UNKNOWN = "und"
 
 _SPACE = 32
@@ -50,9 +52,12 @@ class GramVectors:
             self.letters[code] = np.random.default_rng(code).choice(np.array([-1, 1], np.int8), self.dimensions)
         return self.letters[code]
 
-    def _bind(self, key: int) -> np.ndarray:
-        first, second, third = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
-        return np.roll(self._letter(first), 2) * np.roll(self._letter(second), 1) * self._letter(third)
+    def _bind(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones((len(keys), self.dimensions), np.int8)
+        for place, codes in enumerate((keys & 0x1FFFFF, keys >> 21 & 0x1FFFFF, keys >> 42)):
+            letters, at = np.unique(codes, return_inverse=True)
+            out *= np.roll(np.stack([self._letter(int(c)) for c in letters]), place, axis=1)[at]
+        return out
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Vectors of sorted different keys."""
@@ -60,10 +65,9 @@ class GramVectors:
             self._clear()
         new = np.setdiff1d(keys, self.keys, assume_unique=True)
         if len(new):
-            rows = np.stack([self._bind(int(k)) for k in new])
             merged = np.concatenate([self.keys, new])
             order = np.argsort(merged)
-            self.keys, self.rows = merged[order], np.concatenate([self.rows, rows])[order]
+            self.keys, self.rows = merged[order], np.concatenate([self.rows, self._bind(new)])[order]
         return self.rows[np.searchsorted(self.keys, keys)]
 
 
@@ -74,32 +78,56 @@ def _letters() -> np.ndarray:
     return _STATE["letters"]
 
 
-def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Different trigram keys and counts of the lower-cased text, runs of other characters being one blank;
-    None without letters."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = _letters()[codes]
-    keep = codes != _SPACE
-    if not keep.any():
-        return None
-    keep[1:] |= codes[:-1] != _SPACE  # the first blank of a run stays
-    codes = np.concatenate([[_SPACE], codes[keep], [_SPACE]])
-    return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
+def _trigram_parts(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different trigram keys and their counts for every PART characters of the lower-cased text, runs of
+    other characters than letters being one blank; parts without a trigram are left out."""
+    text = (text or "").lower()
+    tail, before = np.array([_SPACE]), _SPACE
+    for start in range(0, len(text), PART):
+        codes = _letters()[np.frombuffer(text[start:start + PART].encode("utf-32-le", "surrogatepass"), "<u4")]
+        keep = codes != _SPACE
+        keep[1:] |= codes[:-1] != _SPACE  # the first blank of a run stays
+        keep[0] |= before != _SPACE
+        before = codes[-1]
+        ends = [] if start + PART < len(text) else [_SPACE]
+        codes = np.concatenate([tail, codes[keep], ends]).astype(np.int64)
+        tail = codes[-2:]
+        if len(codes) > 2:
+            yield np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
+
+
+def _add_bundled(out: np.ndarray, parts: list[tuple[int, np.ndarray, np.ndarray]], grams: GramVectors) -> None:
+    """Add the trigram vectors of (row, keys, counts) to the rows, SLICE different keys at a time."""
+    keys = np.unique(np.concatenate([k for _, k, _ in parts]))
+    for start in range(0, len(keys), SLICE):
+        some = keys[start:start + SLICE]
+        counts = np.zeros((len(parts), len(some)), np.float32)
+        for i, (_, k, c) in enumerate(parts):
+            low, high = np.searchsorted(k, some[0]), np.searchsorted(k, some[-1], "right")
+            counts[i, np.searchsorted(some, k[low:high])] = c[low:high]
+        for (row, _, _), vector in zip(parts, counts @ grams(some).astype(np.float32), strict=True):
+            out[row] += vector
 
 
 def bundle(texts: list[str | None]) -> np.ndarray:
-    """Unit vector of every text: the sum of its trigram vectors; zeros without letters."""
+    """Unit vector of every text: the sum of its trigram vectors; zeros without letters.
+
+    Up to TOGETHER texts share a product. A product ends after PART trigrams and takes SLICE vectors at a
+    time, so what is held besides the texts follows neither their length nor their number of letters.
+    """
     grams: GramVectors = _STATE.setdefault("grams", GramVectors())
     out = np.zeros((len(texts), grams.dimensions), np.float32)
-    for start in range(0, len(texts), TOGETHER):
-        found = [(i, g) for i, t in enumerate(texts[start:start + TOGETHER]) if (g := trigrams(t))]
-        if not found:
-            continue
-        keys = np.unique(np.concatenate([k for _, (k, _) in found]))
-        counts = np.zeros((len(found), len(keys)), np.float32)
-        for row, (_, (k, c)) in enumerate(found):
-            counts[row, np.searchsorted(keys, k)] = c
-        out[[start + i for i, _ in found]] = counts @ grams(keys).astype(np.float32)
+    parts: list[tuple[int, np.ndarray, np.ndarray]] = []
+    size = 0
+    for row, text in enumerate(texts):
+        for keys, counts in _trigram_parts(text):
+            parts.append((row, keys, counts))
+            size += len(keys)
+            if len(parts) >= TOGETHER or size >= PART:
+                _add_bundled(out, parts, grams)
+                parts, size = [], 0
+    if parts:
+        _add_bundled(out, parts, grams)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -174,6 +174,51 @@ def test_language_edges(spark, docs, empty):
     assert {r["lang_pred"] for r in language.identify_language(unlabelled).collect()} == {"und"}
 
 
+def many_letters(size, seed=1):
+    """Letters of a script with many, by Zipf's law over 3500 of them."""
+    import numpy as np
+
+    share = 1 / np.arange(1, 3501)
+    return "".join(map(chr, 0x4E00 + np.random.default_rng(seed).choice(3500, size, p=share / share.sum())))
+
+
+def test_language_memory_does_not_follow_the_letters(monkeypatch):
+    import tracemalloc
+
+    text = many_letters(120_000)
+    assert len({text[i:i + 3] for i in range(len(text) - 2)}) > 80_000
+    monkeypatch.setattr(language, "_STATE", {})
+    language.bundle(["warm"])
+    tracemalloc.start()
+    whole = language.bundle([text, *(text[i:i + 2000] for i in range(0, 120_000, 2000))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * 2**20
+    assert abs(whole[1] - language.bundle([text[:2000]])[0]).max() < 1e-6
+
+
+def test_language_slices_and_parts_change_nothing(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aÀ ς.Σ\n漢字 b", k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "  ", "a", " a ", "..", many_letters(400)]
+    monkeypatch.setattr(language, "_STATE", {})
+    grams, want = language.GramVectors(), []
+    for text in texts:  # brute force
+        letters = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower()))
+        letters = " " + letters.lstrip(" ") + " " if letters.strip() else ""
+        total = 0 * grams._letter(97).astype(float)
+        for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+            total = total + np.roll(grams._letter(ord(a)), 2) * np.roll(grams._letter(ord(b)), 1) * grams._letter(ord(c))
+        want.append(total / (sum(total * total)**0.5 or 1))
+    for part, size, kept in ((1 << 20, 16_384, 40_000), (1, 5, 3), (7, 16, 20), (2, 1, 0)):
+        monkeypatch.setattr(language, "PART", part)
+        monkeypatch.setattr(language, "SLICE", size)
+        monkeypatch.setattr(language, "GRAMS_KEPT", kept)
+        got = language.bundle(texts)
+        assert max(abs(g - w).max() for g, w in zip(got, want, strict=True)) < 1e-5
+
+
 # Fingerprints
 
 @pytest.mark.parametrize("size", [5, 2000])
