@@ -19,8 +19,8 @@ FEATURES = PATH_BUCKETS + WORD_BUCKETS + MORE
 HIDDEN = 16
 #: Pages whose words fill the training pages (those with the smallest id hashes), training pages, passes.
 SAMPLE_PAGES, TRAINING_PAGES, PASSES = 100, 600, 10
-#: Pages labelled together.
-TOGETHER = 128
+#: Pages labelled together, and steps x pages (padding included) whose features are held at once.
+TOGETHER, CELLS = 128, 16_384
 
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -129,12 +129,13 @@ _WORDS = _Buckets()
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
-def features(page: Sequence[Block]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, length, linked share, place."""
-    out = np.zeros((len(page), FEATURES), np.float32)
+def features(page: Sequence[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row per block (of those from ``start`` to ``stop``): hashed path, hashed words, length, linked share, place."""
+    some = page[start:stop]
+    out = np.zeros((len(some), FEATURES), np.float32)
     if len(_WORDS) > 500_000:
         _WORDS.clear()
-    for i, block in enumerate(page):
+    for i, block in enumerate(some):
         if block.path not in _PATHS:
             if len(_PATHS) > 50_000:
                 _PATHS.clear()
@@ -143,7 +144,7 @@ def features(page: Sequence[Block]) -> np.ndarray:
         words = block.text.lower().split(" ")
         hashed = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words)) % WORD_BUCKETS
         out[i, PATH_BUCKETS:PATH_BUCKETS + WORD_BUCKETS] = np.bincount(hashed, minlength=WORD_BUCKETS) / len(words)
-        out[i, -MORE:] = (np.log1p(len(block.text)) / 8, block.linked / len(block.text), i / len(page), 1)
+        out[i, -MORE:] = (np.log1p(len(block.text)) / 8, block.linked / len(block.text), (start + i) / len(page), 1)
     return out
 
 
@@ -164,11 +165,13 @@ class BiLstm:
         self.p["o"], self.p["ob"] = rng.normal(0, 0.2, 2 * hidden), np.zeros(1)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States of one direction, in the order of time; with what the gradient needs if ``keep``."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool,
+             state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """States of one direction, in the order of time; with what the gradient needs if ``keep``; the last
+        state, from which the steps that follow in this direction go on."""
         steps, n, size = x.shape[0], x.shape[1], self.hidden
         given = (x.reshape(steps * n, -1) @ self.p[d + "x"] + self.p[d + "c"]).reshape(steps, n, -1)
-        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
+        h, c = state or (np.zeros((n, size), np.float32), np.zeros((n, size), np.float32))
         out, kept = np.zeros((steps, n, size), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = given[t] + h @ self.p[d + "h"]
@@ -181,12 +184,29 @@ class BiLstm:
                 kept.append((t, h, c, i, f, o, g, tanh, m))
             h, c = m * (o * tanh) + (1 - m) * h, m * new + (1 - m) * c
             out[t] = h
-        return out, kept
+        return out, kept, (h, c)
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         states = np.concatenate([self._run(d, x, mask, False)[0] for d in "fb"], 2)
         return _sigmoid(states @ self.p["o"] + self.p["ob"])
 
+    def predict_pages(self, pages: Sequence[Sequence[Block]]) -> np.ndarray:
+        """``predict`` of the features of the pages, made for slices of CELLS cells. The states of both
+        directions go on from slice to slice; what is kept of a step is one number."""
+        longest, size = max(len(p) for p in pages), self.hidden
+        steps = max(1, CELLS // len(pages))
+        if longest <= steps:
+            return self.predict(*padded([features(p) for p in pages]))
+        scores = np.zeros((longest, len(pages)), np.float32)
+        starts = range(0, longest, steps)
+        for k, d in enumerate("fb"):
+            state = None
+            for start in starts if d == "f" else reversed(starts):
+                x, mask = padded([features(p, start, start + steps) for p in pages])
+                out, _, state = self._run(d, x, mask, False, state)
+                scores[start:start + len(out)] += out @ self.p["o"][k * size:(k + 1) * size]
+        return _sigmoid(scores + self.p["ob"])
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over the steps in the mask."""
         runs = {d: self._run(d, x, mask, True) for d in "fb"}
@@ -346,11 +366,17 @@ def main_text(pages: Sequence[str | None], model: BiLstm) -> list[str]:
     found = [blocks(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i, b in enumerate(found) if b), key=lambda i: len(found[i]))
-    for start in range(0, len(order), TOGETHER):
-        some = order[start:start + TOGETHER]
-        chance = model.predict(*padded([features(found[i]) for i in some]))
+    start = 0
+    while start < len(order):
+        # As many pages as fit when padded to the longest, one at least.
+        stop = start + 1
+        while stop < len(order) and stop - start < TOGETHER and (stop + 1 - start) * len(found[order[stop]]) <= CELLS:
+            stop += 1
+        some = order[start:stop]
+        chance = model.predict_pages([found[i] for i in some])
         for j, i in enumerate(some):
             out[i] = "\n".join(b.text for b, c in zip(found[i], chance[:, j], strict=False) if c >= 0.5)
+        start = stop
     return out
 
 

@@ -315,3 +315,32 @@ def test_blocks_are_broken_where_blocks_start():
     found = pages.blocks("<div class='Main-content'>a<p>b <i>c</i><br>d<p>e</div><li>f<li>g<title>t</title><style>p{}</style>h</b></x>")
     assert [b.text for b in found] == ["a", "b c d", "e", "f", "g", "h"]
     assert found[1].path == ("div", "main", "content", "p") and found[2].path == found[1].path
+
+
+def test_long_page_beside_short_ones(labeller):
+    """Memory follows neither the longest page times the pages of a batch nor, but for its blocks, the page."""
+    import tracemalloc
+
+    short = "<nav><li>menu</li></nav><article>" + "<p>some words of the article</p>" * 12 + "</article><footer>end</footer>"
+    long = "<nav><li>menu</li></nav><article>" + "<p>some words of the article</p>" * 20_000 + "</article><footer>end</footer>"
+    pages.main_text([short], labeller)
+    tracemalloc.start()
+    got = pages.main_text([short] * 100 + [long], labeller)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * 2**20
+    assert got[:100] == pages.main_text([short], labeller) * 100
+    assert got[100].count("some words of the article") > 19_000
+
+
+def test_slices_of_a_page_change_nothing(labeller, monkeypatch):
+    made = [pages.blocks(p) for p, _ in pages.training_pages([f"w{i}" for i in range(500)], 40, seed=5)]
+    made = [b for b in made if b]
+    want = labeller.predict(*pages.padded([pages.features(b) for b in made]))
+    texts = [p for p, _ in pages.training_pages([f"w{i}" for i in range(500)], 40, seed=5)]
+    whole = pages.main_text(texts, labeller)
+    for cells in (1, 7, 3 * len(made), 400):
+        monkeypatch.setattr(pages, "CELLS", cells)
+        got = labeller.predict_pages(made)
+        assert all(abs(got[:len(b), j] - want[:len(b), j]).max() < 1e-4 for j, b in enumerate(made))
+        assert pages.main_text(texts, labeller) == whole
