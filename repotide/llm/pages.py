@@ -31,6 +31,8 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Where a raw element ends; only ASCII letters have two cases here.
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 @dataclass
@@ -69,7 +71,7 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     page = page or ""
-    at, size, lower = 0, len(page), None
+    at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
         if m is None:  # an unfinished tag
@@ -99,9 +101,8 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in RAW:
             if m[3].endswith("/"):
                 continue
-            lower = page.lower() if lower is None else lower
-            close = (lower if len(lower) == size else page).find(f"</{tag}", at)
-            at = size if close < 0 else close
+            close = _RAW_ENDS[tag].search(page, at)
+            at = size if close is None else close.start()
             end = page.find(">", at)
             at = size if end < 0 else end + 1
             continue

@@ -344,3 +344,8 @@ def test_slices_of_a_page_change_nothing(labeller, monkeypatch):
         got = labeller.predict_pages(made)
         assert all(abs(got[:len(b), j] - want[:len(b), j]).max() < 1e-4 for j, b in enumerate(made))
         assert pages.main_text(texts, labeller) == whole
+
+
+def test_raw_elements_end_in_either_case():
+    page = "<HTML><HEAD><TITLE>İstanbul</TITLE><STYLE>p{}</STYLE><SCRIPT>x='<p>'</ſcript></SCRIPT></HEAD><BODY><P>İyi günler<title>t</Title><p>son"
+    assert [b.text for b in pages.blocks(page)] == ["İyi günler", "son"]
