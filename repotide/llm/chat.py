@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ HEAD, END = "### ", "</turn>\n"
 CODES = ((END.strip(), "\\e"), (HEAD, "\\h"))
 #: A role also gives up the mark that ends it.
 ROLE_CODES = (*CODES, (":", "\\c"))
+#: The JSON reader takes records of so many bytes for sure; longer ones may come back unread.
+READABLE = 16_000_000
 #: Turns per chunk; a conversation is put together from chunks, never from single rows.
 CHUNK = 256
 
@@ -60,13 +63,30 @@ MAPPINGS = (
 )
 
 
+def _pick(found: Column, turns: Callable[[Mapping], Column], mappings: tuple[Mapping, ...]) -> tuple[Column, Column]:
+    """Whether the fingerprint is known, and the turns by its mapping (an empty array if not)."""
+    picked, known = None, None
+    for m in mappings:
+        same = found == fingerprint(F.parse_json(F.lit(m.example)))
+        picked = F.when(same, turns(m)) if picked is None else picked.when(same, turns(m))
+        known = same if known is None else known | same
+    empty = F.array().cast(TURNS)
+    return known, F.coalesce(picked.otherwise(empty), empty)
+
+
+def _part_turns(m: Mapping, value: Callable[[str], Column]) -> Column:
+    return F.array(*[F.struct((value(r) if r.startswith("$") else F.lit(r)).alias("role"), value(p).alias("text")) for r, p in m.parts])
+
+
 def canonical_turns(records: DataFrame, json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Add ``layout`` (fingerprint, null if unknown) and ``turns`` (role, text) to records in JSON.
 
     The mapping is picked by the fingerprint alone. A record of unknown layout, a null and text that is not
-    JSON have no turns (an empty array); a null field of a known layout is an empty text.
+    JSON have no turns (an empty array); a null field of a known layout is an empty text. A record of more
+    than READABLE bytes that the JSON reader refuses ends the job with an error, since its turns are unknown.
     """
-    variant = F.try_parse_json(F.col(json_col))
+    text = F.col(json_col)
+    variant = F.try_parse_json(text)
     found = fingerprint(variant)
 
     def value(path: str) -> Column:
@@ -77,16 +97,28 @@ def canonical_turns(records: DataFrame, json_col: str = "record", mappings: tupl
             kind = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
             return F.transform(F.try_variant_get(variant, m.turns, kind), lambda t: F.struct(
                 F.coalesce(t[m.role], F.lit("")).alias("role"), F.coalesce(t[m.text], F.lit("")).alias("text")))
-        return F.array(*[F.struct((value(r) if r.startswith("$") else F.lit(r)).alias("role"), value(p).alias("text")) for r, p in m.parts])
+        return _part_turns(m, value)
 
-    picked, known = None, None
-    for m in mappings:
-        same = found == fingerprint(F.parse_json(F.lit(m.example)))
-        picked = F.when(same, turns(m)) if picked is None else picked.when(same, turns(m))
-        known = same if known is None else known | same
-    empty = F.array().cast(TURNS)
-    return records.withColumns({
-        "layout": F.when(known, found), "turns": F.coalesce(picked.otherwise(empty), empty)})
+    known, picked = _pick(found, turns, mappings)
+    refused = variant.isNull() & (F.octet_length(text) > READABLE)
+    error = F.raise_error(F.concat(F.lit("the JSON reader refused a record of this many bytes: "), F.octet_length(text))).cast(TURNS)
+    return records.withColumns({"layout": F.when(known, found), "turns": F.when(refused, error).otherwise(picked)})
+
+
+def column_turns(rows: DataFrame, fields: dict[str, str], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """Add ``layout`` and ``turns`` as ``canonical_turns`` does for records of string columns (field -> column).
+
+    The layout is that of a record with these fields and empty texts; the texts come from the columns, so
+    they meet no JSON reader and no limit of it. Mappings that need other fields are passed over.
+    """
+    found = fingerprint(F.parse_json(F.to_json(F.struct(*[F.lit("").alias(f) for f in fields]))))
+
+    def value(path: str) -> Column:
+        return F.coalesce(F.col(fields[path[2:]]), F.lit(""))
+
+    flat = tuple(m for m in mappings if not m.turns and all(p[2:] in fields for pair in m.parts for p in pair if p.startswith("$")))
+    known, picked = _pick(found, lambda m: _part_turns(m, value), flat)
+    return rows.withColumns({"layout": F.when(known, found), "turns": picked})
 
 
 def escape(text: Column, codes: tuple[tuple[str, str], ...] = CODES) -> Column:
@@ -115,14 +147,16 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
                          text_col: str = "text", train_on: str = "assistant") -> DataFrame:
     """One formatted text per conversation from rows by turn: conv_id, formatted, masks.
 
-    Rows become records, go through ``canonical_turns`` and are formatted one by one. ``masks`` has for each
+    Rows are records of a role and a text, go through ``column_turns`` and are formatted one by one. ``masks`` has for each
     turn the characters to skip and then to train on (those of the escaped text of ``train_on`` turns). Turns
     go by turn, then by what is written for them; nulls first. A null role or text is empty, repeated rows are repeated turns,
     rows with a null id are one conversation, an empty table gives an empty result, other columns are ignored.
     Chunks of turns are concatenated first, so the task of a conversation gets few rows, whatever its length.
     """
-    record = F.to_json(F.struct(F.col(role_col).alias("role"), F.col(text_col).alias("text")), {"ignoreNullFields": "false"})
-    turns = canonical_turns(rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), record.alias("record")))
+    fields = rows.select(
+        F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"),
+        F.col(role_col).cast("string").alias("own_role"), F.col(text_col).cast("string").alias("own_text"))
+    turns = column_turns(fields, {"role": "own_role", "text": "own_text"})
     single = turns.select("conv_id", "turn", F.inline("turns"))
     body = F.length(escape(F.col("text")))
     whole = F.length(F.col("line"))

@@ -101,6 +101,18 @@ def test_layouts(spark):
     assert [r["layout"] is None for r in got] == [False] * 5 + [True] * 3
 
 
+def test_turns_longer_than_the_json_reader_takes(spark):
+    df = spark.range(2).selectExpr(
+        "1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", "if(id = 0, 'short', repeat('x', cast(20000000 + id as int))) text")
+    got = chat.chat_digests(chat.format_conversations(df)).first()
+    long = "x" * 20_000_001
+    assert (got["n_turns"], got["turns_sha256"]) == (2, brute.sha(f"user\nshort\nassistant\n{long}\n"))
+    assert (got["loss_chars"], got["loss_sha256"]) == (len(long), brute.sha(long))
+    record = df.selectExpr("to_json(struct('user' role, text content)) record")
+    with pytest.raises(Exception, match="refused a record"):
+        chat.canonical_turns(record).select(F.size("turns")).collect()
+
+
 def test_chat_query(spark):
     got = queries.op2_chat_format(spark, SF).filter("conv_id = -7").first()
     probe = chat.PROBE_TEXT
