@@ -78,20 +78,31 @@ class BlobLedger:
     """(rule_version, blob) -> findings, as a Parquet table in a shared folder, one subfolder a batch.
 
     A batch is written by Spark's committer, so one that fails leaves nothing to read and the next run
-    scans its blobs again. Blobs without findings are entered too: they were seen.
+    scans its blobs again. Blobs without findings are entered too: they were seen. With the path of an
+    earlier ledger its committed batches (those with a ``_SUCCESS`` file) are read; new ones get names of
+    their own, so what a failed one left is in nobody's way.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or f"{checkpoint_dir(spark)}/blob-ledger-{uuid.uuid4().hex}"
-        self.batches: list[str] = []
+        self.batches: list[str] = self._committed() if path else []
+
+    def _committed(self) -> list[str]:
+        """Folders of the batches that an earlier ledger at this path finished, in the order of their names."""
+        jvm, context = self.spark._jvm, self.spark.sparkContext
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/_SUCCESS")
+        found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(s.getPath().getParent().toString() for s in found or [])
 
     def entries(self, rule_version: str) -> DataFrame:
         """Blobs seen under a rule version, with their findings."""
         if not self.batches:
             return self.spark.createDataFrame([], SCANNED)
         found = self.spark.read.schema(f"rule_version string, {SCANNED}").parquet(*self.batches)
-        return found.filter(F.col("rule_version") == rule_version).select("blob", "findings")
+        found = found.filter(F.col("rule_version") == rule_version).select("blob", "findings")
+        # Runs at the same time may each have entered a blob.
+        return found.dropDuplicates(["blob"]) if len(self.batches) > 1 else found
 
     def scan(self, history: DataFrame, rules: Sequence[Rule] = RULES, rule_version: str = RULES_VERSION) -> str:
         """Scan the blobs of ``history`` that this rule version has not seen; the folder of the new batch.
@@ -111,7 +122,7 @@ class BlobLedger:
                 yield pa.RecordBatch.from_arrays([rows.column("blob"), pa.array(found, kind)], names=["blob", "findings"])
 
         scanned = blobs.dropDuplicates(["blob"]).mapInArrow(scan, SCANNED)
-        batch = f"{self.path}/batch={len(self.batches):06d}"
+        batch = f"{self.path}/batch={len(self.batches):06d}-{uuid.uuid4().hex}"
         scanned.select(F.lit(rule_version).alias("rule_version"), "blob", "findings").write.parquet(batch)
         self.batches.append(batch)
         return batch

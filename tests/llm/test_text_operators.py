@@ -153,6 +153,24 @@ def test_ledger_scans_only_what_is_new(spark):
     assert [r[0] for r in paths] == [3, 3]
 
 
+def test_ledger_is_reopened_by_its_path(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    one = brute.frame(spark, [(1, "a"), (3, "token=abcdefghijklmn")])
+    two = brute.frame(spark, [(1, "a"), (4, "b"), (3, "token=abcdefghijklmn")])
+
+    def seen(df, rules=secrets.RULES):
+        return spark.read.parquet(secrets.BlobLedger(spark, path).scan(secrets.versions(df), rules)).count()
+
+    broken = [type("Rule", (), {"needles": (), "pattern": "(", "flags": 0})()]
+    with pytest.raises(Exception):
+        seen(one, broken)
+    (tmp_path / "ledger" / "batch=000000").mkdir(parents=True, exist_ok=True)  # left by a batch that failed midway
+    assert [seen(one), seen(one), seen(two)] == [2, 0, 1]
+    for _ in range(2):
+        got = secrets.scan_secrets(spark, two, ledger=secrets.BlobLedger(spark, path)).collect()
+        assert sorted((r["doc_id"], len(r["findings"])) for r in got) == [(1, 0), (3, 1), (4, 0)]
+
+
 def test_redaction(spark):
     data = [(i, t) for i, t in enumerate(SECRET_TEXTS)]
     df = brute.frame(spark, data)
