@@ -12,8 +12,12 @@ from repotide.llm.common import table
 from repotide.llm.decontaminate import decontaminate
 from repotide.llm.jaccard import jaccard_components
 from repotide.llm.language import identify_language
+from repotide.llm.licenses import license_report, scan_licenses
+from repotide.llm.negatives import hard_negatives, shifted_labels
+from repotide.llm.oracles import ORACLES
 from repotide.llm.packing import pack_documents
 from repotide.llm.pages import extract_pages
+from repotide.llm.prefixes import conversation_trie
 from repotide.llm.secrets import scan_secrets
 from repotide.llm.sharding import even_tree, shard_documents
 from repotide.llm.sketches import as_text, fingerprint_documents
@@ -80,6 +84,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(scan_licenses(spark, table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(shifted_labels(table(spark, sf_dir, "embeddings")), "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -91,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
+    "op11_license_scan": op11_license_scan,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
