@@ -24,6 +24,9 @@ PASS = 8192
 #: Anchors and rows of a block of scores.
 ANCHOR_BLOCK, ROW_BLOCK = 256, 2048
 
+#: Largest score, so that hundredfold scores fit a long; larger ones count as this.
+MOST = 1 << 55
+
 _NONE = -(1 << 62)
 _ROWS = "uid long, vec_id long, label long, q array<double>"
 _FOUND = "anchor long, slot int, vec_id long, uid long, score long"
@@ -66,19 +69,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole inner products of all rows of ``a`` with all of ``b``.
+    """Whole inner products of all rows of ``a`` with all of ``b``, cut off at MOST either way.
 
-    Floating-point products are exact below 2 ** 53; where a sum could pass that, Python integers are used and
-    products beyond the range of a long end the job with an error, since no score could hold them.
+    Floating-point products are exact where no sum can reach 2 ** 53; the few others are worked out in Python integers.
     """
-    top = max(np.abs(a).max(initial=0), 1) * max(np.abs(b).max(initial=0), 1) * max(a.shape[1], 1)
-    if top < 2 ** 53:
-        return (a @ b.T).astype(np.int64)
-    exact = [[int(v) for v in row] for row in a], [[int(v) for v in row] for row in b]
-    out = np.array([[sum(x * y for x, y in zip(r, s, strict=True)) for s in exact[1]] for r in exact[0]], dtype=object)
-    if len(out) and max(abs(out.max()), abs(out.min())) >= 1 << 55:
-        raise OverflowError("an inner product does not fit a score")
-    return out.astype(np.int64)
+    big = np.outer(np.abs(a).max(axis=1, initial=1), np.abs(b).max(axis=1, initial=1)) >= 2.0 ** 53 / max(a.shape[1], 1)
+    with np.errstate(all="ignore"):
+        out = np.where(big, 0, a @ b.T).astype(np.int64)
+    for i, j in np.argwhere(big):
+        exact = sum(int(x) * int(y) for x, y in zip(a[i], b[j], strict=True))
+        out[i, j] = max(-MOST, min(MOST, exact))
+    return out
 
 
 class _Best:
@@ -196,7 +197,7 @@ def hard_negatives(
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of each anchor and positive.
 
     ``rows``: vec_id, embedding, label (others are not read); ``anchor``: a condition on (vec_id, label). The
-    score of a row is its integer inner product with the anchor, over the components both have. An anchor's
+    score of a row is its integer inner product with the anchor, over the components both have (at most MOST). An anchor's
     positives are its best ``positives`` other rows of its label; a positive's negatives are the best
     ``negatives`` rows of other labels from ``low`` to ``high`` hundredths of its score. Ties go to the smaller vec_id.
 

@@ -32,11 +32,11 @@ _NODE = "ka long, kb long, pa long, pb long, depth long, n_convs long, conv_id l
 
 
 def placed_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, at, role, text, words): turns numbered from 0 by ``turn``, null first; rows without conv_id go.
+    """(conv_id, at, ta, tb, words): turns numbered from 0 by ``turn``, null first; rows without conv_id go.
 
-    Null roles and texts are empty. Rows of one (conv_id, turn) follow each other by role and text hashes. The
-    numbers come from slices with offsets, so a conversation may hold any share of the rows. Whole texts are
-    sorted with neither: only hashes and counts are.
+    Null roles and texts are empty. Rows of one (conv_id, turn) follow each other by a hash of role and text.
+    The numbers come from slices with offsets, so a conversation may hold any share of the rows; what is sorted are
+    hashes and counts, not texts.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
