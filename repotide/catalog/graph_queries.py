@@ -127,8 +127,7 @@ def _(spark, sf):
 @query("e09_high_risk", f"""WITH RECURSIVE {REACH}, n AS (SELECT repo_id, b AS node, count(*) FILTER (a <> b) AS dependents FROM reach GROUP BY 1, 2),
   k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY dependents DESC, node) AS rn FROM n WHERE dependents >= 5) SELECT repo_id, node, dependents FROM k WHERE rn <= 10""")
 def _(spark, sf):
-    edges = _edges(spark, sf)
-    return impact.high_risk(graph.reach_counts(edges, graph.endpoints(edges)), least=5)
+    return impact.high_risk(graph.top_reach(_edges(spark, sf), impact.HIGH_RISK_TOP, least=5), least=5)
 
 
 @query("e10_module_breakdown", f"WITH {DIRECT}, {LEVELS} SELECT p.repo_id, split_part(f.path, '/', 1) AS module, count(*) AS files FROM prop p JOIN fx_files f ON f.file_id = p.node GROUP BY 1, 2")

@@ -8,19 +8,21 @@ lists are rows, never arrays: a hub may have any number of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repotide.functions.paths import in_scope
 from repotide.operators.extract import extract_exports, extract_imports, without_comments
 from repotide.operators.joins import resolve_imports
-from repotide.session import REPO, cut, release
+from repotide.session import REPO, cut, cut_counting, release
 
 NODE = [REPO, "node"]
-COMPACT_EVERY = 8  # rounds after which a union of per-round tables is written as one
+FAN_IN = 8  # tables of one level of a log that are written as one of the next level
+TRIM_SHARE = 4  # trimming goes on while a round drops more than one edge in so many
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -86,70 +88,122 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select(REPO, F.col("dst").alias("node")), NODE, "left_anti")
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie between cycles: repeatedly those from sources or into sinks.
+class Log:
+    """Rows that rounds of a loop add, as tables of growing size.
 
-    ``edges`` is a table made by ``cut``; the result is one too.
+    ``FAN_IN`` tables of a level become one of the next, so a row is written once for each level (the logarithm
+    of the rounds) and the union that reads them stays short.
+    """
+
+    def __init__(self):
+        self.levels: list[list[DataFrame]] = []
+
+    def add(self, table: DataFrame) -> None:
+        """``table`` is one made by ``cut``; the log owns it from here on."""
+        level = 0
+        while True:
+            if len(self.levels) == level:
+                self.levels.append([])
+            self.levels[level].append(table)
+            if len(self.levels[level]) < FAN_IN:
+                return
+            merged, table = self.levels[level], cut(reduce(DataFrame.unionByName, [t.select("*") for t in self.levels[level]]))
+            self.levels[level] = []
+            release(*merged)
+            level += 1
+
+    def rows(self) -> DataFrame | None:
+        """All rows added so far; None before the first ``add``."""
+        tables = [t for level in self.levels for t in level]
+        return reduce(DataFrame.unionByName, tables) if tables else None
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links, (repo_id, node, id)): the edges between numbers, and the numbers of their ends.
+
+    A number is a hash of the name, so it is found without a join and its order is random. Should two nodes ever
+    get the same one, all are dealt out anew with another seed.
+    """
+    ends = cut(endpoints(edges))
+    for salt in count():
+        number = lambda c: F.xxhash64(F.lit(salt), REPO, F.col(c))  # noqa: E731, B023
+        ids = ends.withColumn("id", number("node"))
+        twice = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if twice.isEmpty():
+            return edges.filter("src <> dst").select(number("src").alias("a"), number("dst").alias("b")).distinct(), ids
+
+
+def _trim(links: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Drop links that cannot lie between cycles: those from sources or into sinks, and again.
+
+    It stops once a round drops few of them, so the rounds follow the logarithm of the links and a long chain
+    is left to the labels. ``links`` is a table made by ``cut``, with ``size`` rows; the result is one too.
     """
-    size = edges.count()
     while size:
-        heads = edges.select(REPO, F.col("dst").alias("src")).distinct()
-        tails = edges.select(REPO, F.col("src").alias("dst")).distinct()
-        left = cut(edges.join(heads, [REPO, "src"], "left_semi").join(tails, [REPO, "dst"], "left_semi"))
-        before, size = size, left.count()
-        release(edges)
-        edges = left
-        if size == before:
+        heads, tails = links.select(F.col("b").alias("a")).distinct(), links.select(F.col("a").alias("b")).distinct()
+        left, seen = cut_counting(links.join(heads, "a", "left_semi").join(tails, "b", "left_semi").select("a", "b"))
+        release(links)
+        links, dropped, size = left, size - seen["rows"], seen["rows"]
+        if dropped * TRIM_SHARE <= size:
             break
-    return edges
+    return links, size
 
 
-def _min_labels(edges: DataFrame) -> DataFrame:
-    """(node, f, b): smallest node that reaches it and smallest node it reaches, itself included.
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, f, b): the least number that reaches it and the least one it reaches, itself included.
 
-    Only labels that changed in a round are sent in the next one.
+    Both directions are rows of one table. Labels go along the links, and along a link from the node that a label
+    names to the one that holds it. As numbers are in random order, that jumps over a share of the way already
+    known, so on chains and rings the rounds of a pass, and the passes, follow the logarithm of the length. (Behind a long chain a ring's label can meet
+    labels from the chain, which name nobody on the ring, and then it goes on link by link.) Only labels that changed,
+    or came to name another node, are sent.
     """
-    labels = cut(endpoints(edges).select(*NODE, F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")))
-    while True:
-        active = labels.filter("moved").select(*NODE, "f", "b")
-        none = F.lit(None).cast(labels.schema["f"].dataType)
-        forward = edges.join(active.withColumnRenamed("node", "src"), [REPO, "src"]).select(
-            REPO, F.col("dst").alias("node"), "f", none.alias("b"), none.alias("old_f"), none.alias("old_b"))
-        backward = edges.join(active.withColumnRenamed("node", "dst"), [REPO, "dst"]).select(
-            REPO, F.col("src").alias("node"), none.alias("f"), "b", none.alias("old_f"), none.alias("old_b"))
-        kept = labels.select(*NODE, "f", "b", F.col("f").alias("old_f"), F.col("b").alias("old_b"))
-        merged = kept.unionByName(forward).unionByName(backward).groupBy(*NODE).agg(
-            F.min("f").alias("f"), F.min("b").alias("b"), F.max("old_f").alias("old_f"), F.max("old_b").alias("old_b"))
-        moved = (F.col("f") < F.col("old_f")) | (F.col("b") < F.col("old_b"))
-        before, labels = labels, cut(merged.select(*NODE, "f", "b", moved.alias("moved")))
+    ways = cut(links.select(F.lit(True).alias("ahead"), F.col("a").alias("by"), F.col("b").alias("id")).unionByName(
+        links.select(F.lit(False).alias("ahead"), F.col("b").alias("by"), F.col("a").alias("id"))))
+    key = ["ahead", "id"]
+    # The first round's labels come straight from the links.
+    starts = ways.unionByName(ways.select("ahead", "by", F.col("by").alias("id")))  # also for nodes that nothing leads to
+    labels = starts.groupBy(*key).agg(F.least("id", F.min("by")).alias("label"))
+    labels, seen = cut_counting(labels.withColumn("moved", F.lit(True)), moved=F.col("label") < F.col("id"))
+    while seen["moved"]:
+        known = labels.select("ahead", F.col("id").alias("by"), "label", "moved")
+        jumps = labels.filter("label <> id").select("ahead", F.col("label").alias("by"), "id", F.col("moved").alias("fresh"))
+        told = ways.withColumn("fresh", F.lit(False)).unionByName(jumps).join(known, ["ahead", "by"]).filter("moved or fresh").select(
+            *key, "label", F.lit(None).cast("long").alias("old"))
+        merged = labels.select(*key, "label", F.col("label").alias("old")).unionByName(told).groupBy(*key).agg(
+            F.min("label").alias("label"), F.max("old").alias("old"))
+        before = labels
+        labels, seen = cut_counting(merged.select(*key, "label", (F.col("label") < F.col("old")).alias("moved")), moved=F.col("moved"))
         release(before)
-        if labels.filter("moved").isEmpty():
-            return labels.select(*NODE, "f", "b")
+    release(ways)
+    return labels.groupBy("id").agg(*[F.max(F.when(F.col("ahead") == side, F.col("label"))).alias(name) for name, side in (("f", True), ("b", False))])
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(repo_id, node, component) of nodes on a cycle; the component is its smallest node.
 
-    A node whose two smallest labels agree belongs to that label's component. Resolved components
-    leave, edges between different label pairs cannot lie on a cycle and leave too, and the rest is
-    solved again; every pass resolves at least the smallest node left.
+    A node whose two labels agree is in one component with the node they name. Solved components leave, links
+    between different label pairs cannot lie on a cycle and leave too, and the rest is solved again; every pass
+    solves at least the first node left.
     """
-    core = _trim(cut(edges.select(REPO, "src", "dst").filter("src <> dst").distinct()))
-    found = None
-    while not core.isEmpty():
-        labels = _min_labels(core)
-        solved = labels.filter("f = b").select(*NODE, F.col("f").alias("component"))
-        found = solved if found is None else found.unionByName(solved)
+    links, ids = _numbered(edges)
+    core, seen = cut_counting(links)
+    core, size = _trim(core, seen["rows"])
+    found = Log()
+    while size:
+        labels = cut(_labels(core))
+        found.add(labels)
         open_ = labels.filter("f <> b")
-        ends = lambda e: open_.select(REPO, F.col("node").alias(e), F.col("f").alias(f"{e}_f"), F.col("b").alias(f"{e}_b"))
-        rest = cut(core.join(ends("src"), [REPO, "src"]).join(ends("dst"), [REPO, "dst"]).filter(
-            (F.col("src_f") == F.col("dst_f")) & (F.col("src_b") == F.col("dst_b"))).select(REPO, "src", "dst"))
+        ends = lambda e: open_.select(F.col("id").alias(e), F.col("f").alias(f"{e}_f"), F.col("b").alias(f"{e}_b"))
+        rest, seen = cut_counting(core.join(ends("a"), "a").join(ends("b"), "b").filter("a_f = b_f AND a_b = b_b").select("a", "b"))
         release(core)
-        core = _trim(rest)
-    if found is None:
+        core, size = _trim(rest, seen["rows"])
+    solved = found.rows()
+    if solved is None:
         return endpoints(edges).withColumn("component", F.col("node")).limit(0)
-    big = found.groupBy(REPO, "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(REPO, "component")
-    return cut(found.join(big, [REPO, "component"], "left_semi").select(*NODE, "component"))
+    named = solved.filter("f = b").select("id", "f").join(ids, "id")
+    big = named.groupBy("f").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("component")).filter("_n > 1").drop("_n")
+    return cut(named.join(big, "f").select(*NODE, "component"))
 
 
 def scc(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -176,41 +230,106 @@ def component_of(rows: DataFrame, cyclic: DataFrame, node: str = "node") -> Data
         "component", F.coalesce("component", node))
 
 
-def _append(rows: DataFrame | None, fresh: DataFrame, turn: int) -> DataFrame:
-    """Union of written tables, written as one now and then so that the plan stays short."""
-    both = fresh if rows is None else rows.unionByName(fresh)
-    return cut(both) if turn % COMPACT_EVERY == 0 else both
+def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(repo_id, start, node): every ``start`` with all nodes that links (node -> next) lead to from its seeds.
+
+    ``seeds``: repo_id, start, node, themselves part of the result. A pair is written once and extended once.
+    Run it on a condensed graph so that no pairs inside a cycle are made.
+    """
+    pair = [REPO, "start", "node"]
+    frontier, size = cut_counting(seeds.select(*pair).distinct())
+    links, seen = cut(links.select(*NODE, "next")), Log()
+    while size["rows"]:
+        known = seen.rows()
+        step = frontier.join(links, NODE).select(REPO, "start", F.col("next").alias("node")).distinct().join(frontier, pair, "left_anti")
+        fresh, size = cut_counting(step if known is None else step.join(known, pair, "left_anti"))
+        seen.add(frontier)
+        frontier = fresh
+    rows = seen.rows()
+    return frontier if rows is None else rows
 
 
 def closure(dag: DataFrame, starts: DataFrame) -> DataFrame:
-    """(repo_id, start, node) pairs with ``node`` depending on ``start`` (importers), start included.
+    """(repo_id, start, node) pairs with ``node`` depending on ``start`` (importers), start included."""
+    return spread(dag.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next")),
+                  starts.select(REPO, "start", F.col("start").alias("node")))
+
+
+def reach_bounds(dag: DataFrame, weights: DataFrame) -> DataFrame:
+    """(repo_id, node, weight, lower, upper): bounds of the weight that transitively imports each node of ``dag``.
 
-    Semi-naive: only new pairs are extended. ``starts``: repo_id, start. Run it on a condensed graph
-    so that no pairs inside a cycle are made.
+    ``weights``: repo_id, node, weight, for every node. The upper bound adds up over all importers, so it counts
+    what comes by several ways several times (up to the weight of everything). The lower one follows a forest: each
+    node hands its share on to one of the files it imports, the one with most importers. Where no way splits and
+    meets again both are the exact number.
     """
-    pair = [REPO, "start", "node"]
-    frontier = cut(starts.select(REPO, "start", F.col("start").alias("node")).distinct())
-    seen = frontier
-    importers = cut(dag.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next")))
-    for turn in count(1):
-        step = frontier.join(importers, NODE).select(REPO, "start", F.col("next").alias("node")).distinct()
-        frontier = cut(step.join(seen, pair, "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = _append(seen, frontier, turn)
+    total = int(weights.agg(F.sum("weight")).first()[0] or 0)
+    width = dag.groupBy(REPO, "dst").agg(F.count(F.lit(1)).alias("_in"))
+    heir = dag.join(width, [REPO, "dst"]).groupBy(REPO, "src").agg(F.max(F.struct("_in", "dst")).alias("_to"))
+    share = weights.select(REPO, F.col("node").alias("src"), F.col("weight").alias("_w"))
+    links = dag.join(heir, [REPO, "src"]).join(share, [REPO, "src"]).select(
+        REPO, "src", "dst", "_w", (F.col("dst") == F.col("_to.dst")).alias("_heir"))
+    sums = {"lower": F.when(F.col("_heir"), F.col("_w") + F.col("lower")).otherwise(0),
+            "upper": F.col("_w") + F.least("upper", F.lit(total))}
+    placed, _ = peel(links, weights, sums)
+    return placed.join(weights, NODE).select(*NODE, "weight", "lower", F.least("upper", F.lit(total)).alias("upper"))
+
+
+def _reached(dag: DataFrame, weights: DataFrame, starts: DataFrame) -> DataFrame:
+    """(repo_id, component, reached): exact weight of the transitive importers of the ``starts`` (repo_id, component)."""
+    pairs = closure(dag, starts.select(REPO, F.col("component").alias("start"))).filter("node <> start")
+    met = pairs.join(weights, NODE).groupBy(REPO, F.col("start").alias("component")).agg(F.sum("weight").alias("reached"))
+    return starts.join(met, [REPO, "component"], "left").na.fill(0, ["reached"])
+
+
+def _weighed(edges: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cyclic nodes, condensed edges, component weights) of a graph and further nodes."""
+    cyclic = cyclic_nodes(edges)
+    every = component_of(endpoints(edges).unionByName(extra.select(*NODE)).distinct(), cyclic)
+    weights = cut(every.groupBy(REPO, F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("weight")))
+    return cyclic, cut(condense(edges, cyclic)), weights
+
+
+def _counted(dag: DataFrame, weights: DataFrame, asked: DataFrame) -> DataFrame:
+    """(repo_id, node, dependents) of ``asked`` (repo_id, node, component, weight, lower, upper).
+
+    Components whose bounds agree need no search; the others are closed exactly.
+    """
+    open_ = asked.filter("lower < upper").select(REPO, "component").distinct()
+    exact = _reached(dag, weights, open_)
+    return asked.join(exact, [REPO, "component"], "left").select(
+        *NODE, (F.coalesce("reached", "lower") + F.col("weight") - 1).alias("dependents"))
 
 
 def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(repo_id, node, dependents): transitive importers of each start, itself not counted."""
+    """(repo_id, node, dependents): transitive importers of each start, itself not counted.
+
+    Pairs of nodes are made only for starts above which ways split and meet again.
+    """
     edges = cut(edges)
-    cyclic = cyclic_nodes(edges)
-    asked = component_of(starts.select(*NODE).distinct(), cyclic)
-    sizes = cyclic.groupBy(REPO, "component").agg(F.count(F.lit(1)).alias("size"))
-    pairs = closure(condense(edges, cyclic), asked.select(REPO, F.col("component").alias("start")))
-    weighed = pairs.join(sizes.withColumnRenamed("component", "node"), NODE, "left")
-    total = weighed.groupBy(REPO, F.col("start").alias("component")).agg(
-        (F.sum(F.coalesce("size", F.lit(1))) - 1).alias("dependents"))
-    return asked.join(total, [REPO, "component"]).select(*NODE, "dependents")
+    starts = cut(starts.select(*NODE).distinct())
+    cyclic, dag, weights = _weighed(edges, starts)
+    bounds = reach_bounds(dag, weights).withColumnRenamed("node", "component")
+    return _counted(dag, weights, cut(component_of(starts, cyclic).join(bounds, [REPO, "component"])))
+
+
+def top_reach(edges: DataFrame, top: int, least: int = 1) -> DataFrame:
+    """(repo_id, node, dependents): at least the ``top`` files of each repository with most transitive importers.
+
+    Files with fewer than ``least`` are left out. A file can only be among the first if its upper bound reaches
+    the lower bound of the file in the last place, so only those are counted, and only where their bounds differ.
+    """
+    edges = cut(edges)
+    cyclic, dag, weights = _weighed(edges, endpoints(edges))
+    bounds = reach_bounds(dag, weights).withColumnRenamed("node", "component")
+    own = F.col("weight") - 1  # the other files on the same cycle
+    files = cut(component_of(endpoints(edges), cyclic).join(bounds, [REPO, "component"]))
+    place = Window.partitionBy(REPO).orderBy((F.col("lower") + own).desc(), "node")
+    first = files.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= top)
+    bar = first.groupBy(REPO).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("lower") + own).alias("_bar"))
+    bar = bar.select(REPO, F.greatest(F.lit(least), F.when(F.col("_n") == top, F.col("_bar")).otherwise(0)).alias("_bar"))
+    asked = files.join(bar, REPO).filter(F.col("upper") + own >= F.col("_bar")).drop("_bar")
+    return _counted(dag, weights, cut(asked)).filter(F.col("dependents") >= least)
 
 
 def rounds(depth: int | None):
@@ -218,24 +337,34 @@ def rounds(depth: int | None):
     return count(1) if depth is None else range(1, depth + 1)
 
 
-def _levels(edges: DataFrame, starts: DataFrame, depth: int | None, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _levels(starts: DataFrame, depth: int | None, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Nodes with the first level at which ``step`` (frontier -> repo_id, node) reaches them, down to
     ``depth`` levels, or all of them for None."""
-    seen = frontier = cut(starts.select(*NODE).distinct().withColumn("level", F.lit(0)))
+    frontier, size = cut_counting(starts.select(*NODE).distinct().withColumn("level", F.lit(0)))
+    seen = Log()
     for level in rounds(depth):
-        frontier = cut(step(frontier).distinct().join(seen, NODE, "left_anti").withColumn("level", F.lit(level)))
-        if level != depth and frontier.isEmpty():
+        if not size["rows"]:
             break
-        seen = _append(seen, frontier, level)
-    return seen
+        fresh, known = step(frontier).distinct().join(frontier, NODE, "left_anti"), seen.rows()
+        fresh = fresh if known is None else fresh.join(known, NODE, "left_anti")
+        fresh, size = cut_counting(fresh.withColumn("level", F.lit(level)))
+        seen.add(frontier)
+        frontier = fresh
+    known = seen.rows()
+    return frontier if known is None else known.unionByName(frontier)
 
 
-def impact(edges: DataFrame, changed: DataFrame, depth: int | None = 2) -> DataFrame:
-    """(repo_id, node, level): importers up to ``depth`` hops from the changed files (None: all), those excluded."""
+def importers_of(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(repo_id, node, level): the starts (level 0) and their importers, up to ``depth`` hops away (None: all)."""
     edges = cut(edges)
     importers = edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
     step = lambda f: f.join(importers, NODE).select(REPO, F.col("next").alias("node"))
-    return _levels(edges, changed, depth, step).filter("level > 0")
+    return _levels(starts, depth, step)
+
+
+def impact(edges: DataFrame, changed: DataFrame, depth: int | None = 2) -> DataFrame:
+    """(repo_id, node, level): importers up to ``depth`` hops from the changed files (None: all), those excluded."""
+    return importers_of(edges, changed, depth).filter("level > 0")
 
 
 def focus(edges: DataFrame, start: DataFrame, depth: int | None = 2, max_nodes: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -248,7 +377,7 @@ def focus(edges: DataFrame, start: DataFrame, depth: int | None = 2, max_nodes:
     both = edges.select(REPO, F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(
         edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next")))
     step = lambda f: f.join(both, NODE).select(REPO, F.col("next").alias("node"))
-    nodes = _levels(edges, start, depth, step)
+    nodes = _levels(start, depth, step)
     size = nodes.groupBy(REPO).agg(F.count(F.lit(1)).alias("nodes")).withColumn("too_large", F.col("nodes") >= max_nodes)
     return nodes, induced(edges, nodes), size
 
@@ -273,30 +402,48 @@ def fix_graph(edges: DataFrame, involved: DataFrame) -> tuple[DataFrame, DataFra
     return links, degree.select(*NODE, F.col("imports").alias("out_degree"), F.col("imported_by").alias("in_degree"))
 
 
-def peel(links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def peel(links: DataFrame, nodes: DataFrame, sums: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(node with layer, nodes left over): layers of nodes whose predecessors are all in earlier ones.
 
-    ``links``: src before dst. Nodes on or behind a cycle are left over.
-    """
-    todo = nodes.select(*NODE).distinct()
-    inner = cut(induced(links.filter("src <> dst"), todo).select(REPO, "src", "dst").distinct())
-    waits = inner.groupBy(REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
-
-    def mark(state: DataFrame) -> DataFrame:
-        return state.withColumn("go", F.col("indeg") == 0)
+    ``links``: src before dst. Nodes on or behind a cycle are left over. ``sums`` are further columns of the result:
+    each adds up, over the links into a node, an expression of the link's columns and the predecessor's own sums.
 
-    state = cut(mark(todo.join(waits, NODE, "left").na.fill(0, ["indeg"])))
-    done = state.filter("go").select(*NODE, F.lit(0).alias("layer"))
+    The number of predecessors is a fixed table. A round looks only at the links out of the nodes it placed and logs
+    for each node hit how many predecessors that were; what a node got before is read from the log. So rows
+    written follow the nodes and links, whatever the number of layers.
+    """
+    sums = sums or {}
+    todo = cut(nodes.select(*NODE).distinct())
+    inner = induced(links.filter("src <> dst"), todo)
+    inner = cut(inner.dropDuplicates([REPO, "src", "dst"]))
+    waits = cut(inner.groupBy(REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")))
+    zero = F.lit(0).cast("bigint")
+    last, size = cut_counting(todo.join(waits, NODE, "left_anti").select(
+        *NODE, zero.alias("got"), *[zero.alias(f"add_{c}") for c in sums], F.lit(True).alias("go"), F.lit(0).alias("layer"), *[zero.alias(c) for c in sums]),
+        go=F.lit(True))
+    log = Log()
     for layer in count(1):
-        ready, waiting = state.filter("go").select(*NODE), state.filter(~F.col("go")).select(*NODE, "indeg")
-        left = state.agg(F.count_if("go").alias("ready"), F.count(F.lit(1)).alias("all")).first()
-        if left["ready"] in (0, left["all"]):
-            return done, waiting.select(*NODE)
-        freed = inner.join(ready.withColumnRenamed("node", "src"), [REPO, "src"], "left_semi").groupBy(
-            REPO, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_freed"))
-        state = cut(mark(waiting.join(freed, NODE, "left").select(
-            *NODE, F.greatest(F.col("indeg") - F.coalesce("_freed", F.lit(0)), F.lit(0)).alias("indeg"))))
-        done = _append(done, state.filter("go").select(*NODE, F.lit(layer).alias("layer")), layer)
+        if not size["go"]:
+            break
+        placed = last.filter("go").select(REPO, F.col("node").alias("src"), *sums)
+        told = inner.join(placed, [REPO, "src"]).groupBy(REPO, F.col("dst").alias("node")).agg(
+            F.count(F.lit(1)).alias("got"), *[F.sum(e).cast("bigint").alias(f"add_{c}") for c, e in sums.items()])
+        parts = ["got", *[f"add_{c}" for c in sums]]
+        known = log.rows()
+        known = last if known is None else known.unionByName(last)
+        before = known.select(*NODE, *parts).join(told.select(*NODE), NODE, "left_semi")
+        both = told.select(*NODE, *parts, *[F.col(c).alias(f"new_{c}") for c in parts]).unionByName(
+            before.select(*NODE, *parts, *[zero.alias(f"new_{c}") for c in parts]))
+        whole = both.groupBy(*NODE).agg(*[F.sum(c).alias(c) for c in parts], *[F.sum(f"new_{c}").alias(f"new_{c}") for c in parts]).join(waits, NODE)
+        table, size = cut_counting(whole.select(
+            *NODE, *[F.col(f"new_{c}").alias(c) for c in parts], (F.col("got") == F.col("need")).alias("go"), F.lit(layer).alias("layer"),
+            *[F.col(f"add_{c}").alias(c) for c in sums]), go=F.col("go"))
+        log.add(last)
+        last = table
+    known = log.rows()
+    every = last if known is None else known.unionByName(last)
+    done = cut(every.filter("go").select(*NODE, "layer", *sums))
+    return done, todo.join(done, NODE, "left_anti")
 
 
 def topo_layers(edges: DataFrame, nodes: DataFrame, links_are_ordered: bool = False) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repotide.operators.graph import NODE, rounds
+from repotide.operators.graph import NODE, Log, rounds
 from repotide.operators.windows import keep_last, number_rows
-from repotide.session import REPO, cut
+from repotide.session import REPO, cut, cut_counting
 
 HIGH_RISK_DEPENDENTS = 50
 HIGH_RISK_TOP = 10
@@ -18,26 +18,31 @@ def propagate(edges: DataFrame, direct: DataFrame, depth: int | None = 2) -> Dat
     """(node, level, cause): files made stale by the direct ones through their importers.
 
     The cause is the importer chain's previous file. Among equally near ones it is the one first in
-    the breadth-first order of sorted names, which is the order of the name paths; each node keeps
-    the smallest path.
+    the breadth-first order of sorted names. That order is kept as one number per node: a level is sorted
+    by the cause's number and the name, so no row carries its path and rows stay the same size at any depth.
     """
-    edges, seen = cut(edges), cut(direct.select(*NODE).distinct())
-    frontier = seen.withColumn("path_key", F.array("node"))
+    edges = cut(edges)
     importers = edges.select(REPO, F.col("dst").alias("node"), F.col("src").alias("next"))
-    out = None
+
+    def sorted_(rows: DataFrame, *order: str) -> tuple[DataFrame, dict[str, int]]:
+        laid = rows.repartitionByRange(REPO, *order).sortWithinPartitions(REPO, *order)
+        return cut_counting(laid.withColumn("place", F.monotonically_increasing_id()).select(*NODE, "level", "cause", "place"))
+
+    frontier, size = sorted_(direct.select(*NODE).distinct().withColumns({"level": F.lit(0), "cause": F.col("node")}), "node")
+    seen = Log()
     for level in rounds(depth):
-        step = frontier.join(importers, NODE).groupBy(REPO, F.col("next").alias("node")).agg(F.min("path_key").alias("_via"))
-        fresh = cut(step.join(seen, NODE, "left_anti").select(
-            *NODE, F.lit(level).alias("level"), F.element_at("_via", -1).alias("cause"),
-            F.concat("_via", F.array("node")).alias("path_key")))
-        rows = fresh.select(*NODE, "level", "cause")
-        out = rows if out is None else out.unionByName(rows)
-        seen, frontier = seen.unionByName(fresh.select(*NODE)), fresh.select(*NODE, "path_key")
-        if level != depth and fresh.isEmpty():
+        if not size["rows"]:
             break
-    if out is None:
-        return seen.select(*NODE, F.lit(0).alias("level"), F.col("node").alias("cause")).limit(0)
-    return out
+        step = frontier.join(importers, NODE).groupBy(REPO, F.col("next").alias("node")).agg(
+            F.min(F.struct("place", F.col("node").alias("cause"))).alias("via"))
+        fresh, known = step.join(frontier, NODE, "left_anti"), seen.rows()
+        fresh = fresh if known is None else fresh.join(known, NODE, "left_anti")
+        fresh, size = sorted_(fresh.select(*NODE, F.lit(level).alias("level"), "via.cause", F.col("via.place").alias("by")), "by", "node")
+        seen.add(frontier)
+        frontier = fresh
+    known = seen.rows()
+    every = frontier if known is None else known.unionByName(frontier)
+    return every.filter("level > 0").select(*NODE, "level", "cause")
 
 
 def propagation_summary(direct: DataFrame, propagated: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repotide.operators.graph import (
-    NODE, closure, component_of, condense, cyclic_nodes, degrees, fix_graph, topo_batches, topo_order)
+    NODE, component_of, condense, cyclic_nodes, degrees, fix_graph, importers_of, spread, topo_batches, topo_order)
 from repotide.operators.windows import batches, keep_last, number_rows
 from repotide.session import REPO, cut
 
@@ -18,14 +18,19 @@ COVER_SHARE = 0.7
 def potential_cover(edges: DataFrame, failing_map: DataFrame) -> DataFrame:
     """(node, test_path): failing tests on a file or on anything that transitively imports it.
 
-    ``failing_map``: repo_id, node, test_path. Walks the condensed graph, so a cycle is one node.
+    ``failing_map``: repo_id, node, test_path. Each failing test is pushed from its files to what they import, on
+    the condensed graph, so rows are distinct (component, test), never (file, file). Only components from
+    which an involved file can be reached are walked.
     """
     edges = cut(edges)
     cyclic = cyclic_nodes(edges)
-    failing = component_of(failing_map.select(*NODE, "test_path").distinct(), cyclic)
-    tests = failing.select(REPO, F.col("component").alias("node"), "test_path").distinct()
-    pairs = closure(condense(edges, cyclic), failing.select(REPO, F.col("component").alias("start")))
-    covered = pairs.join(tests, NODE).select(REPO, F.col("start").alias("component"), "test_path").distinct()
+    failing = cut(component_of(failing_map.select(*NODE, "test_path").distinct(), cyclic))
+    involved = failing.select(REPO, F.col("component").alias("node")).distinct()
+    dag = cut(condense(edges, cyclic))
+    above = importers_of(dag, involved).select(REPO, F.col("node").alias("dst"))
+    links = dag.join(above, [REPO, "dst"], "left_semi").select(REPO, F.col("src").alias("node"), F.col("dst").alias("next"))
+    pushed = spread(links, failing.select(REPO, F.col("test_path").alias("start"), F.col("component").alias("node")))
+    covered = pushed.join(involved, NODE, "left_semi").select(REPO, F.col("node").alias("component"), F.col("start").alias("test_path"))
     return failing.select(*NODE, "component").distinct().join(covered, [REPO, "component"]).select(*NODE, "test_path")
 
 

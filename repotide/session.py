@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 REPO = "repo_id"
 _TABLES: list[DataFrame] = []
@@ -61,6 +62,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut(df)``, its number of rows as ``rows``, and the numbers of rows for which the conditions ``counts`` hold.
+
+    The numbers are observed while the table is written, so a loop needs no second job to see whether it is done.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]))
+    found = seen.get
+    return out, {n: int(found.get(n) or 0) for n in ("rows", *counts)}
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that a later round has replaced."""
     for df in tables:

@@ -1,6 +1,7 @@
 """Graph and plan operators against plain-Python brute force on many small random graphs at once
 (one repository per graph)."""
 
+import math
 import random
 from collections import Counter, deque
 
@@ -163,7 +164,6 @@ def test_propagation_cause(graphs, frames, depth):
 
 
 def _greedy(cands, cover, failing):
-    import math
     target = max(1, math.ceil(failing * 0.7 - 1e-9))
     cap = min(8, max(2, math.ceil(len(cands) * 0.25)))
     covered, picked = set(), []
@@ -236,3 +236,126 @@ def test_focus_flags_large_graphs(spark):
     nodes, links, size = graph.focus(edges, start, 1, max_nodes=50)
     assert nodes.count() == 61 and links.count() == 60 and size.first()["too_large"]
     assert not graph.focus(edges, start, 1)[2].first()["too_large"]
+
+
+def _watch(monkeypatch, module=graph):
+    """Rows of every table that ``module`` writes."""
+    written = []
+
+    def note(name):
+        real = getattr(module, name)
+
+        def wrapped(*args, **conditions):
+            out = real(*args, **conditions)
+            written.append((out[0] if isinstance(out, tuple) else out).count())
+            return out
+
+        monkeypatch.setattr(module, name, wrapped)
+
+    note("cut")
+    note("cut_counting")
+    return written
+
+
+def _links(spark, rows):
+    return spark.createDataFrame([("r", a, b) for a, b in rows], "repo_id string, src string, dst string")
+
+
+def test_component_rounds_on_long_paths(spark, monkeypatch):
+    """A chain of 120 files and a ring of 80: the tables follow the square of the logarithm, not the length."""
+    written = _watch(monkeypatch)
+    names = [f"n{i:04d}" for i in range(200)]
+    random.Random(1).shuffle(names)
+    chain, ring = names[:120], names[120:]
+    rows = list(zip(chain, chain[1:])) + list(zip(ring, ring[1:])) + [(ring[-1], ring[0])]
+    got = {r.node: r.component for r in graph.cyclic_nodes(_links(spark, rows)).collect()}
+    assert got == dict.fromkeys(ring, min(ring))
+    assert len(written) < 2 * math.log2(200) ** 2
+
+
+def test_equal_numbers_are_dealt_anew(spark, monkeypatch):
+    real, salts = F.xxhash64, []
+
+    def weak(salt, *names):
+        salts.append(1)
+        return F.lit(7).cast("long") if len(salts) == 1 else real(salt, *names)
+
+    monkeypatch.setattr(graph.F, "xxhash64", weak)
+    got = {r.node: r.component for r in graph.cyclic_nodes(_links(spark, ["ab", "ba", "bc", "cd", "dc"])).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
+def test_log_keeps_rows_in_few_tables(spark):
+    log = graph.Log()
+    assert log.rows() is None
+    for i in range(graph.FAN_IN ** 2 + 3):
+        log.add(graph.cut(spark.range(i, i + 1)))
+    assert sorted(r.id for r in log.rows().collect()) == list(range(graph.FAN_IN ** 2 + 3))
+    assert [len(level) for level in log.levels] == [3, 0, 1]
+
+
+def test_layers_write_linear_rows(spark, monkeypatch):
+    """A ladder of 40 rungs has 41 layers; what is written stays a small multiple of nodes and links."""
+    written = _watch(monkeypatch)
+    rows = [(f"{s}{i:02d}", f"{t}{i + 1:02d}") for i in range(40) for s in "ab" for t in "ab"]
+    nodes = spark.createDataFrame([("r", f"{s}{i:02d}") for i in range(41) for s in "ab"], "repo_id string, node string")
+    done, left = graph.peel(_links(spark, rows), nodes)
+    assert {r.node: r.layer for r in done.collect()} == {f"{s}{i:02d}": i for i in range(41) for s in "ab"}
+    assert left.count() == 0 and sum(written) < 4 * (82 + 160)
+
+
+def test_bounds_enclose_the_reach(graphs, frames):
+    nodes, edges = frames
+    _, dag, weights = graph._weighed(edges, nodes)
+    bounds = {(r.repo_id, r.node): (r.lower, r.upper, r.weight) for r in graph.reach_bounds(dag, weights).collect()}
+    exact = 0
+    for repo, (names, es) in graphs.items():
+        for c in set(_components(names, es).values()):
+            lower, upper, weight = bounds[repo, c]
+            reached = len(_reach(es, c, forward=False)) - weight
+            assert lower <= reached <= upper
+            exact += lower == upper
+    assert exact > len(bounds) / 2
+
+
+def test_top_reach(graphs, frames):
+    nodes, edges = frames
+    for top, least in ((3, 1), (2, 4), (50, 1)):
+        got = {}
+        for r in impact.high_risk(graph.top_reach(edges, top, least), least, top).collect():
+            got.setdefault(r.repo_id, set()).add((r.dependents, r.node))
+        for repo, (names, es) in graphs.items():
+            ends = {x for e in es for x in e}
+            every = sorted(((-len(_reach(es, n, forward=False)) + 1, n) for n in ends))
+            assert got.get(repo, set()) == {(-d, n) for d, n in every[:top] if -d >= least}
+
+
+def test_top_reach_makes_few_pairs(spark, monkeypatch):
+    """A tree of 400 files with some ways that meet again: the pairs stay far under files x files."""
+    written = _watch(monkeypatch)
+    rng = random.Random(4)
+    rows = {(f"n{i:03d}", f"n{i // 2:03d}") for i in range(1, 400)} | {(f"n{i:03d}", f"n{rng.randrange(i // 2):03d}") for i in rng.sample(range(40, 400), 30)}
+    rows = {(a, b) for a, b in rows if a != b}
+    got = sorted((-r.dependents, r.node) for r in impact.high_risk(graph.top_reach(_links(spark, sorted(rows)), 5), 1, 5).collect())
+    want = sorted((1 - len(_reach(rows, n, forward=False)), n) for n in {x for e in rows for x in e})[:5]
+    assert got == want and max(written) < 3000
+
+
+def test_pushed_tests_make_no_file_pairs(spark, monkeypatch):
+    """One failing test on a chain of 60 files: a row a file, where pairs of files would be 1830."""
+    written = _watch(monkeypatch)
+    names = [f"n{i:02d}" for i in range(60)]
+    failing = spark.createDataFrame([("r", n, "t") for n in names], "repo_id string, node string, test_path string")
+    cover = repair.potential_cover(_links(spark, zip(names, names[1:])), failing)
+    assert sorted(r.node for r in cover.collect()) == names and max(written) < 130
+
+
+def test_propagation_rows_do_not_grow(spark, monkeypatch):
+    written = []
+    real = impact.cut_counting
+    monkeypatch.setattr(impact, "cut_counting", lambda df, **c: written.append([t for _, t in df.dtypes]) or real(df, **c))
+    names = [f"n{i:02d}" for i in range(12)]
+    start = spark.createDataFrame([("r", names[-1])], "repo_id string, node string")
+    got = {r.node: (r.level, r.cause) for r in impact.propagate(_links(spark, zip(names, names[1:])), start, None).collect()}
+    assert got == {names[11 - k]: (k, names[12 - k]) for k in range(1, 12)}
+    assert all(not t.startswith("array") for kinds in written for t in kinds)
