@@ -33,6 +33,22 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
+#: What operators keep in a Python worker between tasks: name -> how to drop it.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(name: str, drop: Callable[[], object]) -> None:
+    """Say that this worker may keep something for the operator ``name``."""
+    _KEPT[name] = drop
+
+
+def begin_task(name: str) -> None:
+    """Drop what other operators left in this worker: Spark uses workers again, so memory would add up over the jobs."""
+    for other, drop in _KEPT.items():
+        if other != name:
+            drop()
+
+
 def rows_in(df: DataFrame) -> int:
     """Number of rows (a count over no columns, which a Parquet scan answers from its footers)."""
     return df.count()

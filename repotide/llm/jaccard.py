@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from repotide.llm.common import begin_task, keeps
 from repotide.llm.components import connected
 from repotide.session import cut, release
 
@@ -32,7 +33,7 @@ ABREAST = 256
 
 _MASK = (1 << 48) - 1
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 500_000
 
 
 class _WordHashes(dict):
@@ -42,6 +43,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+keeps("jaccard", _HASHES.clear)
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -91,6 +93,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     Tokens only make candidates, so hashes that fall together cost time, not results.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("jaccard")
         seen: set[str] = set()
         for rows in parts:
             for begin in range(0, rows.num_rows, 1024):
@@ -322,7 +325,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     links = cut(_join_small(_with_text(known, small.select("node", "comp"), small.count()), words, percent))
     if n := large.count():
         chunks = F.ceil(F.col("members") / GROUP).cast("int").alias("chunks")
-        rows = _with_text(known, large.select("node", "comp", "weight", chunks), n).dropDuplicates(["node"])
+        rows = _with_text(known, large.select("node", "comp", "weight", chunks), n)
+        rows = rows.withColumn("content", F.sha2("text", 256)).dropDuplicates(["node", "content"]).drop("content")
         links = links.unionByName(_join_large(spark, rows, words, percent))
     classes = connected(links)
     # Documents of one content share the class of the one that stood for them, whatever its partition.

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repotide.llm.common import begin_task, keeps
+
 #: Dimensions of a vector.
 DIMENSIONS = 1024
 #: About so many documents per language are bundled into its prototype (those with the smallest id hashes).
@@ -22,6 +24,7 @@ UNKNOWN = "und"
 
 _SPACE = 32
 _STATE: dict[str, object] = {}
+keeps("language", _STATE.clear)
 
 
 @dataclass(frozen=True)
@@ -151,6 +154,7 @@ def learn_profiles(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Pr
     chosen = labelled.select("text", "lang").filter(F.xxhash64("doc_id") <= bound[F.col("lang")])
 
     def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("language")
         total: dict[str, np.ndarray] = {}
         for rows in parts:
             langs = rows.column("lang").to_pylist()
@@ -185,6 +189,7 @@ def predict_language(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id"
     languages, vectors = profiles.languages, profiles.vectors
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("language")
         for rows in parts:
             for start in range(0, rows.num_rows, 512):
                 part = rows.slice(start, 512)

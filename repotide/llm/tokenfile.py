@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from repotide.llm.coder import BLOCK, decode_blocks, encode_blocks
-from repotide.llm.common import rows_in
+from repotide.llm.common import fitted, rows_in
 from repotide.llm.tokens import BYTE_BPE, batches, encoder
 from repotide.session import checkpoint_dir, cut
 
@@ -98,7 +98,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
     """Write the ids of all documents in ascending id order; the folder.
 
     Ranges of ids become files (``part``), whose records are blocks of BLOCK ids. Null ids come first, rows of
-    one id go by text, a null text is empty and holds the end id alone. The files are written by Spark's
+    one id go by a hash of the text and the text, a null text is empty and holds the end id alone. The files are written by Spark's
     committer, so a lost executor leaves nothing behind.
     """
     folder = folder or f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -118,8 +118,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     files = max(1, rows_in(docs) // FILE_ROWS)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    own.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(run, STORED).write.parquet(folder)
+    # Ranges are sampled to the driver, so their keys hold no text.
+    ranges = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    laid = own.repartitionByRange(files, *ranges).sortWithinPartitions(*ranges, F.col("text").asc_nulls_first())
+    laid.mapInArrow(run, STORED).write.parquet(folder)
     return folder
 
 
@@ -214,7 +216,7 @@ def read_token_digests(spark: SparkSession, folder: str) -> DataFrame:
     sizes = pieces.groupBy("part").agg(F.sum("n").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
-    # One row per file.
-    out = docs.join(F.broadcast(shifts), docs["part"] == shifts["p"])
+    shifts = fitted(shifts)  # one row per file
+    out = docs.join(shifts, docs["part"] == shifts["p"])
     crc = F.when(F.size("pieces") == 1, F.get("pieces.crc", F.lit(0))).otherwise(_joined("pieces"))
     return out.select("doc_id", (F.col("shift") + F.col("begin")).cast("long").alias("start"), F.col("n_tokens").cast("long"), crc.cast("long").alias("ids_crc32"))

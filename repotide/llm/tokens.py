@@ -12,6 +12,8 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from repotide.llm.common import keeps
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Entries kept before the cache of chunks starts afresh; bounds memory, never results.
 CACHE = 600_000
@@ -80,6 +82,9 @@ class ChunkEncoder:
         return [c if isinstance(c, bytes) else b"".join(map(get, c)) for c in cut]
 
 
+keeps("tokens", _ENCODERS.clear)
+
+
 def encoder(path: str = BYTE_BPE) -> ChunkEncoder:
     """The encoder of this Python worker."""
     if path not in _ENCODERS:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repotide.llm import coder, components, jaccard, packing, sharding, tokenfile, tokens
+from repotide.llm import coder, common, components, jaccard, packing, sharding, tokenfile, tokens
 from repotide.session import cut
 
 
@@ -292,3 +292,21 @@ def test_packing(spark, docs, empty):
             at += length
         assert at <= 1024
     assert packing.pack_documents(spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("group", [1, 512])
+def test_ids_with_several_texts_keep_their_links(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    a, b = brute.prose(31, 60), brute.prose(32, 60)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, a + " x y"), (5, b + " x y"), (1, a), (9, brute.prose(33, 60))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark, brute.frame(spark, rows)).collect()}
+    assert got == {**dict.fromkeys(range(1, 6), 1), 9: 9}
+
+
+def test_workers_drop_what_other_operators_kept():
+    jaccard.shingle_set("some words that are kept")
+    tokens.encoder()
+    common.begin_task("tokens")
+    assert not jaccard._HASHES and tokens._ENCODERS
+    common.begin_task("jaccard")
+    assert not tokens._ENCODERS
