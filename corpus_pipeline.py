@@ -2,13 +2,14 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's ``docs``. All but the last return the columns of ``docs``; further columns pass through.
-Null and empty texts go in the first stage (they have no language), repeated rows of an id in the second.
+Null and empty texts go in the first stage (they have no language), repeated rows in the second.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from repotide.llm.common import fitted, table
 from repotide.llm.decontaminate import decontaminate
@@ -28,14 +29,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once; rows without id stay."""
+    """Of each group of linked documents the one with the smallest id stays; rows without id stay.
+
+    An id with several texts keeps each of them once; of rows with the same id and text one stays, always the same.
+    """
     found = cut(jaccard_components(spark, docs))
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     side = fitted(kept)
     out = docs.join(side, docs["doc_id"] == side["__kept"], "left_semi")
     if not again.isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        twice = fitted(again.select(F.col("doc_id").alias("__again")))
+        same = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.xxhash64(*docs.columns))
+        repeated = out.join(twice, out["doc_id"] == twice["__again"], "left_semi").withColumn("__row", F.row_number().over(same))
+        out = out.join(twice, out["doc_id"] == twice["__again"], "left_anti").unionByName(repeated.filter("__row = 1").drop("__row"))
     return out.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
