@@ -34,6 +34,13 @@ def test_near_duplicate_stage(spark, edges):
     assert out.columns == edges.columns and ids(out) == [-1, *want]
 
 
+def test_near_duplicate_stage_keeps_texts_of_one_id(spark):
+    one, two = brute.prose(41, 60), brute.prose(42, 60)
+    docs = brute.frame(spark, [(1, one), (1, two), (1, one), (2, two + " x"), (3, brute.prose(43, 60))])
+    out = pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted([(1, one), (1, two), (3, brute.prose(43, 60))])
+
+
 def test_decontamination_stage(spark, edges):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = brute.frame(spark, [(500 + i, brute.prose(i, 20) + " " + t + " end") for i, (_, t) in enumerate(items[:5])])
