@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,16 @@ PERCENT = 80
 PART = 8
 #: Sets that one task joins among themselves; larger candidate groups are joined in chunks of so many.
 GROUP = 512
+#: Tokens that one task holds of such a group or chunk; groups with more are large, whatever their number of sets.
+TOKENS = 2_000_000
 #: Leaders per round of a large group: few at first, which is enough for tight groups.
-LEADERS = (64, 1024, 2048)
+LEADERS = (64, 1024, 4096, 16384)
+#: Classes near a set that are named in a round; a set near more of them becomes a leader itself.
+NEAR = 32
 #: A table of node ids with at most so many rows may be broadcast.
 BROADCAST_ROWS = 500_000
-#: Queries that walk a trie together.
-ABREAST = 256
+#: Cells (different tokens x queries) of the table of queries that walk a trie together, a byte each.
+CELLS = 1 << 25
 
 _MASK = (1 << 48) - 1
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,7 +120,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(edges u, v between sets that share a rare enough token; node, weight of those sets)."""
+    """(edges u, v between sets that share a rare enough token; node, n, weight of those sets)."""
     tokens = sets.select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     rows = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
@@ -126,43 +130,75 @@ def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # Tokens that nothing shares come first and take their places; what is left goes to shared ones.
     left = (rare - (prefix - F.size("t"))).cast("int")
     weight = F.aggregate("t", F.lit(0).cast("double"), lambda a, x: a + x["df"]) / F.col("n")
-    kept = cut(rows.filter(left > 0).select("node", weight.alias("weight"), F.slice(F.col("t.token"), F.lit(1), left).alias("tokens")))
+    kept = cut(rows.filter(left > 0).select("node", "n", weight.alias("weight"), F.slice(F.col("t.token"), F.lit(1), left).alias("tokens")))
     stars = kept.select("node", F.explode("tokens").alias("token"))
     heads = stars.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", "head")
     edges = stars.join(heads, "token").filter("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    return edges, kept.select("node", "weight")
+    return edges, kept.select("node", "n", "weight")
 
 
-def trie_links(base: list[np.ndarray], queries: list[np.ndarray], percent: int = PERCENT,
+def _places(tokens: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Where the members of ``s`` stand in the sorted ``tokens``; members that are not there are left out."""
+    at = np.searchsorted(tokens, s)
+    known = at < len(tokens)
+    known[known] = tokens[at[known]] == s[known]
+    return at[known]
+
+
+def _blocks(paths: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of queries whose tokens times their number stay within CELLS."""
+    start, held = 0, 0
+    for i, path in enumerate(paths):
+        if i > start and (held + len(path)) * (i + 1 - start) > CELLS:
+            yield start, i
+            start, held = i, 0
+        held += len(path)
+    if start < len(paths):
+        yield start, len(paths)
+
+
+def trie_links(base: list[np.ndarray], queries: list[np.ndarray] | None = None, percent: int = PERCENT,
                strong: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index in base, indexes in queries linked with it, which of them at ``strong`` percent) by walking a
-    trie of the base sets.
+    trie of the base sets; without queries the base is joined with itself (links of a set with itself come or not).
 
-    Tokens are ranked by how many sets have them, most first; the sets in rank order, sorted, are the trie:
+    Tokens are ranked by how many base sets have them, most first; the sets in rank order, sorted, are the trie:
     sets with a common beginning stand together, and its overlap with every query is counted once for all of
-    them. Queries leave a subtree when what they share and the most that can follow is too little.
+    them. Queries leave a subtree when what they share and the most that can follow is too little. Tokens that
+    no pair can share are left out, and queries go in blocks of at most CELLS tokens times queries.
     """
+    if not base:
+        return
     sizes = np.array([len(s) for s in base])
-    tokens, counts = np.unique(np.concatenate([*base, *queries]), return_counts=True)
-    useful = counts > 1
+    tokens, counts = np.unique(np.concatenate(base), return_counts=True)
+    if queries is None:
+        queries, useful = base, counts > 1
+    else:
+        useful = np.zeros(len(tokens), bool)
+        for s in queries:
+            useful[_places(tokens, s)] = True
     rank_of = np.full(len(tokens), -1, np.int64)
     order = np.argsort(-counts[useful], kind="stable")
     rank_of[np.flatnonzero(useful)[order]] = np.arange(len(order))
 
     def ranked(s: np.ndarray) -> np.ndarray:
-        r = rank_of[np.searchsorted(tokens, s)]
+        r = rank_of[_places(tokens, s)]
         return np.sort(r[r >= 0])
 
     paths = [ranked(s) for s in base]
     by_path = sorted(range(len(base)), key=lambda i: paths[i].astype(">u4").tobytes())
     trie, sizes = [paths[i] for i in by_path], sizes[by_path]
     depths = np.array([len(p) for p in trie])
-    for start in range(0, len(queries), ABREAST):
-        block = queries[start:start + ABREAST]
-        q = np.array([len(s) for s in block])
-        has = np.zeros((len(order), len(block)), np.uint8)
-        for j, s in enumerate(block):
-            has[ranked(s), j] = 1
+    asked = paths if queries is base else [ranked(s) for s in queries]
+    for start, end_ in _blocks(asked):
+        block = asked[start:end_]
+        q = np.array([len(s) for s in queries[start:end_]])
+        present = np.unique(np.concatenate(block))
+        row_of = np.zeros(len(order), np.int32)  # row 0: no query of the block has the token
+        row_of[present] = np.arange(1, len(present) + 1)
+        has = np.zeros((len(present) + 1, len(block)), np.uint8)
+        for j, path in enumerate(block):
+            has[row_of[path], j] = 1
         stack = [(0, len(trie), 0, np.arange(len(block)), np.zeros(len(block), np.int64))]
         while stack:
             low, high, depth, active, overlap = stack.pop()
@@ -171,7 +207,7 @@ def trie_links(base: list[np.ndarray], queries: list[np.ndarray], percent: int =
             differ = np.flatnonzero(first[depth:most] != last[depth:most])
             stop = depth + int(differ[0]) if len(differ) else most
             if stop > depth:
-                overlap = overlap + has[np.ix_(first[depth:stop], active)].sum(0, dtype=np.int64)
+                overlap = overlap + has[np.ix_(row_of[first[depth:stop]], active)].sum(0, dtype=np.int64)
             reach = overlap + np.minimum(q[active] - overlap, depths[low:high].max() - stop)
             smallest = int(sizes[low:high].min())
             keep = reach * (100 + percent) >= percent * (q[active] + smallest)
@@ -198,74 +234,119 @@ def _merge(labels: np.ndarray, members: np.ndarray) -> None:
         labels[np.isin(labels, found)] = found[0]
 
 
-def _grouped(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Runs of rows with equal keys in sorted batches."""
-    rows = (r for part in parts for r in part.to_pylist())
-    for key, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
-        yield key, list(group)
+def _grouped(parts: Iterator[pa.RecordBatch], keys: list[str], words: int) -> Iterator[tuple[tuple, Iterator[tuple[dict, np.ndarray]]]]:
+    """Runs of rows with equal keys in sorted batches, each row with the set of its text; rows without words are
+    left out. Only some texts are held at a time."""
+    def rows() -> Iterator[tuple[dict, np.ndarray]]:
+        for part in parts:
+            for begin in range(0, part.num_rows, 64):
+                for row in part.slice(begin, 64).to_pylist():
+                    if len(s := shingle_set(row.pop("text"), words)):
+                        yield row, s
+
+    begin_task("jaccard")
+    return groupby(rows(), key=lambda r: tuple(r[0][k] for k in keys))
 
 
 def _join_small(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v) spanning links inside groups of at most GROUP sets; rows: comp, node, text."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _grouped(parts, ["comp"]):
-            sets = [shingle_set(r["text"], words) for r in group]
+        for _, group in _grouped(parts, ["comp"], words):
+            found = list(group)
+            sets, nodes = [s for _, s in found], np.array([r["node"] for r, _ in found])
             labels = np.arange(len(sets))
-            for i, linked, _ in trie_links(sets, sets, percent, percent):
+            for i, linked, _ in trie_links(sets, None, percent, percent):
                 _merge(labels, np.append(linked, i))
-            nodes = np.array([r["node"] for r in group])
             moved = np.flatnonzero(labels != np.arange(len(sets)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[labels[moved]], pa.int64())], names=["u", "v"])
 
     return rows.repartition("comp").sortWithinPartitions("comp").select("comp", "node", "text").mapInArrow(run, "u long, v long")
 
 
+def _leader_blocks(group: Iterator[tuple[dict, np.ndarray]]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(nodes, sets) of the leaders that follow, at most GROUP sets and about TOKENS tokens at a time."""
+    nodes, sets, held = [], [], 0
+    for row, s in group:
+        if sets and (len(sets) >= GROUP or held + len(s) > TOKENS):
+            yield nodes, sets
+            nodes, sets, held = [], [], 0
+        nodes.append(row["node"])
+        sets.append(s)
+        held += len(s)
+    if sets:
+        yield nodes, sets
+
+
 def _join_leaders(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v, link) of members u with leaders v in every chunk; rows: comp, chunk, leads, node, text.
+    """(u, v, kind) of members u with leaders v in every chunk; rows: comp, chunk, leads, node, text.
 
-    ``link`` true: what connects the linked sets of the chunk, each pair of classes once. False: u is too far
-    from v to be linked, but near enough for a set linked with v to be linked with u; pairs of one class are
-    left out.
+    Kind ``link``: what connects the linked sets of the chunk, each pair of classes once. ``near``: u is too far
+    from v to be linked, but near enough for a set linked with v to be linked with u; v stands for its class,
+    and classes that hold u are left out. ``many``: u is near more than NEAR classes, which are not named. So a
+    chunk writes at most NEAR + 1 rows a member, however many leaders it met.
     """
     near = max(1, 2 * percent - 100)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _grouped(parts, ["comp", "chunk"]):
-            lead = [r for r in group if r["leads"]]
-            rest = [r for r in group if not r["leads"]]
-            if not lead or not rest:
+        for _, group in _grouped(parts, ["comp", "chunk"], words):
+            rest, first = [], None  # members come before the leaders
+            for row, s in group:
+                if row["leads"]:
+                    first = (row, s)
+                    break
+                rest.append((row["node"], s))
+            if first is None or not rest:
                 continue
-            mine, close = np.arange(len(lead) + len(rest)), []
-            for i, found, sure in trie_links([shingle_set(r["text"], words) for r in lead], [shingle_set(r["text"], words) for r in rest], near, percent):
-                if sure.any():
-                    _merge(mine, np.append(found[sure] + len(lead), i))
-                close.append((i, found[~sure] + len(lead)))
-            nodes = np.array([r["node"] for r in lead + rest])
+            nodes, members, seen = [n for n, _ in rest], [s for _, s in rest], []
+            mine = np.arange(len(nodes))
+            for lead_nodes, leads in _leader_blocks(chain([first], group)):
+                at = len(nodes)
+                nodes += lead_nodes
+                mine = np.append(mine, np.arange(at, len(nodes)))
+                close = np.zeros((len(leads), len(members)), bool)
+                for i, found, sure in trie_links(leads, members, near, percent):
+                    if sure.any():
+                        _merge(mine, np.append(found[sure], at + i))
+                    close[i, found[~sure]] = True
+                seen.append((np.packbits(close, axis=0), len(leads)))
+            names = np.array(nodes)
             moved = np.flatnonzero(mine != np.arange(len(mine)))
-            # A set near several leaders of one class is named once.
-            size = len(mine)
-            away = np.unique(np.concatenate([np.zeros(0, np.int64), *[o[mine[o] != mine[i]] * size + mine[i] for i, o in close]]))
-            u = np.concatenate([nodes[moved], nodes[away // size]])
-            v = np.concatenate([nodes[mine[moved]], nodes[away % size]])
+            u, v, kinds = [names[moved]], [names[mine[moved]]], ["link"] * len(moved)
+            for j in range(len(members)):
+                bits = np.concatenate([np.unpackbits(b[:, j], count=c) for b, c in seen])
+                away = np.unique(mine[len(members):][bits.astype(bool)])
+                away = away[away != mine[j]]
+                if len(away) > NEAR:
+                    u.append(names[j:j + 1])
+                    v.append(names[j:j + 1])
+                    kinds.append("many")
+                else:
+                    u.append(np.repeat(names[j], len(away)))
+                    v.append(names[away])
+                    kinds += ["near"] * len(away)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.arange(len(u)) < len(moved))], names=["u", "v", "link"])
+                [pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64()), pa.array(kinds, pa.string())], names=["u", "v", "kind"])
 
-    return rows.repartition("comp", "chunk").sortWithinPartitions("comp", "chunk").select(
-        "comp", "chunk", "leads", "node", "text").mapInArrow(run, "u long, v long, link boolean")
+    return rows.repartition("comp", "chunk").sortWithinPartitions("comp", "chunk", "leads").select(
+        "comp", "chunk", "leads", "node", "text").mapInArrow(run, "u long, v long, kind string")
 
 
 def _join_large(spark: SparkSession, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Spanning links of groups of more than GROUP sets; rows: comp, node, weight, chunks, text.
+    """Spanning links of groups with more than GROUP sets or TOKENS tokens; rows: comp, node, weight, chunks, text.
 
     Leaders (sets whose tokens are most common first) meet all sets of their group, chunk by chunk. What a
     round leaves open: sets that no leader is linked with, which may be linked with each other, and sets near
     a leader of another class, since Jaccard distance is a metric and only those can be linked with a set
-    that the leader is linked with. The next leaders are taken from them, until none are left.
+    that the leader is linked with. The next leaders are taken from them, until none are left. Classes only
+    grow together, so a near pair inside one class is dropped for good; a set with more than NEAR others left
+    leads in any case, so what is written between rounds follows the sets, not their pairs.
     """
     rows = cut(rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
-    ids = rows.select("comp", "node", "weight")
+    ids = rows.select("comp", "node", "weight").distinct()
     led = spark.createDataFrame([], "node long")
-    pairs = spark.createDataFrame([], "u long, v long, link boolean")
+    must = spark.createDataFrame([], "node long")
+    near = spark.createDataFrame([], "u long, v long")
+    classes = spark.createDataFrame([], "u long, root long")
     pool, turn = ids, 0
     while True:
         pick = Window.partitionBy("comp").orderBy(F.desc("weight"), "node")
@@ -276,19 +357,27 @@ def _join_large(spark: SparkSession, rows: DataFrame, words: int, percent: int)
         copies = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         both = open_.select("comp", "chunk", F.lit(False).alias("leads"), "node", "text").unionByName(
             copies.select("comp", "chunk", F.lit(True).alias("leads"), "node", "text"))
-        pairs = cut(pairs.unionByName(_join_leaders(both, words, percent)))
+        met = cut(_join_leaders(both, words, percent))
+        before = (led, must, near, classes, pool)
         led = cut(led.unionByName(chosen.select("node")))
-        links = pairs.filter("link").select("u", "v")
-        classes = cut(connected(links))
+        classes = cut(connected(classes.select("u", F.col("root").alias("v")).unionByName(met.filter("kind = 'link'").select("u", "v"))))
         named = lambda c: classes.select(F.col("u").alias(c), F.col("root").alias(f"{c}_class"))
-        apart = pairs.filter("not link").join(named("u"), "u", "left").join(named("v"), "v", "left").filter(
-            F.coalesce("u_class", "u") != F.coalesce("v_class", "v")).select(F.col("u").alias("node"))
+        # What has led met every set of its group, so nothing is open for it.
+        apart = near.unionByName(met.filter("kind = 'near'").select("u", "v")).join(led, F.col("u") == led["node"], "left_anti").join(
+            must, F.col("u") == must["node"], "left_anti").join(named("u"), "u", "left").join(named("v"), "v", "left").select(
+            "u", F.coalesce("v_class", "v").alias("v"), F.coalesce("u_class", "u").alias("c")).filter("c != v").select("u", "v").distinct()
+        apart = cut(apart)
+        crowded = apart.groupBy("u").agg(F.count("*").alias("k")).filter(F.col("k") > NEAR).select(F.col("u").alias("node"))
+        must = cut(must.unionByName(met.filter("kind = 'many'").select(F.col("u").alias("node"))).unionByName(crowded).distinct().join(led, "node", "left_anti"))
+        near = cut(apart.join(must, apart["u"] == must["node"], "left_anti"))
         alone = ids.join(classes.select(F.col("u").alias("node")), "node", "left_anti").join(led, "node", "left_anti")
         some = alone.groupBy("comp").agg(F.count("*").alias("k")).filter("k > 1").select("comp")
-        left = alone.join(some, "comp", "left_semi").select("node").unionByName(apart).distinct().join(led, "node", "left_anti")
+        left = alone.join(some, "comp", "left_semi").select("node").unionByName(near.select(F.col("u").alias("node"))).unionByName(must).distinct()
         pool = cut(ids.join(left, "node", "left_semi"))
+        release(chosen, met, apart, *before)
         if pool.isEmpty():
-            return links
+            release(rows, led, must, near)
+            return classes.select("u", F.col("root").alias("v"))
         turn += 1
 
 
@@ -310,22 +399,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
        frequencies of these tokens order each beginning by rarity, and only the part that a partner must meet
        makes candidates; what no other set has drops out here.
     2. Sets that share such a token form candidate groups (stars, then components; no pairs are written).
-    3. In each group a trie of the ordered sets finds all links; groups of more than GROUP sets are joined in
-       chunks with leaders until nothing is left to find.
+    3. In each group a trie of the ordered sets finds all links; groups of more than GROUP sets or TOKENS tokens
+       are joined in chunks with leaders until nothing is left to find.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(_sets(own, words, percent))
     known = own.filter(F.col("doc_id").isNotNull())
     edges, weights = _candidates(sets, percent)
     coarse = connected(edges).withColumnRenamed("u", "node").withColumnRenamed("root", "comp")
-    sizes = coarse.groupBy("comp").agg(F.count("*").alias("members"))
-    nodes = cut(coarse.join(sizes, "comp").join(weights.groupBy("node").agg(F.max("weight").alias("weight")), "node").select(
-        "node", "comp", "members", "weight"))
-    small, large = nodes.filter(F.col("members") <= GROUP), nodes.filter(F.col("members") > GROUP)
+    weighed = coarse.join(weights.groupBy("node").agg(F.max("weight").alias("weight"), F.sum("n").alias("n")), "node")
+    parts = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / TOKENS)).cast("int").alias("chunks")
+    nodes = cut(weighed.join(weighed.groupBy("comp").agg(parts), "comp").select("node", "comp", "chunks", "weight"))
+    small, large = nodes.filter("chunks = 1"), nodes.filter("chunks > 1")
     links = cut(_join_small(_with_text(known, small.select("node", "comp"), small.count()), words, percent))
     if n := large.count():
-        chunks = F.ceil(F.col("members") / GROUP).cast("int").alias("chunks")
-        rows = _with_text(known, large.select("node", "comp", "weight", chunks), n)
+        rows = _with_text(known, large.select("node", "comp", "weight", "chunks"), n)
         rows = rows.withColumn("content", F.sha2("text", 256)).dropDuplicates(["node", "content"]).drop("content")
         links = links.unionByName(_join_large(spark, rows, words, percent))
     classes = connected(links)

@@ -158,6 +158,48 @@ def test_jaccard_components(spark, group, limit, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(data)
 
 
+def near_rows(groups=3, members=14):
+    """Sets that are all 60 to 80 % alike but not linked, some with a linked copy or a chain between two of them."""
+    rows = []
+    for g in range(groups):
+        core = brute.prose(600 + g, 60, 10**6).split()
+        tails = [brute.prose(700 + 100 * g + m, 13, 10**6).split() for m in range(members)]
+        rows += [core + t for t in tails]
+        rows += [core + tails[0] + ["more"], core + tails[1] + tails[2][:6], core + tails[2][:6] + tails[1], core + tails[2]]
+    return [(3 * i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("near", [1, 32])
+def test_groups_that_are_near_but_not_linked(spark, near, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "LEADERS", (3, 8))
+    monkeypatch.setattr(jaccard, "NEAR", near)
+    data = near_rows()
+    got = jaccard.jaccard_components(spark, brute.frame(spark, data).repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(data)
+
+
+def test_rows_of_a_near_group_follow_its_members(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "NEAR", 4)
+    data = near_rows(1, 40)
+    rows = [(1, 0, leads, i, t) for i, t in data for leads in (False, True)]
+    frame = spark.createDataFrame(rows, "comp long, chunk int, leads boolean, node long, text string")
+    met = jaccard._join_leaders(frame, 5, 80).collect()
+    each = Counter(r["u"] for r in met if r["kind"] != "link")
+    assert max(each.values()) <= 4 and len(met) <= 5 * len(data)
+    assert {r["u"] for r in met if r["kind"] == "many"} == {i for i, _ in data}
+
+
+def test_blocks_of_queries_keep_within_their_cells(monkeypatch):
+    monkeypatch.setattr(jaccard, "CELLS", 100)
+    sets = [np.arange(i, i + 20, dtype=np.uint64) for i in range(30)] + [np.arange(500, dtype=np.uint64)]
+    blocks = list(jaccard._blocks(sets))
+    assert [b for b, _ in blocks] + [31] == [0] + [e for _, e in blocks]
+    assert all(e - b == 1 or sum(map(len, sets[b:e])) * (e - b) <= 100 for b, e in blocks)
+    found = {(i, int(j)) for i, js, _ in jaccard.trie_links(sets) for j in js if i != j}
+    assert found == {(i, j) for i in range(30) for j in range(30) if i != j and abs(i - j) <= 2}
+
+
 def test_jaccard_edges(spark, docs, empty):
     got = jaccard.jaccard_components(spark, docs).collect()
     own = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
