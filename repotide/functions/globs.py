@@ -7,7 +7,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _STARS = re.compile(r"(\*\*/|\*\*|\*)")
 _META = re.compile(r"([\\^$*+?.()|{}\[\]])")
@@ -44,10 +43,15 @@ def glob_regex(patterns: Iterable[str], dialect: str = "anchored") -> str:
     return "^(?:" + "|".join(source(p) for p in patterns) + ")(?:/|$)"
 
 
-@F.udf(returnType=StringType(), useArrow=False)
-def anchored_source(pattern: str) -> str:
-    """The alternative of one ``anchored`` pattern; for tables of patterns, which are small beside the files."""
-    return _anchored(pattern)
+def anchored_source(pattern: Column) -> Column:
+    """The alternative of one ``anchored`` pattern, as ``_anchored`` builds it, for columns of patterns.
+
+    Stars are taken two by two from the left, so a run before ``/`` ends in ``**/`` if its length is even.
+    """
+    out = F.regexp_replace(pattern, r"[\\^$+?.()|{}\[\]]", r"\\$0")
+    out = F.regexp_replace(out, r"(?<!\*)((?:\*\*)*)\*\*/", "$1\u0001")
+    out = F.regexp_replace(F.regexp_replace(out, r"\*\*", "\u0002"), r"\*", "[^/]\u0003")
+    return F.replace(F.replace(F.replace(out, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("\u0002"), F.lit(".*")), F.lit("\u0003"), F.lit("*"))
 
 
 def glob_match(col: Column, patterns: Iterable[str], dialect: str = "anchored") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repotide.functions.globs import anchored_source, glob_match
@@ -19,21 +19,69 @@ def apply_path_policy(df: DataFrame, include=(), ignore=(), path: str = "path",
     return df.filter(keep)
 
 
+def _pattern_keys(policies: DataFrame) -> DataFrame:
+    """(repo, kind, where, key, how, text): the key by which each pattern meets the paths, and what is left to test.
+
+    ``prefix`` keys are paths or directories from the root, ``segment`` keys names anywhere, ``suffix`` keys endings
+    of names from a dot on, ``any`` meets every path. ``how``: ``whole`` holds as it is, ``inside`` below the key
+    only, ``run`` where the segments of ``text`` follow each other, ``regex`` by the pattern ``text``.
+    """
+    p = F.col("pattern")
+    plain = lambda c: ~c.contains("*")
+    body = F.regexp_replace(p, r"/\*\*?$", "")  # "dir/*" and "dir/**" are everything below dir
+    below = body != p
+    rest, inner = F.substr(p, F.lit(4)), F.substr(body, F.lit(4))
+    deep = p.startswith("**/")
+    ending = F.regexp_extract(p, r"^\*\*/\*(\.[^*/]*)$", 1)
+    head = F.regexp_extract(p, r"^([^*]*)/[^/]*\*", 1)
+    row = lambda where, key, how, text=F.lit(""): F.struct(
+        F.lit(where).alias("where"), key.alias("key"), F.lit(how).alias("how"), text.alias("text"))
+    first = lambda c: F.substring_index(c, "/", 1)
+    found = (F.when(plain(p), row("prefix", p, "whole"))
+             .when(below & plain(body), row("prefix", body, "inside"))
+             .when(deep & plain(rest), row("segment", first(rest), "run", F.concat(F.lit("/"), rest, F.lit("/"))))
+             .when(deep & below & (F.length(body) > 3) & plain(inner), row("segment", first(inner), "below", F.concat(F.lit("/"), inner, F.lit("/"))))
+             .when(ending != "", row("suffix", ending, "whole"))
+             .when(p.rlike(r"^[^*]*/[^/]*\*"), row("prefix", head, "regex", F.concat(F.lit("^(?:"), anchored_source(p), F.lit(")(?:/|$)"))))
+             .otherwise(row("any", F.lit(""), "regex", F.concat(F.lit("^(?:"), anchored_source(p), F.lit(")(?:/|$)")))))
+    return policies.select(REPO, "kind", found.alias("f")).select(REPO, "kind", "f.*").distinct()
+
+
+def _path_keys(path: Column) -> Column:
+    """(where, key, last) of a path: its ancestors and itself, its segments, their endings from a dot on."""
+    parts = F.split(path, "/", -1)
+    row = lambda where, key, last=F.lit(False): F.struct(F.lit(where).alias("where"), key.alias("key"), last.alias("last"))
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: row("prefix", F.array_join(F.slice(parts, 1, i), "/"), i == F.size(parts)))
+    names = F.transform(F.array_distinct(parts), lambda s: row("segment", s))
+    dotted = F.filter(F.array_distinct(parts), lambda s: s.contains("."))
+    bits = lambda s: F.split(s, "\\.", -1)
+    ends = F.flatten(F.transform(dotted, lambda s: F.transform(
+        F.sequence(F.lit(2), F.size(bits(s))), lambda i: F.concat(F.lit("."), F.array_join(F.slice(bits(s), i, F.size(bits(s))), ".")))))
+    return F.concat(upto, names, F.transform(F.array_distinct(ends), lambda e: row("suffix", e)), F.array(row("any", F.lit(""))))
+
+
 def apply_repo_policies(df: DataFrame, policies: DataFrame, path: str = "path") -> DataFrame:
     """Per-repository policies from rows (repo_id, kind include/ignore, pattern).
 
-    Each repository's patterns become one regular expression per kind, and the joined side has one
-    row per repository. Repositories without a policy keep all paths.
+    Patterns and paths meet by equal keys (ancestor, segment, ending), so a path finds its patterns
+    without trying the others, and a large repository is spread over its keys. Only patterns with other wildcards
+    are regular expressions; they meet the paths below their literal directory, sorted by pattern, so that each
+    is compiled once a task. Repositories without a policy keep all paths, others drop null paths.
     """
-    source = policies.filter(F.col("pattern").isNotNull()).select(REPO, "kind", anchored_source("pattern").alias("_s"))
-    sources = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("_s"))))
-    whole = lambda a: F.when(F.size(a) > 0, F.concat(F.lit("^(?:"), F.array_join(a, "|"), F.lit(")(?:/|$)")))
-    side = source.groupBy(REPO).agg(sources("include").alias("_in"), sources("ignore").alias("_out")).select(
-        REPO, whole(F.col("_in")).alias("_in"), whole(F.col("_out")).alias("_out"))
-    joined = df.join(side, REPO, "left")
-    return joined.filter(
-        (F.col("_in").isNull() | F.expr(f"`{path}` RLIKE _in")) & (F.col("_out").isNull() | ~F.expr(f"`{path}` RLIKE _out"))
-    ).drop("_in", "_out")
+    rules = policies.filter("pattern IS NOT NULL AND kind IN ('include', 'ignore')")
+    keys = _pattern_keys(rules)
+    met = df.filter(F.col(path).isNotNull()).select(REPO, F.col(path).alias("_path"), F.explode(_path_keys(F.col(path))).alias("k")).select(REPO, "_path", "k.*")
+    slashed = F.concat(F.lit("/"), "_path")
+    found = met.join(keys, [REPO, "where", "key"]).filter("NOT (last AND how IN ('inside', 'regex'))").sortWithinPartitions("text").filter(
+        F.when(F.col("how") == "regex", F.expr("_path RLIKE text"))
+        .when(F.col("how") == "run", F.concat(slashed, F.lit("/")).contains(F.col("text")))
+        .when(F.col("how") == "below", slashed.contains(F.col("text"))).otherwise(True))
+    side = lambda kind: F.max(F.col("kind") == kind)
+    hits = found.groupBy(REPO, "_path").agg(side("include").alias("_in"), side("ignore").alias("_out"))
+    ruled = rules.groupBy(REPO).agg(side("include").alias("_needs"))
+    joined = df.join(ruled, REPO, "left").join(hits.withColumnRenamed("_path", path), [REPO, path], "left")
+    keep = F.col(path).isNotNull() & (~F.col("_needs") | F.coalesce("_in", F.lit(False))) & ~F.coalesce("_out", F.lit(False))
+    return joined.filter(F.col("_needs").isNull() | keep).select(*df.columns)
 
 
 def filter_status(df: DataFrame, *statuses: str) -> DataFrame:

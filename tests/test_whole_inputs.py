@@ -1,10 +1,12 @@
 """Inputs that limits and shortcuts would lose: anchored rules, deep chains, many policies and rules, full ids, URIs."""
 
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from repotide.functions import scanners
+from repotide.functions import globs, scanners
 from repotide.operators import enrich, entropy, extract, filters, graph, windows
 from repotide.plans import impact
 from repotide.sources import board, files
@@ -136,3 +138,23 @@ def test_latest_row_of_equal_times_is_fixed(spark):
                                  "repo_id string, run long, module_id long, status string, reason string, at long")
     for n in (1, 2, 5):
         assert joins.overlay_failures(modules, runs.repartition(n)).first()["error"] == "b"
+
+
+def test_policy_keys_equal_the_regular_expressions(spark):
+    """Every pattern over every path, alone as include and as ignore, against the plain regular expression."""
+    patterns = ["", "src", "src/", "src/a.js", "src/**", "src/*", "/**", "/src", "**", "*", "**/", "**//**", "**/*", "**/a", "**/a/b", "**/a/", "**/a/**", "**/a/*",
+                "**/a/b/**", "**/*.js", "**/*.test.js", "**/*.", "*.js", "src/*.js", "src/**/a.js", "src/***", "src/***/b", "src/****/b", "a*/b", "sr?/a.js", "(x)/[y]", "a+b/**", "**/a.js/**", "x\\y"]
+    paths = ["", "/", "src", "src/", "/src", "/src/a", "src/a.js", "src/a.jsx", "src/x/a.js", "src/x/y/a.js", "srcs/a.js", "a", "a/b", "x/a", "x/a/b", "x/a/b/c", "x/a/", "ba/b", "a/bc",
+             "a//b", "a.js/b", "k.test.js", "x/k.test.js", "x/.js", "x/k.", "abc/b", "(x)/[y]", "(x)/[y]/z", "a+b/c", "aab/c", "x\\y", None]
+    rows = [(f"{kind}{i}", p) for kind in ("include", "ignore") for i in range(len(patterns)) for p in paths]
+    rules = [(f"{kind}{i}", kind, p) for kind in ("include", "ignore") for i, p in enumerate(patterns)]
+    df = spark.createDataFrame([*rows, *rows[:3], ("free", None), ("free", "a"), (None, "a")], "repo_id string, path string")
+    policies = spark.createDataFrame([*rules, ("free", "other", "a"), ("free", "include", None)], "repo_id string, kind string, pattern string")
+    hit = lambda i, p: p is not None and re.search(globs.glob_regex([patterns[i]]), p) is not None
+    want = [(f"{kind}{i}", p) for kind, i, p in ((k, i, p) for k in ("include", "ignore") for i in range(len(patterns)) for p in paths)
+            if p is not None and hit(i, p) == (kind == "include")]
+    want += [r for r in rows[:3] if r in want] + [("free", None), ("free", "a"), (None, "a")]
+    got = [tuple(r) for r in filters.apply_repo_policies(df, policies).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    plan = filters.apply_repo_policies(df, policies)._jdf.queryExecution().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
