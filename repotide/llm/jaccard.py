@@ -283,7 +283,7 @@ def _join_leaders(rows: DataFrame, words: int, percent: int) -> DataFrame:
     Kind ``link``: what connects the linked sets of the chunk, each pair of classes once. ``near``: u is too far
     from v to be linked, but near enough for a set linked with v to be linked with u; v stands for its class,
     and classes that hold u are left out. ``many``: u is near more than NEAR classes, which are not named. So a
-    chunk writes at most NEAR + 1 rows a member, however many leaders it met.
+    chunk writes at most NEAR + 1 rows a member and one a leader.
     """
     near = max(1, 2 * percent - 100)
 
