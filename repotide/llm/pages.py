@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,6 +21,8 @@ FEATURES = PATH_BUCKETS + WORD_BUCKETS + MORE
 HIDDEN = 16
 #: Pages whose words fill the training pages (those with the smallest id hashes), training pages, passes.
 SAMPLE_PAGES, TRAINING_PAGES, PASSES = 100, 600, 10
+#: Words of each block of a sampled page that may fill the training pages; extraction reads whole blocks.
+BLOCK_WORDS = 400
 #: Pages labelled together, and steps x pages (padding included) whose features are held at once.
 TOGETHER, CELLS = 128, 16_384
 
@@ -28,18 +32,42 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>"']*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|[^<]+""", re.S)
+_OPENS = re.compile(r"</?[A-Za-z]")
+#: A tag whose quotes are not closed ends at the next ``>`` whatever stands before it.
+_BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
+_MARK = re.compile(r"""["'>]""")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Where a raw element ends; only ASCII letters have two cases here.
 _RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
+class Path:
+    """Words (tags and words of class, id and role) from the page down to an element, held as a link to the
+    element around it; ``mask`` has a bit for each bucket of any of them, so no depth makes it larger."""
+
+    __slots__ = ("around", "names", "mask")
+
+    def __init__(self, around: Path | None, names: tuple[str, ...]):
+        self.around, self.names = around, names
+        self.mask = around.mask if around is not None else 0
+        for word in names:
+            self.mask |= 1 << _WORDS["<" + word] % PATH_BUCKETS
+
+    def __iter__(self) -> Iterator[str]:
+        links, at = [], self
+        while at is not None:
+            links.append(at.names)
+            at = at.around
+        return (w for names in reversed(links) for w in names)
+
+
 @dataclass
 class Block:
-    """A leaf: its path (tags and words of class, id and role), its text and how much of it is linked."""
+    """A leaf: its path, its text and how much of it is linked."""
 
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int
 
@@ -51,14 +79,53 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _Tokens:
+    """The tokens of a page from a place on. Whether a tag's quotes close is looked up, not scanned for each
+    tag anew, once one did not: so a page of tags without an end costs no more than its length."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.marks: list[int] | None = None
+        self.closes: list[bool] = []
+
+    def _closes(self, at: int) -> bool:
+        """Whether a ``>`` outside quotes follows ``at``, which is outside quotes."""
+        if self.marks is None:
+            self.marks = [m.start() for m in _MARK.finditer(self.page)]
+            self.closes, later = [False] * (len(self.marks) + 1), {}
+            for i in range(len(self.marks) - 1, -1, -1):
+                mark = self.page[self.marks[i]]
+                self.closes[i] = mark == ">" or mark in later and self.closes[later[mark] + 1]
+                later[mark] = i
+        return self.closes[bisect_left(self.marks, at)]
+
+    def at(self, at: int) -> tuple[int, re.Match | None]:
+        """(end, match) of the token at ``at``; without a match it is text."""
+        page = self.page
+        if page[at] == "<" and not page.startswith("<!--", at):
+            if at > self.last:  # no tag ends any more
+                end = page.find("<!--", at)
+                return (len(page) if end < 0 else end), None
+            if self.marks is not None and _OPENS.match(page, at) and not self._closes(at):
+                m = _BROKEN.match(page, at)
+                return m.end(), m
+        m = _TOKEN.match(page, at)
+        if m is None and _OPENS.match(page, at) and not self._closes(at):
+            m = _BROKEN.match(page, at)
+        return (at + 1, None) if m is None else (m.end(), m if page[at] == "<" else None)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: text between tags that are not inline, with white space made
     single blanks and character references decoded. Unclosed elements end with their parent; a paragraph
-    ends where the next block starts."""
+    ends where the next block starts; a tag with an open quote ends at the next ``>``; without any ``>``
+    left, ``<`` is text. The work follows the page's length, whatever is broken and however deep it nests."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Path(None, ())
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    path: tuple[str, ...] = ()
+    path = root
     links = linked = 0
 
     def flush() -> None:
@@ -72,18 +139,17 @@ def blocks(page: str | None) -> list[Block]:
 
     page = page or ""
     at, size = 0, len(page)
+    tokens = _Tokens(page)
     while at < size:
-        m = _TOKEN.match(page, at)
-        if m is None:  # an unfinished tag
-            break
-        at = m.end()
+        start = at
+        at, m = tokens.at(start)
+        if m is None:
+            parts.append(page[start:at])
+            if links:
+                linked += at - start
+            continue
         tag = m[2]
-        if tag is None:
-            text = m[0]
-            if not text.startswith("<") or text == "<":
-                parts.append(text)
-                if links:
-                    linked += len(text)
+        if tag is None:  # a comment or declaration
             continue
         tag = tag.lower()
         if tag in INLINE:
@@ -94,10 +160,12 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag]:
+                while True:
+                    name, _ = stack.pop()
+                    opened[name] -= 1
+                    if name == tag:
+                        break
         elif tag in RAW:
             if m[3].endswith("/"):
                 continue
@@ -108,12 +176,13 @@ def blocks(page: str | None) -> list[Block]:
             continue
         elif tag not in VOID and not m[3].endswith("/"):
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if stack and tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
-                stack.pop()
-            stack.append((tag, (tag, *_names(m[3]))))
+                opened[stack.pop()[0]] -= 1
+            stack.append((tag, Path(stack[-1][1] if stack else root, (tag, *_names(m[3])))))
+            opened[tag] += 1
         links = 0
-        path = tuple(w for _, names in stack for w in names)
+        path = stack[-1][1] if stack else root
     flush()
     return out
 
@@ -127,7 +196,7 @@ class _Buckets(dict):
 
 
 _WORDS = _Buckets()
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+_PATHS: dict[int, np.ndarray] = {}
 
 
 def features(page: Sequence[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -137,11 +206,12 @@ def features(page: Sequence[Block], start: int = 0, stop: int | None = None) ->
     if len(_WORDS) > 500_000:
         _WORDS.clear()
     for i, block in enumerate(some):
-        if block.path not in _PATHS:
+        mask = block.path.mask
+        if mask not in _PATHS:
             if len(_PATHS) > 50_000:
                 _PATHS.clear()
-            _PATHS[block.path] = np.unique(np.array([_WORDS["<" + w] % PATH_BUCKETS for w in block.path], np.int64))
-        out[i, _PATHS[block.path]] = 1
+            _PATHS[mask] = np.array([k for k in range(PATH_BUCKETS) if mask >> k & 1], np.int64)
+        out[i, _PATHS[mask]] = 1
         words = block.text.lower().split(" ")
         hashed = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words)) % WORD_BUCKETS
         out[i, PATH_BUCKETS:PATH_BUCKETS + WORD_BUCKETS] = np.bincount(hashed, minlength=WORD_BUCKETS) / len(words)
@@ -381,13 +451,15 @@ def main_text(pages: Sequence[str | None], model: BiLstm) -> list[str]:
     return out
 
 
-def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> BiLstm:
-    """Train on words of ``sample`` pages (the smallest id hashes), which is all that the driver reads."""
+def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES,
+                 block_words: int = BLOCK_WORDS) -> BiLstm:
+    """Train on words of ``sample`` pages (the smallest id hashes), the first ``block_words`` of each block; the driver
+    reads no more than these pages."""
     known = pages.filter(F.col(html_col).isNotNull() & F.col(id_col).isNotNull())
     # Ids first: tasks send the least ids alone, not pages.
     ids = [r[0] for r in known.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
     rows = known.filter(F.col(id_col).isin(ids)).select(html_col).limit(sample).collect()
-    words = sorted({w for r in rows for b in blocks(r[0]) for w in b.text.split(" ")[:400]})
+    words = sorted({w for r in rows for b in blocks(r[0]) for w in b.text.split(" ")[:block_words]})
     return train(words)
 
 
