@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repotide.session import checkpoint_dir
 
@@ -20,7 +21,8 @@ SCANNED = f"blob string, findings {FINDINGS}"
 @dataclass(frozen=True)
 class Rule:
     """Leftmost matches of ``pattern`` that do not overlap; those with fewer than ``least`` characters in
-    ``group`` are dropped after matching. A text without any of ``needles`` (in lower case) has no match."""
+    ``group`` are dropped after matching. What is found reaches over the group ``span``. A text without any of
+    ``needles`` (in lower case) has no match."""
 
     kind: str
     pattern: str
@@ -29,6 +31,7 @@ class Rule:
     flags: int = 0
     base: bool = False
     needles: tuple[str, ...] = ()
+    span: int = 0
 
 
 # The base rules and their order.
@@ -43,7 +46,9 @@ BASE_RULES = (
 # Further kinds of credential: public formats with fixed marks.
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", needles=("-----begin",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", needles=("eyj",)),
+    # Tried once for each run of its letters, from the first mark in the run on: later marks leave less before the dot.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)",
+         needles=("eyj",), span=1),
     Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}", needles=("bearer ",)),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{6,64}@", needles=("://",)),
 )
@@ -61,7 +66,7 @@ def scan_text(text: str, rules: Sequence[Rule] = RULES) -> list[tuple[str, int,
             continue
         for m in re.compile(rule.pattern, rule.flags).finditer(text):
             if len(m.group(rule.group)) >= rule.least:
-                found.append((m.start(), order, m.end(), rule))
+                found.append((m.start(rule.span), order, m.end(rule.span), rule))
     return [(rule.kind, start, end, rule.base) for start, _, end, rule in sorted(found, key=lambda x: x[:2])]
 
 
@@ -152,17 +157,26 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     return ledger.findings(history, rule_version).withColumnRenamed("path", "doc_id")
 
 
+def redact_text(text: str, spans: Sequence[tuple[int, int]]) -> str:
+    """``text`` with a mark for each of ``spans`` (by start; code points), in one pass; one that starts in another joins it."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += text[at:start], "[REDACTED]"
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+@F.arrow_udf(T.StringType())
+def _redacted(texts: pa.Array, findings: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else redact_text(t, sorted((f["start"], f["end"]) for f in found or []))
+                     for t, found in zip(texts.to_pylist(), findings.to_pylist(), strict=True)], pa.string())
+
+
 def redact(text: F.Column, findings: F.Column) -> F.Column:
-    """``text`` with every found span replaced by ``[REDACTED]``; spans that overlap become one."""
-    spans = F.sort_array(F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(state, span):
-        inside = span["start"] < state["at"]
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.when(inside, state["out"]).otherwise(F.concat(state["out"], gap, F.lit("[REDACTED]"))).alias("out"),
-            F.greatest(state["at"], span["end"]).alias("at"))
-
-    return F.when(F.size(findings) == 0, text).otherwise(
-        F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1)))))
+    """``text`` with every found span replaced by ``[REDACTED]``; spans that overlap become one.
+
+    A text without findings (or with null ones) stays as it is and is not sent to Python.
+    """
+    hit = F.coalesce(F.size(findings), F.lit(0)) > 0
+    return F.when(hit, _redacted(F.when(hit, text), F.when(hit, findings))).otherwise(text)

@@ -184,6 +184,42 @@ def test_redaction(spark):
         assert r["clean"] == (want + r["text"][at:] if r["findings"] else r["text"])
 
 
+def test_bad_texts_take_linear_time():
+    import time
+
+    for text in ("eyJ" * 330_000, "eyJ" * 100_000 + "." + "eyJ" * 100_000, "-----BEGIN " * 90_000, "AKIA" * 250_000, "password " * 110_000,
+                 "http://" * 140_000, "token" + " " * 1_000_000, "a+" * 500_000 + "://"):
+        start = time.perf_counter()
+        secrets.scan_text(text)
+        assert time.perf_counter() - start < 5, text[:20]
+    start = time.perf_counter()
+    text = "token=abcdefghijklmnop " * 43_000
+    clean = secrets.redact_text(text, [f[1:3] for f in secrets.scan_text(text)])
+    assert clean == "[REDACTED] " * 43_000 and time.perf_counter() - start < 5
+
+
+def test_jwt_is_found_as_by_the_plain_pattern():
+    import random
+    import re
+
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    rng, parts, hits = random.Random(5), ["eyJ", "a", "bcdefghijk", ".", "_", " ", "ABCDEFGHIJKLM", "e", "y"], 0
+    for _ in range(50_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 18)))
+        want = [m.span() for m in plain.finditer(text)]
+        assert [f[1:3] for f in secrets.scan_text(text) if f[0] == "jwt"] == want
+        hits += len(want)
+    assert hits > 50
+
+
+def test_redaction_of_nulls_and_overlaps(spark):
+    found = "array<struct<kind:string,start:int,end:int,base:boolean>>"
+    data = [(0, None, [("a", 0, 1, True)]), (1, "", []), (2, "é secret x", [("a", 4, 8, True), ("b", 2, 6, True)]), (3, "kept", None)]
+    df = spark.createDataFrame(data, f"doc_id int, text string, findings {found}")
+    got = {r[0]: r[1] for r in df.select("doc_id", secrets.redact(F.col("text"), F.col("findings"))).collect()}
+    assert got == {0: None, 1: "", 2: "é [REDACTED] x", 3: "kept"}
+
+
 # Language
 
 def test_language_on_held_out(spark):
@@ -344,7 +380,7 @@ def test_page_edges(spark, labeller):
 def test_blocks_are_broken_where_blocks_start():
     found = pages.blocks("<div class='Main-content'>a<p>b <i>c</i><br>d<p>e</div><li>f<li>g<title>t</title><style>p{}</style>h</b></x>")
     assert [b.text for b in found] == ["a", "b c d", "e", "f", "g", "h"]
-    assert found[1].path == ("div", "main", "content", "p") and found[2].path == found[1].path
+    assert tuple(found[1].path) == ("div", "main", "content", "p") == tuple(found[2].path)
 
 
 def test_long_page_beside_short_ones(labeller):
@@ -379,3 +415,24 @@ def test_slices_of_a_page_change_nothing(labeller, monkeypatch):
 def test_raw_elements_end_in_either_case():
     page = "<HTML><HEAD><TITLE>İstanbul</TITLE><STYLE>p{}</STYLE><SCRIPT>x='<p>'</ſcript></SCRIPT></HEAD><BODY><P>İyi günler<title>t</Title><p>son"
     assert [b.text for b in pages.blocks(page)] == ["İyi günler", "son"]
+
+
+def test_bad_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 330_000, "<div>x" * 100_000, "<!" * 500_000, '<a x="' * 160_000 + ">", "<a x=\"'" * 140_000 + ">", "<" + "a" * 1_000_000,
+                 "<div>" * 80_000 + "</p>" * 120_000, "<!--" * 250_000, "<" * 1_000_000 + ">", '<div class="a b c d">' * 48_000):
+        start = time.perf_counter()
+        pages.features(pages.blocks(page)[:1000])
+        assert time.perf_counter() - start < 15, page[:20]
+
+
+def test_broken_tags():
+    def texts(page):
+        return [b.text for b in pages.blocks(page)]
+
+    assert texts("a<p title='it's>b<p>c") == ["a", "b", "c"]  # an open quote: the tag ends at the next >
+    assert texts('<p title="x > y">b') == ["b"]
+    assert texts("<p>1 < 2 <b") == ["1 < 2 <b"] and texts("<p>x<!-- no end") == ["x"] and texts("<p>x < y<!-- no end") == ["x < y"]
+    deep = pages.blocks("<div class='one'>" * 3 + "x</div></p>y</div></div>z")
+    assert [list(b.path) for b in deep] == [["div", "one"] * 3, ["div", "one"] * 2, []]
