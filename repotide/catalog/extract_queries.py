@@ -279,9 +279,9 @@ def _(spark, sf):
     return entropy.console_residue(_code(spark, sf)).select("repo_id", "path", "line")
 
 
-@query("c18_swallowed_errors", f"""SELECT repo_id, path, CASE WHEN p_size > 42 THEN 'bare rethrow' ELSE 'empty catch' END AS detail FROM fx_links WHERE NOT {_TESTS} AND p_size > 38""")
+@query("c18_swallowed_errors", f"""SELECT repo_id, path, CAST({_L1} + CASE WHEN p_size > 42 THEN 3 ELSE 4 END AS INT) AS line, CASE WHEN p_size > 42 THEN 'bare rethrow' ELSE 'empty catch' END AS detail FROM fx_links WHERE NOT {_TESTS} AND p_size > 38""")
 def _(spark, sf):
-    return entropy.swallowed_errors(_code(spark, sf)).select("repo_id", "path", "detail")
+    return entropy.swallowed_errors(_code(spark, sf)).select("repo_id", "path", "line", "detail")
 
 
 _GAPS = f"""WITH j AS (SELECT *, min(file_id) OVER (PARTITION BY repo_id, dir) AS a, max(file_id) OVER (PARTITION BY repo_id, dir) AS b

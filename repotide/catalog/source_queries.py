@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from repotide.catalog.registry import query
 from repotide.fixtures import table
+from repotide.session import checkpoint_dir
 from repotide.sources import board, files, reports
 
 
@@ -15,6 +18,36 @@ def _(spark, sf):
     return files.scan_snapshot(table(spark, sf, "fx_files")).select("repo_id", "path", "dir", "name", "ext")
 
 
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a01_scanned_tree", """SELECT repo_id, 'folder=' || replace(replace(dir, '/', '.'), ' ', '_') AS dir, count(*) AS files,
+  CAST(sum(octet_length(encode(content)) + 1) AS BIGINT) AS bytes, CAST(sum(length(content) - length(replace(content, chr(10), '')) + 2) AS BIGINT) AS lines
+ FROM fx_code GROUP BY ALL""")
+def _(spark, sf):
+    # A tree of one file per source file, in folders by repository and directory, listed by its URI.
+    root = _folder(spark, "tree")
+    folder = F.translate("dir", "/ ", "._").alias("folder")
+    table(spark, sf, "fx_code").select("repo_id", folder, F.col("content").alias("value")).write.option(
+        "maxRecordsPerFile", 1).partitionBy("repo_id", "folder").text(root)
+    found = files.scan_files(spark, root, extensions=(".txt",), with_content=True)
+    return found.groupBy("repo_id", "dir").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
+                                               F.sum("line_count").cast("bigint").alias("lines"))
+
+
+@query("a03_graph_documents", "SELECT DISTINCT repo_id, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM fx_edges")
+def _(spark, sf):
+    # Documents of at most 256 importing files, in a folder per repository, read by their URI.
+    root, part = _folder(spark, "graphs"), F.floor(F.col("src") / 256)
+    node = table(spark, sf, "fx_edges").groupBy("repo_id", "src").agg(
+        F.struct(F.collect_set(F.col("dst").cast("string")).alias("imports")).alias("node"))
+    docs = node.groupBy("repo_id", part.alias("part")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.map_from_entries(
+        F.collect_list(F.struct(F.col("src").cast("string"), "node"))).alias("files"))).alias("value"))
+    docs.select("repo_id", "value").write.option("maxRecordsPerFile", 1).partitionBy("repo_id").text(root)
+    return files.read_graph_json(spark, root)[1]
+
+
 @query("a03_graph_json", """SELECT repo_id, src, dst FROM (SELECT repo_id, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM fx_edges)""")
 def _(spark, sf):
     edges = table(spark, sf, "fx_edges")
@@ -143,9 +176,6 @@ def _(spark, sf):
 
 @query("a13_history_sink", """SELECT repo_id, task_id, task_name, status FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, task_name ORDER BY updated_at DESC, task_id DESC) AS rn FROM fx_tasks) WHERE rn <= 20""")
 def _(spark, sf):
-    import uuid
-
-    from repotide.session import checkpoint_dir
     from repotide.operators.windows import keep_last
     target = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
     kept = keep_last(table(spark, sf, "fx_tasks"), ["repo_id", "task_name"], [F.col("updated_at").desc(), F.col("task_id").desc()], 20)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repotide.functions import scanners
+from repotide.sources.audit_docs import ISSUE_HEADING, ISSUE_START, SNIPPET, field_pattern
 
 
 def enrich(df: DataFrame, fn: Callable[[dict[str, Any]], str | None], id_col: str, retries: int = 0,
@@ -61,28 +62,35 @@ def tasks_from(df: DataFrame, builder: Callable[[pd.DataFrame], pd.DataFrame], s
     return df.mapInPandas(batches, schema)
 
 
+_TEST_BLOCKS = """
+CREATE OR REPLACE TEMPORARY FUNCTION test_blocks(content STRING) RETURNS TABLE (name STRING, line INT, body STRING)
+RETURN SELECT b.name, b.line, b.body FROM (SELECT explode(test_block_array(content)) AS b)"""
+
+
+def _bracket_issues() -> str:
+    field = lambda name: f"trim(regexp_extract(block, r'{field_pattern(name)}', 1))"
+    return f"""
+CREATE OR REPLACE TEMPORARY FUNCTION bracket_issues(content STRING)
+RETURNS TABLE (seq BIGINT, severity STRING, title STRING, file STRING, line INT, description STRING, suggestion STRING, snippet STRING)
+RETURN
+  WITH blocks AS (
+    SELECT posexplode(filter(split(content, r'{ISSUE_START}'), b -> startswith(b, '###') AND b RLIKE r'{ISSUE_HEADING}')) AS (seq, block)),
+  fields AS (SELECT *, {field("File")} AS place FROM blocks)
+  SELECT CAST(seq AS BIGINT), regexp_extract(block, r'{ISSUE_HEADING}', 1), trim(regexp_extract(block, r'{ISSUE_HEADING}', 2)),
+    trim(split_part(place, ':', 1)),
+    coalesce(try_cast(nullif(regexp_extract(split_part(place, ':', 2), r'^\\s*(\\d+)', 1), '') AS INT), 0),
+    {field("Description")}, {field("Suggestion")}, regexp_extract(block, r'{SNIPPET}', 1)
+  FROM fields"""
+
+
 def register_functions(spark: SparkSession) -> None:
-    """Register ``strip_comments(text)`` and ``test_block_array(text)`` for SQL, in Arrow batches, and
-    ``test_blocks(text)`` and ``bracket_issues(text)`` as table functions for ``LATERAL`` use.
+    """Register ``strip_comments(text)`` and ``test_block_array(text)`` for SQL, in Arrow batches, and the table
+    functions ``test_blocks(text)`` and ``bracket_issues(text)`` for ``LATERAL`` use.
 
-    Large tables are better served by ``LATERAL inline(test_block_array(text))`` and
-    ``parse_bracket_issues``; the table functions run row by row.
+    The table functions are SQL: the first explodes the batched scanner's array, the second has the rows of
+    ``parse_bracket_issues`` (but for the inferred type and flag) and stays on the JVM. A null text has no rows.
     """
     spark.udf.register("strip_comments", scanners.strip_comments)
     spark.udf.register("test_block_array", scanners.test_block_array)
-
-    @F.udtf(returnType="name: string, line: int, body: string")
-    class TestBlocks:
-        def eval(self, text: str):
-            for block in scanners.find_test_blocks(text):
-                yield block["name"], block["line"], block["body"]
-
-    @F.udtf(returnType="severity: string, title: string")
-    class BracketIssues:
-        def eval(self, text: str):
-            import re
-            for m in re.finditer(r"###\s*\[(LOW|MEDIUM|HIGH|CRITICAL)\]\s*(.+)", text or ""):
-                yield m.group(1), m.group(2).strip()
-
-    spark.udtf.register("test_blocks", TestBlocks)
-    spark.udtf.register("bracket_issues", BracketIssues)
+    spark.sql(_TEST_BLOCKS)
+    spark.sql(_bracket_issues())

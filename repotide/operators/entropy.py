@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repotide.functions.globs import glob_match
 from repotide.functions.paths import base_name, dir_name, stem
+from repotide.functions.scanners import match_scanner
 from repotide.session import REPO
 
 FILE = [REPO, "path"]
@@ -18,6 +19,10 @@ CHECKS = {
     7: ("async without try", "high"), 8: ("mutual import", "high"),
 }
 
+# The two forms of check 4.
+_swallowed = match_scanner([("swallowed", r"(?a)catch\s*\([^)]*\)\s*\{\s*\}", "empty catch"),
+                            ("swallowed", r"(?a)catch.*\{[^}]*throw\s+\w+\s*;?\s*\}", "bare rethrow")])
+
 
 def _line_findings(files: DataFrame, check: int, test) -> DataFrame:
     """``test(lines, i)`` says whether 1-based line ``i`` is a finding."""
@@ -55,11 +60,13 @@ def console_residue(files: DataFrame) -> DataFrame:
 
 
 def swallowed_errors(files: DataFrame) -> DataFrame:
-    """Empty catch blocks and catch blocks that only rethrow, one row per match."""
-    forms = {"empty catch": r"catch\s*\([^)]*\)\s*\{\s*\}", "bare rethrow": r"catch.*\{[^}]*throw\s+\w+\s*;?\s*\}"}
-    found = F.concat(*[F.array_repeat(F.lit(name), F.regexp_count("content", F.lit(p))) for name, p in forms.items()])
-    return files.select(F.lit(4).alias("check_id"), *FILE, F.explode(found).alias("detail")).select(
-        "check_id", *FILE, F.lit(0).alias("line"), "detail")
+    """Empty catch blocks and catch blocks that only rethrow, one row per match with the line where it starts.
+
+    Only files that have the keyword go to the scanner.
+    """
+    found = files.filter(F.col("content").contains("catch")).select(
+        *FILE, F.explode(_swallowed(F.col("content"))).alias("m"))
+    return found.select(F.lit(4).alias("check_id"), *FILE, "m.line", F.col("m.description").alias("detail"))
 
 
 def index_gaps(files: DataFrame) -> DataFrame:

@@ -14,14 +14,23 @@ _FIXED = r"(?i)\[FIXED\]"
 
 
 def _field(block: Column, name: str) -> Column:
-    return F.trim(F.regexp_extract(block, rf"\*\*{name}\*\*:\s*([^\n]+)", 1))
+    return F.trim(F.regexp_extract(block, field_pattern(name), 1))
+
+
+# Where issues start, their headings, and code in them.
+ISSUE_START, ISSUE_HEADING = r"(?=###\s*\[)", r"###\s*\[(LOW|MEDIUM|HIGH|CRITICAL)\]\s*(.+)"
+SNIPPET = r"(?s)(```.*?```)"
+
+
+def field_pattern(name: str) -> str:
+    """Pattern of a ``**Name**: value`` line; group 1 is the value."""
+    return rf"\*\*{name}\*\*:\s*([^\n]+)"
 
 
 def parse_bracket_issues(docs: DataFrame) -> DataFrame:
     """Issues under ``### [SEVERITY] title`` headings with file, line, texts, type, fixable flag."""
-    heading = r"###\s*\[(LOW|MEDIUM|HIGH|CRITICAL)\]\s*(.+)"
-    blocks = F.filter(F.split("content", r"(?=###\s*\[)"),
-                      lambda b: b.startswith("###") & b.rlike(heading))
+    heading = ISSUE_HEADING
+    blocks = F.filter(F.split("content", ISSUE_START), lambda b: b.startswith("###") & b.rlike(heading))
     b = F.col("block")
     rows = docs.select(*DOC, F.posexplode(blocks).alias("seq", "block"))
     place = _field(b, "File")
@@ -32,7 +41,7 @@ def parse_bracket_issues(docs: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.regexp_extract(F.split_part(place, F.lit(":"), F.lit(2)), r"^\s*(\d+)", 1), F.lit("")
                             ).try_cast("int"), F.lit(0)).alias("line"),
         description.alias("description"), _field(b, "Suggestion").alias("suggestion"),
-        F.regexp_extract(b, r"(?s)(```.*?```)", 1).alias("snippet"))
+        F.regexp_extract(b, SNIPPET, 1).alias("snippet"))
     return rows.withColumn("type", infer_issue_type(F.col("title"), F.col("description"))).withColumn(
         "fixable", is_fixable(F.col("type"), F.col("severity")))
 

@@ -39,10 +39,13 @@ PACKAGE_MANAGERS = [("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.loc
                     ("package-lock.json", "npm")]
 
 
-def scan_files(spark: SparkSession, root: str, repo: str, extensions=CODE_EXTENSIONS,
+def scan_files(spark: SparkSession, root: str, repo: str | None = None, extensions=CODE_EXTENSIONS,
                modified_after: str | None = None, with_content: bool = False) -> DataFrame:
     """Inventory of the files below ``root``: path, directory, time, and content when asked for.
 
+    Without ``repo`` the folders directly below ``root`` are the repositories (``name`` or ``repo_id=name``), all
+    listed in one scan, and paths are relative to them; files beside these folders belong to none and go.
+
     ``root`` is a path or URI of any store that Spark reads. The extension list, in either case, becomes
     the file source's glob filter, so other files are never listed as input; ``content`` is read only when
     selected.
@@ -58,7 +61,13 @@ def scan_files(spark: SparkSession, root: str, repo: str, extensions=CODE_EXTENS
     whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath()
     tail = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")  # scheme and host
     rel = F.substr(tail, F.lit(len(whole.rstrip("/")) + 2))
-    out = raw.select(F.lit(repo).alias(REPO), rel.alias("path"), F.col("modificationTime").alias("mtime"),
+    if repo is None:
+        raw = raw.filter(F.contains(rel, F.lit("/")))
+        name = F.regexp_replace(F.substring_index(rel, "/", 1), f"^{REPO}=", "")
+        rel = F.regexp_replace(rel, "^[^/]*/", "")
+    else:
+        name = F.lit(repo)
+    out = raw.select(name.alias(REPO), rel.alias("path"), F.col("modificationTime").alias("mtime"),
                      F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
     out = scan_snapshot(out, extensions)
     if with_content:
@@ -154,10 +163,14 @@ TEST_MAP = T.StructType([
 ])
 
 
-def read_graph_json(spark: SparkSession, path: str, repo: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, exports) of a dependency-graph JSON document."""
-    doc = spark.read.schema(GRAPH).option("multiLine", "true").json(path)
-    return graph_tables(doc.select(F.lit(repo).alias(REPO), "files"))
+def read_graph_json(spark: SparkSession, path: str, repo: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, exports) of dependency-graph JSON documents, one or several files for a repository.
+
+    Without ``repo`` the documents of all repositories are read at once, from folders ``repo_id=name`` below ``path``.
+    """
+    schema = GRAPH if repo is not None else T.StructType([*GRAPH.fields, T.StructField(REPO, T.StringType())])
+    doc = spark.read.schema(schema).option("multiLine", "true").json(path)
+    return graph_tables(doc.select(F.col(REPO) if repo is None else F.lit(repo).alias(REPO), "files"))
 
 
 def parse_graph_json(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:

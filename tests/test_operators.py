@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from repotide.operators import enrich, extract, freshness, joins, trends, windows
+from repotide.operators import enrich, entropy, extract, freshness, joins, trends, windows
 from repotide.sources import audit_docs, board, files, reports
 
 
@@ -202,3 +202,44 @@ def test_scan_files_from_disk(spark, tmp_path):
 def test_unknown_framework_is_refused(spark, dialect):
     with pytest.raises(ValueError):
         reports.parse_test_reports(spark.createDataFrame([("1", "{}")], "run_id string, r string"), "r", dialect)
+
+
+def test_swallowed_errors_have_their_lines(spark):
+    text = "a\ntry {} catch (e) {}\nb // catch\ntry {\n} catch (x) {\n  throw x;\n}\ncatch\n(y)\n{\n}\n"
+    df = spark.createDataFrame([("r", "a.js", text), ("r", "b.js", "nothing"), ("r", "c.js", None)], "repo_id string, path string, content string")
+    got = sorted((r.line, r.detail) for r in entropy.swallowed_errors(df).collect())
+    assert got == [(2, "empty catch"), (5, "bare rethrow"), (8, "empty catch")]
+
+
+def test_table_functions_equal_the_parsers(spark):
+    text = ("# A\n### [HIGH] One of 'em\n- **File**: src/a.js:12\n- **Description**: d\n- **Suggestion**: s\n```js\nx\n```\n"
+            "### [odd] no\n### [LOW] Two\n- **File**: b.js\n### [CRITICAL] three\n- **File**: c.js:x\n")
+    df = spark.createDataFrame([("r", "m", text), ("r", "n", ""), ("r", "o", None)], "repo_id string, module_path string, content string")
+    enrich.register_functions(spark)
+    df.createOrReplaceTempView("k06_own")
+    cols = ["module_path", "seq", "severity", "title", "file", "line", "description", "suggestion", "snippet"]
+    rows = spark.sql(f"SELECT {', '.join(cols)} FROM k06_own, LATERAL bracket_issues(content)")
+    want = audit_docs.parse_bracket_issues(df).select(*cols).collect()
+    assert sorted(rows.collect()) == sorted(want) and len(want) == 3
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    tests = spark.sql("SELECT b.* FROM VALUES ('it(\"x\", () => { a });\nit(\"y\", () => {})'), (NULL) AS t(c), LATERAL test_blocks(c) b")
+    assert sorted((r.name, r.line) for r in tests.collect()) == [("x", 1), ("y", 2)]
+    assert "ArrowEvalPython" in tests._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_of_many_repositories(spark, tmp_path):
+    for path in ("one/src/a.js", "one/b.PY", "repo_id=two/src/a.js", "repo_id=two/node_modules/x.js", "beside.js"):
+        (tmp_path / "tree" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / path).write_text("x")
+    found = files.scan_files(spark, (tmp_path / "tree").as_uri(), extensions=(".js", ".py"))
+    got = {(r.repo_id, r.path, r.dir) for r in found.collect()}
+    assert got == {(r.repo_id, r.path, r.dir) for repo, folder in (("one", "one"), ("two", "repo_id=two")) for r in files.scan_files(
+        spark, str(tmp_path / "tree" / folder), repo, extensions=(".js", ".py")).collect()}
+    assert {g[:2] for g in got} >= {("one", "src/a.js"), ("two", "src/a.js")} and len({g[0] for g in got}) == 2
+    for repo, name, target in (("one", "1", "b"), ("one", "2", "c"), ("two", "1", "b")):
+        doc = tmp_path / "graphs" / f"repo_id={repo}" / f"{name}.json"
+        doc.parent.mkdir(parents=True, exist_ok=True)
+        doc.write_text('{"version": 1,\n "files": {"a": {"imports": ["%s"], "exports": ["f"]}}}' % target)
+    nodes, edges, exports = files.read_graph_json(spark, (tmp_path / "graphs").as_uri())
+    assert sorted(tuple(r) for r in edges.collect()) == [("one", "a", "b"), ("one", "a", "c"), ("two", "a", "b")]
+    assert {r.symbol for r in exports.collect()} == {"f"}
