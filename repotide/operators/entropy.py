@@ -1,4 +1,4 @@
-"""Code-entropy checks over source files; one projection per check, no per-line shuffles."""
+"""Code-entropy checks over source files; one pass over the texts for all checks, no per-line shuffles."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repotide.functions.globs import glob_match
 from repotide.functions.paths import base_name, dir_name, stem
 from repotide.functions.scanners import match_scanner
-from repotide.session import REPO
+from repotide.session import REPO, cut
 
 FILE = [REPO, "path"]
 
@@ -24,83 +24,125 @@ _swallowed = match_scanner([("swallowed", r"(?a)catch\s*\([^)]*\)\s*\{\s*\}", "e
                             ("swallowed", r"(?a)catch.*\{[^}]*throw\s+\w+\s*;?\s*\}", "bare rethrow")])
 
 
-def _line_findings(files: DataFrame, check: int, test) -> DataFrame:
-    """``test(lines, i)`` says whether 1-based line ``i`` is a finding."""
-    return files.select(F.lit(check).alias("check_id"), *FILE, F.explode(_hits(test)).alias("line"),
-                        ).select("check_id", *FILE, "line", F.lit("").alias("detail"))
+def _at(lines: Column, i: Column) -> Column:
+    return F.coalesce(F.get(lines, i - 1), F.lit(""))
 
 
-def _hits(test) -> Column:
-    """Line numbers for which ``test`` holds; the text is split once and bound, whatever its length."""
-    bound = F.transform(F.array(F.split("content", "\n", -1)), lambda lines: F.filter(
-        F.sequence(F.lit(1), F.size(lines)), lambda i: test(lines, i)))
-    return F.get(bound, F.lit(0))
+def _line_tests() -> dict:
+    """Check -> (which files it looks at, whether 1-based line ``i`` of ``lines`` is a finding)."""
+    content, path = F.col("content"), F.col("path")
+    todo, console, start = "TODO|FIXME|HACK|XXX", r"console\.(log|warn|error|debug)", r"async function \w+\([^)]*\)\s*\{"
+    doc = r"@param|@returns|@typedef"
+    skipped = glob_match(path, ["cli/*", "**/examples/*"]) | base_name(path).rlike(r"^.*test.*\.js$")
+    return {
+        1: (F.lit(True), lambda ls, i: _at(ls, i).rlike(r"^export (async )?function \w+\(")
+            & ~_at(ls, i - 1).rlike(doc) & ~_at(ls, i - 2).rlike(doc)),
+        2: (content.rlike(todo), lambda ls, i: _at(ls, i).rlike(todo)),
+        3: (content.rlike(console) & ~skipped, lambda ls, i: _at(ls, i).rlike(console)),
+        7: (content.rlike(start), lambda ls, i: _at(ls, i).rlike(start)
+            & ~F.exists(F.slice(ls, i, F.lit(11)), lambda s: s.rlike(r"try\s*\{"))),
+    }
 
 
-def _at(lines: Column, i: Column) -> Column:
-    return F.coalesce(F.get(lines, i - 1), F.lit(""))
+def _fact(check: int, kind: str, line: Column, detail: Column) -> Column:
+    return F.struct(F.lit(check).alias("check_id"), F.lit(kind).alias("kind"), line.cast("int").alias("line"),
+                    detail.cast("string").alias("detail"))
+
+
+def _named(check: int, kind: str, names: Column) -> Column:
+    return F.transform(names, lambda n: _fact(check, kind, F.lit(0), n))
+
+
+def _hits(lines: Column, check: int, test) -> Column:
+    hit = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: test(lines, i))
+    return F.transform(hit, lambda i: _fact(check, "finding", i, F.lit("")))
+
+
+def facts(files: DataFrame, checks=tuple(CHECKS)) -> DataFrame:
+    """(check_id, kind, repo_id, path, line, detail): all that the checks need of a text, in one pass over the files.
+
+    Kinds: ``finding``; for check 5 ``sibling`` (its module name), ``index`` and ``named`` (a module that an index
+    names); for check 6 ``export`` and ``used`` symbols. A null text has none. Texts are split into lines once.
+    """
+    content, name = F.col("content"), base_name(F.col("path"))
+    none = F.array().cast("array<struct<check_id:int,kind:string,line:int,detail:string>>")
+    parts = []
+    tests = {c: t for c, t in _line_tests().items() if c in checks}
+    if tests:
+        def of_lines(lines: Column) -> Column:
+            return F.flatten(F.array(*[F.when(where, _hits(lines, c, test)).otherwise(none) for c, (where, test) in tests.items()]))
+
+        parts.append(F.get(F.transform(F.array(F.split("content", "\n", -1)), of_lines), F.lit(0)))
+    if 4 in checks:
+        parts.append(F.transform(_swallowed(F.when(content.contains("catch"), content)),
+                                 lambda m: _fact(4, "finding", m["line"], m["description"])))
+    if 5 in checks:
+        refs = F.regexp_extract_all(content, F.lit(r"""from[^\n]*['"]\./([^'"/]+)"""), F.lit(1))
+        refs = F.transform(refs, lambda r: F.regexp_replace(r, r"\.js$", ""))
+        parts += [F.when(name == "index.js", F.concat(F.array(_fact(5, "index", F.lit(0), F.lit(""))), _named(5, "named", F.array_distinct(refs)))
+                         ).when(name.endswith(".js"), F.array(_fact(5, "sibling", F.lit(0), stem(F.col("path"))))).otherwise(none)]
+    if 6 in checks:
+        exported = F.regexp_extract_all(content, F.lit(r"(?m)^export (?:const|function|class) (\w+)"), F.lit(1))
+        lines = F.filter(F.split("content", "\n"), lambda s: s.rlike(r"import|from"))
+        # The words after the keyword, as the search for "import ... name" or "from ... name" sees them.
+        words = F.flatten(F.transform(lines, lambda s: F.regexp_extract_all(
+            F.regexp_extract(s, r"(?:import|from)(.*)", 1), F.lit(r"(\w+)"), F.lit(1))))
+        parts += [_named(6, "export", F.array_distinct(exported)), _named(6, "used", F.array_distinct(words))]
+    every = F.concat(*[F.coalesce(p, none) for p in parts])
+    return files.select(*FILE, F.explode(every).alias("f")).select("f.check_id", "f.kind", *FILE, "f.line", "f.detail")
+
+
+FINDING = ["check_id", REPO, "path", "line", "detail"]
+
+
+def _findings(known: DataFrame, *checks: int) -> DataFrame:
+    return known.filter((F.col("kind") == "finding") & F.col("check_id").isin(*checks)).select(*FINDING)
+
+
+def _gaps(known: DataFrame) -> DataFrame:
+    of = lambda kind: known.filter((F.col("check_id") == 5) & (F.col("kind") == kind)).withColumn(
+        "_dir", dir_name(F.col("path")))
+    gaps = of("sibling").join(of("index").select(REPO, "_dir").distinct(), [REPO, "_dir"], "left_semi")
+    return gaps.join(of("named").select(REPO, "_dir", "detail").distinct(), [REPO, "_dir", "detail"], "left_anti").select(*FINDING)
+
+
+def _unused(known: DataFrame) -> DataFrame:
+    of = lambda kind: known.filter((F.col("check_id") == 6) & (F.col("kind") == kind))
+    return of("export").join(of("used").select(REPO, "detail").distinct(), [REPO, "detail"], "left_anti").select(*FINDING)
 
 
 def undocumented_exports(files: DataFrame) -> DataFrame:
-    doc = r"@param|@returns|@typedef"
-    return _line_findings(files, 1, lambda ls, i: _at(ls, i).rlike(r"^export (async )?function \w+\(")
-                          & ~_at(ls, i - 1).rlike(doc) & ~_at(ls, i - 2).rlike(doc))
+    return _findings(facts(files, (1,)), 1)
 
 
 def todo_markers(files: DataFrame) -> DataFrame:
-    return _line_findings(files.filter(F.col("content").rlike("TODO|FIXME|HACK|XXX")), 2,
-                          lambda ls, i: _at(ls, i).rlike("TODO|FIXME|HACK|XXX"))
+    return _findings(facts(files, (2,)), 2)
 
 
 def console_residue(files: DataFrame) -> DataFrame:
-    pattern = r"console\.(log|warn|error|debug)"
-    skipped = (glob_match(F.col("path"), ["cli/*", "**/examples/*"]) | base_name(F.col("path")).rlike(r"^.*test.*\.js$"))
-    return _line_findings(files.filter(F.col("content").rlike(pattern) & ~skipped), 3,
-                          lambda ls, i: _at(ls, i).rlike(pattern))
+    return _findings(facts(files, (3,)), 3)
 
 
 def swallowed_errors(files: DataFrame) -> DataFrame:
     """Empty catch blocks and catch blocks that only rethrow, one row per match with the line where it starts.
 
-    Only files that have the keyword go to the scanner.
+    Only texts that have the keyword go to the scanner.
     """
-    found = files.filter(F.col("content").contains("catch")).select(
-        *FILE, F.explode(_swallowed(F.col("content"))).alias("m"))
-    return found.select(F.lit(4).alias("check_id"), *FILE, "m.line", F.col("m.description").alias("detail"))
+    return _findings(facts(files, (4,)), 4)
 
 
 def index_gaps(files: DataFrame) -> DataFrame:
     """Siblings of an index file that it does not name; compared by whole module name."""
-    here = files.withColumns({"_dir": dir_name(F.col("path")), "_name": base_name(F.col("path"))})
-    index = here.filter(F.col("_name") == "index.js")
-    named = index.select(REPO, "_dir", F.explode(F.regexp_extract_all(
-        "content", F.lit(r"""from[^\n]*['"]\./([^'"/]+)"""), F.lit(1))).alias("_ref"))
-    named = named.select(REPO, "_dir", F.regexp_replace("_ref", r"\.js$", "").alias("_stem")).distinct()
-    siblings = here.filter(F.col("_name").endswith(".js") & (F.col("_name") != "index.js")).select(
-        *FILE, "_dir", stem(F.col("path")).alias("_stem"))
-    gaps = siblings.join(index.select(REPO, "_dir").distinct(), [REPO, "_dir"], "left_semi").join(
-        named, [REPO, "_dir", "_stem"], "left_anti")
-    return gaps.select(F.lit(5).alias("check_id"), *FILE, F.lit(0).alias("line"), F.col("_stem").alias("detail"))
+    return _gaps(facts(files, (5,)))
 
 
 def unused_exports(files: DataFrame) -> DataFrame:
     """Exported names that no import or re-export line of the repository mentions."""
-    exported = files.select(*FILE, F.explode(F.array_distinct(F.regexp_extract_all(
-        "content", F.lit(r"(?m)^export (?:const|function|class) (\w+)"), F.lit(1)))).alias("symbol"))
-    lines = F.filter(F.split("content", "\n"), lambda s: s.rlike(r"import|from"))
-    # The words after the keyword, as the search for "import ... name" or "from ... name" sees them.
-    words = F.flatten(F.transform(lines, lambda s: F.regexp_extract_all(
-        F.regexp_extract(s, r"(?:import|from)(.*)", 1), F.lit(r"(\w+)"), F.lit(1))))
-    used = files.select(REPO, F.explode(F.array_distinct(words)).alias("symbol")).distinct()
-    return exported.join(used, [REPO, "symbol"], "left_anti").select(
-        F.lit(6).alias("check_id"), *FILE, F.lit(0).alias("line"), F.col("symbol").alias("detail"))
+    return _unused(facts(files, (6,)))
 
 
 def async_without_try(files: DataFrame) -> DataFrame:
-    start = r"async function \w+\([^)]*\)\s*\{"
-    return _line_findings(
-        files.filter(F.col("content").rlike(start)), 7,
-        lambda ls, i: _at(ls, i).rlike(start) & ~F.exists(F.slice(ls, i, F.lit(11)), lambda s: s.rlike(r"try\s*\{")))
+    return _findings(facts(files, (7,)), 7)
 
 
 def mutual_imports(edges: DataFrame) -> DataFrame:
@@ -110,10 +152,18 @@ def mutual_imports(edges: DataFrame) -> DataFrame:
 
 
 def entropy_scan(files: DataFrame, edges: DataFrame | None = None, checks=tuple(CHECKS)) -> DataFrame:
-    """Findings (check_id, repo_id, path, line, detail) of the chosen checks."""
-    jobs = {1: undocumented_exports, 2: todo_markers, 3: console_residue, 4: swallowed_errors,
-            5: index_gaps, 6: unused_exports, 7: async_without_try}
-    parts = [jobs[c](files) for c in checks if c in jobs]
+    """Findings (check_id, repo_id, path, line, detail) of the chosen checks.
+
+    The texts are read once, whatever the number of checks. Checks 5 and 6 meet their facts several times, so
+    with them the facts, which are small beside the texts, are written to a table first.
+    """
+    of_text = [c for c in checks if c in CHECKS and c != 8]
+    parts = []
+    if of_text:
+        known = facts(files, of_text)
+        known = cut(known) if {5, 6} & set(of_text) else known
+        parts.append(_findings(known, *of_text))
+        parts += [job(known) for c, job in ((5, _gaps), (6, _unused)) if c in of_text]
     if 8 in checks and edges is not None:
         parts.append(mutual_imports(edges).select(
             F.lit(8).alias("check_id"), REPO, F.col("src").cast("string").alias("path"), F.lit(0).alias("line"),

@@ -4,7 +4,7 @@ import pytest
 
 from repotide.catalog import QUERIES
 from repotide.fixtures import table
-from repotide.operators import freshness, joins, windows
+from repotide.operators import entropy, freshness, joins, windows
 from repotide.session import cut, release_all
 from pyspark.sql import functions as F
 
@@ -51,3 +51,22 @@ def test_cut_tables_can_be_dropped(spark):
     release_all()
     with pytest.raises(Exception):  # noqa: B017
         df.count()
+
+
+def test_entropy_checks_read_the_texts_once(spark, tmp_path):
+    """All checks together give what each gives alone, from one scan of the texts."""
+    code = table(spark, SF, "fx_code").select("repo_id", "path", "content").unionByName(table(spark, SF, "fx_dir_sources"))
+    nulls = spark.createDataFrame([("r0", "x/null.js", None), ("r0", "x/empty.js", "")], "repo_id string, path string, content string")
+    code.unionByName(nulls).write.parquet(str(tmp_path / "code"))
+    files = spark.read.parquet(str(tmp_path / "code"))
+    checks = (1, 2, 3, 4, 5, 6, 7)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    alone = [entropy.undocumented_exports, entropy.todo_markers, entropy.console_residue, entropy.swallowed_errors,
+             entropy.index_gaps, entropy.unused_exports, entropy.async_without_try]
+    each = [key(job(files)) for job in alone]
+    assert all(each)
+    assert key(entropy.entropy_scan(files, checks=checks)) == sorted(r for rows in each for r in rows)
+    assert plan(entropy.facts(files, checks)).count("FileScan") == 1
+    # What is left to read is the table of facts, not the texts.
+    assert "content" not in plan(entropy.entropy_scan(files, checks=checks))
+    assert plan(entropy.entropy_scan(files, checks=(1, 2, 3, 4, 7))).count("FileScan") == 1
