@@ -1,11 +1,14 @@
 """Inputs that limits and shortcuts would lose: anchored rules, deep chains, many policies and rules, full ids, URIs."""
 
+import datetime
 import re
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from repotide import fixtures
 from repotide.functions import globs, scanners
 from repotide.operators import enrich, entropy, extract, filters, graph, windows
 from repotide.plans import impact
@@ -158,3 +161,17 @@ def test_policy_keys_equal_the_regular_expressions(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     plan = filters.apply_repo_policies(df, policies)._jdf.queryExecution().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_test_map_joins_on_file_numbers(spark, tmp_path):
+    part = [(4 * i, "red a" if i % 3 == 0 else "blue a", "B#1", "T A", size) for i in range(12) for size in (20, 4 + i)]
+    part += [(None, "red a", "B#1", "T A", 20), (8, "red a", "B#1", "T A", 20), (3, "red b", None, "T A", 20)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    shipped = [(i % 52 if i % 9 else None, datetime.date(2020, 1, 1 + i % 28)) for i in range(400)]
+    spark.createDataFrame(shipped, "l_partkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = fixtures.table(spark, str(tmp_path), "fx_test_map")
+    want = spark.sql(fixtures.with_views("SELECT * FROM fx_test_map"))
+    on_pairs = [" IN (" in df._jdf.queryExecution().sparkPlan().toString() for df in (got, want)]
+    assert on_pairs == [False, True]  # the join has only equal keys, the SQL's has a condition on all pairs
+    assert got.columns == want.columns
+    assert got.count() and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
