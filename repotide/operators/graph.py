@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from repotide.functions.paths import in_scope
 from repotide.operators.extract import extract_exports, extract_imports, without_comments
 from repotide.operators.joins import resolve_imports
-from repotide.session import REPO, cut, cut_counting, release
+from repotide.session import REPO, cut_counting, release
+from repotide.session import cut_wide as cut
 
 NODE = [REPO, "node"]
 FAN_IN = 8  # tables of one level of a log that are written as one of the next level
@@ -115,7 +116,7 @@ class Log:
     def rows(self) -> DataFrame | None:
         """All rows added so far; None before the first ``add``."""
         tables = [t for level in self.levels for t in level]
-        return reduce(DataFrame.unionByName, tables) if tables else None
+        return reduce(DataFrame.unionByName, tables).hint("merge") if tables else None
 
 
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -430,7 +431,7 @@ def peel(links: DataFrame, nodes: DataFrame, sums: dict[str, Column] | None = No
             F.count(F.lit(1)).alias("got"), *[F.sum(e).cast("bigint").alias(f"add_{c}") for c, e in sums.items()])
         parts = ["got", *[f"add_{c}" for c in sums]]
         known = log.rows()
-        known = last if known is None else known.unionByName(last)
+        known = last if known is None else known.unionByName(last).hint("merge")
         before = known.select(*NODE, *parts).join(told.select(*NODE), NODE, "left_semi")
         both = told.select(*NODE, *parts, *[F.col(c).alias(f"new_{c}") for c in parts]).unionByName(
             before.select(*NODE, *parts, *[zero.alias(f"new_{c}") for c in parts]))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from repotide.operators.graph import NODE, Log, rounds
 from repotide.operators.windows import keep_last, number_rows
-from repotide.session import REPO, cut, cut_counting
+from repotide.session import REPO, cut_counting
+from repotide.session import cut_wide as cut
 
 HIGH_RISK_DEPENDENTS = 50
 HIGH_RISK_TOP = 10

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from repotide.operators.graph import (
     NODE, component_of, condense, cyclic_nodes, degrees, fix_graph, importers_of, spread, topo_batches, topo_order)
 from repotide.operators.windows import batches, keep_last, number_rows
-from repotide.session import REPO, cut
+from repotide.session import REPO
+from repotide.session import cut_wide as cut
 
 MAX_ROOT_CAUSES = 8
 COVER_SHARE = 0.7

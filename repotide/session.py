@@ -62,13 +62,24 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_wide(df: DataFrame) -> DataFrame:
+    """``cut`` for the tables of loops: joins with them sort and merge, whatever their size.
+
+    A table below the broadcast limit would otherwise go through the driver again in every round.
+    """
+    table = cut(df)
+    out = table.hint("merge")
+    out._repotide_table = table._repotide_table
+    return out
+
+
 def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """``cut(df)``, its number of rows as ``rows``, and the numbers of rows for which the conditions ``counts`` hold.
+    """``cut_wide(df)``, its number of rows as ``rows``, and the numbers of rows for which the conditions ``counts`` hold.
 
     The numbers are observed while the table is written, so a loop needs no second job to see whether it is done.
     """
     seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]))
+    out = cut_wide(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]))
     found = seen.get
     return out, {n: int(found.get(n) or 0) for n in ("rows", *counts)}
 

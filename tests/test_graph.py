@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repotide.operators import graph
 from repotide.plans import impact, repair, waves
+from repotide.session import cut_counting
 
 REPOS, NODES = 60, 9
 
@@ -359,3 +360,19 @@ def test_propagation_rows_do_not_grow(spark, monkeypatch):
     got = {r.node: (r.level, r.cause) for r in impact.propagate(_links(spark, zip(names, names[1:])), start, None).collect()}
     assert got == {names[11 - k]: (k, names[12 - k]) for k in range(1, 12)}
     assert all(not t.startswith("array") for kinds in written for t in kinds)
+
+
+def test_rounds_send_no_table_through_the_driver(spark, frames, monkeypatch):
+    """Joins of the rounds sort and merge although every table here is far below the broadcast limit."""
+    nodes, edges = frames
+    plans = []
+
+    def seen(df, **counts):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut_counting(df, **counts)
+
+    monkeypatch.setattr(graph, "cut_counting", seen)
+    graph.topo_layers(edges, nodes)
+    graph.reach_counts(edges, nodes)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
