@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from repotide.catalog.registry import query
 from repotide.fixtures import table
-from repotide.session import checkpoint_dir
+from repotide.session import checkpoint_dir, cut_counting, release
 from repotide.sources import board, files, reports
 
 
@@ -18,6 +21,47 @@ def _(spark, sf):
     return files.scan_snapshot(table(spark, sf, "fx_files")).select("repo_id", "path", "dir", "name", "ext")
 
 
+FILES_A_TASK = 1000  # files of the tree that a task writes
+
+
+def _write_files(root):
+    """Writer of Arrow batches (id, repo_id, folder, value) as one text file a row, in folders named as Spark names partitions."""
+    special = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+    name = lambda v: special.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else "__HIVE_DEFAULT_PARTITION__"
+
+    def write(batches):
+        made = set()
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = os.path.join(root, f"repo_id={name(row['repo_id'])}", f"folder={name(row['folder'])}")
+                if place not in made:
+                    os.makedirs(place, exist_ok=True)
+                    made.add(place)
+                # The number is the row's, so a task that runs twice writes the same files.
+                with open(os.path.join(place, f"part-{row['id']}.txt"), "wb") as out:
+                    out.write((row["value"] or "").encode() + b"\n")
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+    return write
+
+
+def write_tree(code, root, rows):
+    """One text file per row of ``code`` (repo_id, folder, value; a table made by ``cut``) below the URI ``root``.
+
+    On a file system the tasks write plain files: Spark's writer starts a process for the permissions of each file
+    and moves it twice. Other stores take Spark's writer. Either way a task gets a bounded share of the files.
+    """
+    tasks, place = rows // FILES_A_TASK + 1, re.sub("^file:(//)?(?=/)", "", root)
+    if not place.startswith("/"):
+        code.repartition(tasks).write.option("maxRecordsPerFile", 1).option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("repo_id", "folder").text(root)
+        return
+    numbered = code.withColumn("id", F.monotonically_increasing_id()).repartition(tasks)
+    os.makedirs(place, exist_ok=True)
+    written = numbered.mapInArrow(_write_files(place), "files long").agg(F.sum("files")).first()[0] or 0
+    if written != rows:
+        raise RuntimeError(f"{written} of {rows} files were written")
+
+
 def _folder(spark, name):
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -29,8 +73,9 @@ def _(spark, sf):
     # A tree of one file per source file, in folders by repository and directory, listed by its URI.
     root = _folder(spark, "tree")
     folder = F.translate("dir", "/ ", "._").alias("folder")
-    table(spark, sf, "fx_code").select("repo_id", folder, F.col("content").alias("value")).write.option(
-        "maxRecordsPerFile", 1).partitionBy("repo_id", "folder").text(root)
+    code, size = cut_counting(table(spark, sf, "fx_code").select("repo_id", folder, F.col("content").alias("value")))
+    write_tree(code, root, size["rows"])
+    release(code)
     found = files.scan_files(spark, root, extensions=(".txt",), with_content=True)
     return found.groupBy("repo_id", "dir").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
                                                F.sum("line_count").cast("bigint").alias("lines"))

@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from repotide import fixtures
+from repotide import fixtures, session
+from repotide.catalog import source_queries
 from repotide.functions import globs, scanners
 from repotide.operators import enrich, entropy, extract, filters, graph, windows
 from repotide.plans import impact
@@ -175,3 +176,16 @@ def test_test_map_joins_on_file_numbers(spark, tmp_path):
     assert on_pairs == [False, True]  # the join has only equal keys, the SQL's has a condition on all pairs
     assert got.columns == want.columns
     assert got.count() and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_tree_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """The files lie in the folders that Spark's writer would make, with the same bytes; a task writes a few."""
+    odd = ["a_b.c", "x=1#2%", "quo'te\"", "b[0]{z]^", "q?*:\\w", "", None]
+    rows = [(repo, folder, text) for repo in ("r1", None) for folder in odd for text in ("one\ntwo", "ümlaut", "", None, "one\ntwo")]
+    code = session.cut(spark.createDataFrame(rows, "repo_id string, folder string, value string").coalesce(1))
+    code.write.option("maxRecordsPerFile", 1).partitionBy("repo_id", "folder").text(f"{tmp_path}/spark")
+    monkeypatch.setattr(source_queries, "FILES_A_TASK", 10)
+    source_queries.write_tree(code, (tmp_path / "tasks").as_uri(), len(rows))
+    tree = lambda d: Counter((str(f.parent.relative_to(d)), f.read_bytes()) for f in d.rglob("part-*.txt"))
+    assert len(list((tmp_path / "tasks").rglob("*.txt"))) == len(rows)
+    assert tree(tmp_path / "tasks") == tree(tmp_path / "spark")
