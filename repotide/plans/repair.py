@@ -30,7 +30,8 @@ def potential_cover(edges: DataFrame, failing_map: DataFrame) -> DataFrame:
     dag = cut(condense(edges, cyclic))
     above = importers_of(dag, involved).select(REPO, F.col("node").alias("dst"))
     links = dag.join(above, [REPO, "dst"], "left_semi").select(REPO, F.col("src").alias("node"), F.col("dst").alias("next"))
-    pushed = spread(links, failing.select(REPO, F.col("test_path").alias("start"), F.col("component").alias("node")))
+    # Written as one table: a semi join goes below the union of the rounds, and what joins that union next fails in Spark 4.1.
+    pushed = cut(spread(links, failing.select(REPO, F.col("test_path").alias("start"), F.col("component").alias("node"))))
     covered = pushed.join(involved, NODE, "left_semi").select(REPO, F.col("node").alias("component"), F.col("start").alias("test_path"))
     return failing.select(*NODE, "component").distinct().join(covered, [REPO, "component"]).select(*NODE, "test_path")
 
