@@ -206,13 +206,22 @@ SELECT o_orderkey AS run_id, 'r' || CAST(o_orderkey % 4 AS STRING) AS repo_id, o
   CASE o_orderstatus WHEN 'O' THEN 0 ELSE 1 END AS exit_code
 FROM orders"""
 
-# What Spark reads: the same rows, but the test map joins on equal file numbers. With the repository as its only
-# equal key a task would hold one whole and compare all its tests with all its files.
-SPARK_VIEWS: dict[str, str] = {**VIEWS, "fx_test_map": """
-SELECT t.repo_id, t.file_id AS test_id, t.path AS test_path, s.file_id AS source_id, s.path AS source_path,
+# What Spark reads: the same rows. The test map joins on equal file numbers; with the repository as its only equal key
+# a task would hold one whole and compare all its tests with all its files. Shipments are reduced to a row per part
+# first, so that a query that reads the files several times does it once. Part is small as a file and large in memory:
+# below the broadcast limit it would go through the driver in every join, so what grows joins by sort-merge.
+SPARK_VIEWS: dict[str, str] = {
+    **VIEWS,
+    "fx_files": """
+SELECT /*+ MERGE(l) */ p.file_id, p.repo_id, p.k, p.dir, p.path, p.p_size * 2 AS line_count, max(l.shipped) AS mtime
+FROM fx_paths p JOIN (SELECT l_partkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_partkey) l ON l.l_partkey = p.file_id
+GROUP BY p.file_id, p.repo_id, p.k, p.dir, p.path, p.p_size""",
+    "fx_test_map": """
+SELECT /*+ MERGE(s) */ t.repo_id, t.file_id AS test_id, t.path AS test_path, s.file_id AS source_id, s.path AS source_path,
   t.mtime AS test_mtime, s.mtime AS source_mtime
 FROM (SELECT * FROM fx_files LATERAL VIEW explode(array(4, 8)) AS step WHERE path LIKE '%.test.%') t
-JOIN fx_files s ON s.repo_id = t.repo_id AND s.file_id = t.file_id + t.step"""}
+JOIN fx_files s ON s.repo_id = t.repo_id AND s.file_id = t.file_id + t.step""",
+    "fx_test_results": VIEWS["fx_test_results"].replace("SELECT", "SELECT /*+ MERGE(t) */", 1)}
 
 
 def with_views(query: str, views: dict[str, str] = VIEWS) -> str:

@@ -178,6 +178,24 @@ def test_test_map_joins_on_file_numbers(spark, tmp_path):
     assert got.count() and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
+def test_files_and_results_send_no_table_to_the_driver(spark, tmp_path):
+    """Null and repeated keys, null dates, parts without shipments: the SQL's rows, and what grows joins by sort-merge."""
+    part = [(4 * i, "red a" if i % 3 == 0 else "blue a", "B#1", "T A", size) for i in range(12) for size in (20, 4 + i, 20)]
+    part += [(None, "red a", "B#1", "T A", 20), (8, None, "B#1", "T A", 20), (3, "red b", "B#1", "T A", None), (100, "red c", "B#1", "T A", 9)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    shipped = [(i % 52 if i % 9 else None, datetime.date(2020, 1, 1 + i % 28) if i % 52 != 4 and i % 5 else None) for i in range(400)]
+    spark.createDataFrame(shipped, "l_partkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = [(i, datetime.datetime(2020, 1, 1 + i % 9), i % 15 if i % 7 else None, ("error", "signup", "view", None)[i % 4], i / 3 if i % 8 else None) for i in range(90)]
+    spark.createDataFrame([*seen, *seen[:20]], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    for name, joins in (("fx_files", 1), ("fx_test_map", 3), ("fx_test_results", 2)):
+        got = fixtures.table(spark, str(tmp_path), name)
+        want = spark.sql(fixtures.with_views(f"SELECT * FROM {name}"))
+        assert got.columns == want.columns and got.schema == want.schema
+        assert got.count() and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == joins
+
+
 def test_tree_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
     """The files lie in the folders that Spark's writer would make, with the same bytes; a task writes a few."""
     odd = ["a_b.c", "x=1#2%", "quo'te\"", "b[0]{z]^", "q?*:\\w", "", None]
