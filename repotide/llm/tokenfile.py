@@ -55,11 +55,11 @@ class _Writer:
         self.docs: list[tuple[int, int]] = []  # (doc_id, ids) still to be covered by blocks
         self.first = self.doc = 0
 
-    def add(self, doc_id: int | None, data: bytes) -> None:
-        ids = np.frombuffer(data, "<u4")
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: list[int]) -> None:
+        """Documents whose ids follow each other, so many of each."""
         self.ids.append(ids)
         self.held += len(ids)
-        self.docs.append((NULL_ID if doc_id is None else doc_id, len(ids)))
+        self.docs += zip((NULL_ID if d is None else d for d in doc_ids), counts, strict=True)
 
     def flush(self, last: bool) -> Iterator[pa.RecordBatch]:
         """Rows for the whole blocks held; with ``last`` for the rest too."""
@@ -102,16 +102,14 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
     committer, so a lost executor leaves nothing behind.
     """
     folder = folder or f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(TaskContext.get().partitionId())
-        encode = encoder(path).encode
+        encode = encoder(path).encode_flat
         for rows in parts:
-            ids = rows.column("doc_id")
+            doc_ids = rows.column("doc_id").to_pylist()
             for first, texts in batches(rows, "text"):
-                for i, data in enumerate(encode(texts)):
-                    writer.add(ids[first + i].as_py(), data + end)
+                ids, ends = encode(texts)
+                writer.add(doc_ids[first:first + len(texts)], np.insert(ids, ends, end_id), (np.diff(ends, prepend=0) + 1).tolist())
                 yield from writer.flush(False)
         yield from writer.flush(False)
         yield from writer.flush(True)

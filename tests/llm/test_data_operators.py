@@ -1,6 +1,7 @@
 """Token files, sharding, the Jaccard join, packing and the pipeline against brute force."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import brute
@@ -38,6 +39,28 @@ def test_cache_bound_changes_nothing(monkeypatch):
     assert [encoder.encode([t])[0] for t in texts] == tokens.ChunkEncoder().encode(texts)
 
 
+def test_words_are_learnt_once_whatever_mark_follows():
+    encoder = tokens.ChunkEncoder()
+    first = "x Alpha été beta 12"
+    encoder.encode([first])
+    known = set(encoder.known)
+    texts = ["x Alpha, été. beta! 12: Alpha", 'x beta" Alpha) été; beta?\nx Alpha\nx été,\nx', "x (beta) 12.5 http://été...\n\nx 'tis Alpha's"]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == brute.token_ids(text, 0).tolist()[:-1]
+    new = set(encoder.known) - known
+    assert not [k for k in new if k.strip("\0,.!:;?)\"\n") in first.split() and k[0] != "\0"]
+    ids, ends = encoder.encode_flat([*texts, None, "", first])
+    assert [ids[b:e].tobytes() for b, e in zip([0, *ends], ends, strict=False)] == encoder.encode([*texts, None, "", first])
+
+
+def test_marks_and_line_ends_between_words():
+    rng, encoder = random.Random(5), tokens.ChunkEncoder()
+    bits = [" ", " ", "a", "The", "été", "ß", "Ж", "ª", "7", ".", ",", "!", ")", "(", '"', "'s", "-", "<", "|>", "<|endoftext|>", "\n", "\n\n", "\r\n", "\xa0", "\0"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 20))) for _ in range(5000)]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == brute.token_ids(text, 0).tolist()[:-1], repr(text)
+
+
 # Coder and token files
 
 def coder_blocks():
@@ -57,6 +80,11 @@ def test_coder_round_trip():
     assert len(coded[7]) < 100 and len(coded[9]) < 100 and len(coded[11]) < 0.5 * 2 * coder.BLOCK
 
 
+def test_coded_bytes_stay():
+    coded = coder.encode_blocks(coder_blocks())
+    assert zlib.crc32(b"".join(coded)) == 2073432186
+
+
 def test_coder_refuses_what_it_cannot_hold():
     with pytest.raises(ValueError):
         coder.encode_blocks([np.array([coder.MOST_ID])])
