@@ -62,11 +62,13 @@ class _Writer:
         self.docs += zip((NULL_ID if d is None else d for d in doc_ids), counts, strict=True)
 
     def flush(self, last: bool) -> Iterator[pa.RecordBatch]:
-        """Rows for the whole blocks held; with ``last`` for the rest too."""
-        if not self.held or not last and self.held < 2 * ABREAST * BLOCK:
-            return
+        """Rows for every ABREAST blocks held; with ``last`` for the rest too."""
+        while self.held >= ABREAST * BLOCK or last and self.held:
+            yield self._code()
+
+    def _code(self) -> pa.RecordBatch:
         stream, self.ids = np.concatenate(self.ids), []
-        use = len(stream) if last else ABREAST * BLOCK
+        use = min(len(stream), ABREAST * BLOCK)
         cut = [stream[i:min(i + BLOCK, use)] for i in range(0, use, BLOCK)]
         coded = encode_blocks(cut)
         records, at = [], 0
@@ -87,10 +89,10 @@ class _Writer:
         self.docs = self.docs[at:]
         self.ids, self.held = [stream[use:].copy()], len(stream) - use
         n = len(records)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([self.part] * n, pa.int32()), pa.array(range(self.written, self.written + n), pa.int64()), pa.array(records, pa.binary())],
-            names=["part", "block", "record"])
         self.written += n
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.part] * n, pa.int32()), pa.array(range(self.written - n, self.written), pa.int64()), pa.array(records, pa.binary())],
+            names=["part", "block", "record"])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -102,6 +104,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
     committer, so a lost executor leaves nothing behind.
     """
     folder = folder or f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(TaskContext.get().partitionId())
         encode = encoder(path).encode_flat
@@ -111,7 +114,6 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
                 ids, ends = encode(texts)
                 writer.add(doc_ids[first:first + len(texts)], np.insert(ids, ends, end_id), (np.diff(ends, prepend=0) + 1).tolist())
                 yield from writer.flush(False)
-        yield from writer.flush(False)
         yield from writer.flush(True)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

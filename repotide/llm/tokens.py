@@ -18,7 +18,7 @@ from repotide.llm.common import keeps
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Entries kept before the cache of chunks starts afresh, ids kept for each of them; bounds memory, never results.
-CACHE, CACHE_IDS = 800_000, 8
+CACHE, CACHE_IDS = 600_000, 8
 #: Chunks that are encoded in one go.
 TOGETHER = 4096
 

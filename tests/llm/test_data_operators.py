@@ -111,6 +111,21 @@ def test_token_files(spark, docs, empty, file_rows, monkeypatch):
     assert tokenfile.read_token_digests(spark, tokenfile.write_tokens(spark, empty)).collect() == []
 
 
+def test_writer_codes_a_bounded_number_of_blocks_at_once(monkeypatch):
+    monkeypatch.setattr(tokenfile, "ABREAST", 3)
+    most, code = [], tokenfile.encode_blocks
+    monkeypatch.setattr(tokenfile, "encode_blocks", lambda blocks: most.append(len(blocks)) or code(blocks))
+    writer, ids = tokenfile._Writer(4), np.random.default_rng(2).integers(0, 50257, 10 * coder.BLOCK + 5).astype("<u4")
+    counts = [1, 0, 9 * coder.BLOCK, coder.BLOCK + 4]
+    writer.add([None, 1, 2, 3], ids, counts)
+    rows = [r for batch in (*writer.flush(False), *writer.flush(True)) for r in batch.to_pylist()]
+    assert most == [3, 3, 3, 2] and [r["block"] for r in rows] == list(range(11))
+    opened = [tokenfile._open(r["record"]) for r in rows]
+    assert (np.concatenate(coder.decode_blocks([o[-1] for o in opened])) == ids).all()
+    assert [o[0] for o in opened] == [i * coder.BLOCK for i in range(11)]
+    assert list(writer.flush(True)) == []
+
+
 def test_crc_of_joined_parts():
     rng = random.Random(1)
     for _ in range(50):
