@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from repotide.llm.common import begin_task, keeps
+from repotide.llm.common import begin_task, fitted, keeps
 from repotide.llm.components import connected
 from repotide.session import cut, release
 
@@ -22,6 +22,11 @@ PERCENT = 80
 #: The hash-ordered prefix is a fifth of a set plus its n / PART next tokens. A smaller PART costs more tokens
 #: and needs more of them shared before two sets become candidates: 27 % at 10, 33 % at 8, 40 % at 5.
 PART = 8
+#: Sets of at most so many tokens make candidates by all of them: the rarest fifth of a whole set tells sets that are put
+#: together from common lines apart, where the rarest part of a prefix does not.
+WHOLE = 256
+#: Sets that share a token with at most so many are told apart pair by pair before they make a group.
+LIGHT = 16
 #: Sets that one task joins among themselves; larger candidate groups are joined in chunks of so many.
 GROUP = 512
 #: Tokens that one task holds of such a group or chunk; groups with more are large, whatever their number of sets.
@@ -36,6 +41,7 @@ BROADCAST_ROWS = 500_000
 CELLS = 1 << 25
 
 _MASK = (1 << 48) - 1
+_WHOLE_BIT = 48  # set in the tokens of whole sets, so that those never meet the tokens of prefixes
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS_KEPT = 500_000
 
@@ -90,9 +96,20 @@ def prefix_sizes(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return min(n, prefix), min(n, prefix) - max(1, least // PART) + 1
 
 
+def candidate_tokens(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The hashes of a set that make candidates, cut to 48 bits: all of at most WHOLE, marked, and the hash-ordered
+    prefix of a set that may be linked with a larger one than that. So two linked sets meet as whole ones or by prefixes."""
+    cut_, parts = (s & np.uint64(_MASK)).astype(np.int64), []
+    if len(s) <= WHOLE:
+        parts.append(cut_ | (1 << _WHOLE_BIT))
+    if len(s) >= _least_overlap(WHOLE + 1, percent):
+        parts.append(cut_[:prefix_sizes(len(s), percent)[0]])
+    return np.concatenate(parts)
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, key, tokens): size and content hash of each document's set, and its hash-ordered prefix,
-    cut to 48 bits, once for every different set of a partition (copies are told apart by content).
+    """(doc_id, n, key, tokens): size and content hash of each document's set, and the tokens that make candidates,
+    once for every different set of a partition (copies are told apart by content).
 
     Tokens only make candidates, so hashes that fall together cost time, not results.
     """
@@ -112,29 +129,67 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         prefixes.append(None)
                     else:
                         seen.add(key)
-                        prefixes.append((s[:prefix_sizes(len(s), percent)[0]] & np.uint64(_MASK)).astype(np.int64))
+                        prefixes.append(candidate_tokens(s, percent))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(sizes, pa.int32()), pa.array(keys), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "tokens"])
 
     return docs.mapInArrow(run, "doc_id long, n int, key string, tokens array<long>")
 
 
+def _once(sets: DataFrame) -> DataFrame:
+    """The sets with tokens, each content once, under its smallest id (and again in other partitions with that id)."""
+    held, content = sets.filter("tokens is not null"), F.xxhash64("key").alias("content")
+    first = held.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1")
+    again = fitted(held.join(first, "key").filter("doc_id != least").select("doc_id", content).distinct())
+    return held.select("doc_id", "n", "tokens", content).join(again, ["doc_id", "content"], "left_anti")
+
+
 def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(edges u, v between sets that share a rare enough token; node, n, weight of those sets)."""
-    tokens = sets.select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
+    """(edges u, v between sets that share a rare enough token; node, n, weight of those sets).
+
+    Sets that share it with few others become an edge only if their tokens have enough in common, else chance
+    meetings would chain most sets into one group as the table grows. Those that share it with many become a star.
+    """
+    tokens = _once(sets).select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    scheme = (F.shiftright("token", _WHOLE_BIT) == 1).alias("whole")
+    rows = tokens.join(shared, "token").groupBy("node", "n", scheme).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     least = -F.floor(-F.col("n") * percent / 100)
-    prefix = F.least(F.col("n"), F.col("n") - least + F.greatest(F.lit(1), F.floor(F.col("n") / PART)))
-    rare = prefix - F.greatest(F.lit(1), F.floor(least / PART)) + 1
+    part = F.least(F.col("n"), F.col("n") - least + F.greatest(F.lit(1), F.floor(F.col("n") / PART)))
+    prefix = F.when(F.col("whole"), F.col("n")).otherwise(part)
+    rare = prefix - F.when(F.col("whole"), least).otherwise(F.greatest(F.lit(1), F.floor(least / PART))) + 1
     # Tokens that nothing shares come first and take their places; what is left goes to shared ones.
     left = (rare - (prefix - F.size("t"))).cast("int")
     weight = F.aggregate("t", F.lit(0).cast("double"), lambda a, x: a + x["df"]) / F.col("n")
-    kept = cut(rows.filter(left > 0).select("node", "n", weight.alias("weight"), F.slice(F.col("t.token"), F.lit(1), left).alias("tokens")))
-    stars = kept.select("node", F.explode("tokens").alias("token"))
-    heads = stars.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", "head")
-    edges = stars.join(heads, "token").filter("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    return edges, kept.select("node", "n", "weight")
+    kept = cut(rows.filter(left > 0).select(
+        "node", "n", "whole", weight.alias("weight"), F.col("t.token").alias("shared"), F.slice(F.col("t.token"), F.lit(1), left).alias("tokens")))
+    stars = kept.select("node", "n", "whole", F.explode("tokens").alias("token"))
+    heads = stars.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("k")).filter("k > 1")
+    met = cut(stars.join(heads, "token"))
+    many = met.filter(F.col("k") > LIGHT).filter("node != head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    edges = _alike(met.filter(F.col("k") <= LIGHT), kept, percent).unionByName(many).distinct()
+    return edges, kept.groupBy("node", "n").agg(F.max("weight").alias("weight"))
+
+
+def _alike(light: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the sets with a common token in ``light`` whose tokens in ``kept`` have as many in common as linked sets must.
+
+    Whole sets must share what links them. Prefixes share a part of the smaller set at least (see ``prefix_sizes``).
+    Tokens that came twice in a set count for it, so hashes that fall together lose nothing.
+    """
+    one = light.select("token", "whole", F.col("node").alias("u"), F.col("n").alias("a"))
+    other = light.select("token", F.col("node").alias("v"), F.col("n").alias("b"))
+    near = one.join(other, "token").filter("u < v").filter(
+        (100 * F.col("a") >= percent * F.col("b")) & (100 * F.col("b") >= percent * F.col("a")))
+    pairs = near.select("whole", "u", "a", "v", "b").distinct()
+    twice = F.size("shared") - F.size(F.array_distinct("shared"))
+    left = kept.select("whole", F.col("node").alias("u"), F.col("n").alias("a"), F.col("shared").alias("x"), twice.alias("spare"))
+    right = kept.select("whole", F.col("node").alias("v"), F.col("n").alias("b"), F.col("shared").alias("y"))
+    common = F.size(F.array_intersect("x", "y")) + F.col("spare")
+    linked = common * (100 + percent) >= percent * (F.col("a") + F.col("b"))
+    part = F.greatest(F.lit(1), F.floor(F.least("a", "b") / PART))
+    enough = F.when(F.col("whole"), linked).otherwise(common >= F.least(part, -F.floor(-percent * F.greatest("a", "b") / 100)))
+    return pairs.join(left, ["whole", "u", "a"]).join(right, ["whole", "v", "b"]).filter(enough).select("u", "v")
 
 
 def _places(tokens: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -387,6 +442,15 @@ def _with_text(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     return docs.join(side, docs["doc_id"] == side["node"]).drop("doc_id")
 
 
+def _by_ids(sets: DataFrame) -> DataFrame:
+    """(u, v) of ids that have several contents with the ids that stood for these contents."""
+    known = sets.filter("n > 0 and doc_id is not null").select("doc_id", "key")
+    several = known.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("doc_id")
+    theirs = known.join(fitted(several), "doc_id").distinct()
+    stand = sets.filter("tokens is not null").groupBy("key").agg(F.min("doc_id").alias("v"))
+    return theirs.join(stand, "key").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v")
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document, by links of at least ``percent`` Jaccard.
@@ -395,10 +459,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     (ids should be unique) are linked with each other through it; a row with a null id has no component
     beyond itself (null) and links nothing. An empty table gives an empty result, other columns are ignored.
 
-    1. Every different set of a partition emits the beginning of its hashes, 30 % of them. Document
-       frequencies of these tokens order each beginning by rarity, and only the part that a partner must meet
-       makes candidates; what no other set has drops out here.
-    2. Sets that share such a token form candidate groups (stars, then components; no pairs are written).
+    1. Every different set emits the beginning of its hashes, 30 % of them, or all where it has at most WHOLE.
+       Document frequencies of these tokens order each beginning by rarity, and only the part that a partner must
+       meet makes candidates; what no other set has drops out here.
+    2. Sets that share such a token form candidate groups: pairs whose tokens have enough in common where at most
+       LIGHT sets share it, else stars, then components. So no token makes more than LIGHT pairs a set.
     3. In each group a trie of the ordered sets finds all links; groups of more than GROUP sets or TOKENS tokens
        are joined in chunks with leaders until nothing is left to find.
     """
@@ -416,6 +481,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         rows = _with_text(known, large.select("node", "comp", "weight", "chunks"), n)
         rows = rows.withColumn("content", F.sha2("text", 256)).dropDuplicates(["node", "content"]).drop("content")
         links = links.unionByName(_join_large(spark, rows, words, percent))
+    links = links.unionByName(_by_ids(sets))
     classes = connected(links)
     # Documents of one content share the class of the one that stood for them, whatever its partition.
     contents = sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"))

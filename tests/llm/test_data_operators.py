@@ -297,6 +297,63 @@ def test_prefix_sizes_lose_no_partner():
         assert part(x) & part(y)
 
 
+def test_linked_sets_meet_as_whole_ones_or_by_prefixes():
+    rng, mark = random.Random(9), 1 << jaccard._WHOLE_BIT
+    for _ in range(600):
+        a = rng.randint(150, 400)
+        union = rng.randint(a, -(-a * 100 // 80))
+        common = -(-80 * union // 100)
+        if common > a:
+            continue
+        universe = rng.sample(range(1 << 40), union)
+        x, y = (np.array(sorted(u), np.uint64) for u in (universe[:a], universe[a - common:]))
+        small, large = sorted((len(x), len(y)))
+        one, other = ({int(t) for t in jaccard.candidate_tokens(s)} for s in (x, y))
+        whole = {t for t in one & other if t & mark}
+        if large <= jaccard.WHOLE:
+            assert len(whole) == common
+        else:
+            assert not whole and len(one & other) >= max(1, small // jaccard.PART)
+
+
+def line_rows(count=400, lines=30):
+    """Texts of three common lines each, some with a word more: any two may share lines, few are linked."""
+    rng = random.Random(17)
+    common = [brute.prose(800 + i, 6, 10**6) for i in range(lines)]
+    texts = [" ".join(rng.sample(common, 3)) for _ in range(count)]
+    return [(2 * i, t) for i, t in enumerate(texts + [f"{t} more" for t in texts[::10]])]
+
+
+def test_common_lines_do_not_chain_sets_into_one_group(spark):
+    data = line_rows()
+    sets = cut(jaccard._sets(brute.frame(spark, data).repartition(4), 5, 80))
+    edges, _ = jaccard._candidates(sets, 80)
+    groups = components.connected(edges).groupBy("root").count().collect()
+    assert 20 <= len(groups) and max(r["count"] for r in groups) <= 40  # before: one group of nearly all
+    got = jaccard.jaccard_components(spark, brute.frame(spark, data).repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(data)
+
+
+@pytest.mark.parametrize("light", [1, 16])
+def test_sets_of_about_the_size_taken_whole(spark, light, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    rows = []
+    for c in range(24):
+        words = brute.prose(1000 + c, 200 + 6 * c, 10**6).split()
+        rows += [" ".join(words), " ".join(words[:len(words) * 9 // 10]), " ".join(words[len(words) // 5:]), " ".join(words + words[:c])]
+    data = [(5 + i, t) for i, t in enumerate(rows)]
+    got = jaccard.jaccard_components(spark, brute.frame(spark, data).repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(data)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_an_id_with_several_texts_links_their_copies(spark, parts):
+    a, b = brute.prose(41, 60), brute.prose(42, 60)
+    rows = [(7, a), (5, a), (5, b), (3, b + " x"), (2, a + " x"), (9, b), (11, brute.prose(43, 60))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark, brute.frame(spark, rows).repartition(parts)).collect()}
+    assert got == {**dict.fromkeys((2, 3, 5, 7, 9), 2), 11: 11}
+
+
 def test_components_by_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
