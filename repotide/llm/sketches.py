@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +71,27 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ",")
 
 
+def _place(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted ``bounds`` are at most ``value`` (none for null): a binary search, one comparison a bit.
+
+    The bounds are one literal and every step's place is bound, so the expression follows the number of bits, not
+    a power of it.
+    """
+    if not bounds:
+        return F.lit(0)
+
+    def further(edges: Column, step: int) -> Callable[[Column], Column]:
+        return lambda p: F.when(F.coalesce(F.get(edges, p + (step - 1)) <= value, F.lit(False)), p + step).otherwise(p)
+
+    def search(edges: Column) -> Column:
+        place = F.lit(0)
+        for bit in reversed(range(len(bounds).bit_length())):
+            place = let(place, further(edges, 1 << bit))
+        return place
+
+    return let(F.split(F.lit(",".join(str(int(b)) for b in bounds)), ",").cast("array<bigint>"), search)
+
+
 def with_next(docs: DataFrame, order: str, carry: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``next_<c>`` for each column in ``carry``: its value in the next row by ``order`` (nulls first,
     then by the carried columns); the last row gets the first one's.
@@ -80,17 +103,7 @@ def with_next(docs: DataFrame, order: str, carry: list[str], range_rows: int = R
     n = rows_in(docs)
     parts = max(1, min(MOST_RANGES, n // range_rows))
     bounds = sorted(set(docs.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    if bounds:
-        edges = F.array(*[F.lit(int(b)) for b in bounds])
-        # A binary search over the sorted boundaries, one comparison a bit.
-        place: Column = F.lit(0)
-        step = 1 << max(0, len(bounds).bit_length() - 1)
-        while step:
-            place = (lambda p, s: F.when(F.coalesce(F.get(edges, p + s - 1) <= F.col(order), F.lit(False)), p + s).otherwise(p))(place, step)
-            step >>= 1
-    else:
-        place = F.lit(0)
-    ranged = docs.withColumn("__range", place)
+    ranged = docs.withColumn("__range", _place(F.col(order), bounds))
     # The first id of every range and of the one after it; at most MOST_RANGES rows.
     first = ranged.groupBy("__range").agg(F.min(F.struct(F.col(order).alias("o")))["o"].alias("o"))
     ring = Window.orderBy("__range")

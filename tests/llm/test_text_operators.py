@@ -285,6 +285,15 @@ def test_language_slices_and_parts_change_nothing(monkeypatch):
         assert max(abs(g - w).max() for g, w in zip(got, want, strict=True)) < 1e-5
 
 
+def test_next_rows_with_many_ranges(spark):
+    """Some thousand ranges: the lookup of a range must follow the number of bits, not a power of it."""
+    ids = [*range(-50, 20_000, 3), *range(100, 400, 3), None, 2**40]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(5)
+    got = Counter((r["doc_id"], r["next_doc_id"]) for r in sketches.with_next(df, "doc_id", ["doc_id"], 3).collect())
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert got == Counter(zip(order, order[1:] + order[:1], strict=True))
+
+
 # Fingerprints
 
 @pytest.mark.parametrize("size", [5, 2000])
