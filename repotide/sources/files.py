@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 from repotide.functions.paths import CODE_EXTENSIONS, base_name, dir_name, extension, not_excluded
 from repotide.functions.text import line_count
 from repotide.operators.windows import keep_last
-from repotide.session import REPO
+from repotide.session import REPO, cut_counting
 
 # Marker file -> (language, framework), in order of precedence.
 LANGUAGE_MARKERS = [
@@ -39,6 +42,83 @@ PACKAGE_MANAGERS = [("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.loc
                     ("package-lock.json", "npm")]
 
 
+FOLDERS_A_TASK = 64  # folders that a task lists
+FILES_A_TASK = 1000  # files that a task reads
+BATCH_BYTES = 8 << 20  # of content in one Arrow batch, or one file
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's file sources leave out."""
+    if folder and name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _lister(endings: tuple[str, ...]):
+    """Lists folders (Arrow batches with ``file``): folders, and files with one of the endings in either case that are
+    not empty, as Spark's file sources do."""
+    schema = pa.schema([("file", pa.string()), ("folder", pa.bool_()), ("mtime", pa.timestamp("us", "UTC")), ("length", pa.int64())])
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for folder in batch.column("file").to_pylist():
+                with os.scandir(folder) as entries:
+                    for entry in entries:
+                        try:
+                            if _hidden(entry.name, folder=entry.is_dir()):
+                                continue
+                            if entry.is_dir():
+                                rows.append((entry.path, True, None, None))
+                            elif entry.name.lower().endswith(endings) and (state := entry.stat()).st_size:
+                                rows.append((entry.path, False, state.st_mtime_ns // 1_000_000 * 1000, state.st_size))
+                        except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                            continue
+                        if len(rows) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _read_contents(batches):
+    """Adds ``content`` to Arrow batches of files, in batches of about BATCH_BYTES."""
+    for batch in batches:
+        start, held, contents = 0, 0, []
+        for i, file in enumerate(batch.column("file").to_pylist()):
+            with open(file, "rb") as source:
+                contents.append(source.read())
+            held += len(contents[-1])
+            if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                part = batch.slice(start, len(contents))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], names=[*part.schema.names, "content"])
+                start, held, contents = i + 1, 0, []
+
+
+def _listed(spark: SparkSession, root: str, endings: tuple[str, ...], with_content: bool) -> DataFrame:
+    """(file, mtime, length, content) of the files below a folder of a file system, level by level.
+
+    Tasks list the folders of a level and read the files, so the driver holds neither. A task lists FOLDERS_A_TASK
+    folders, one at least; what it finds is written as it comes. ``content`` is null unless asked for.
+    """
+    level, count, found = spark.createDataFrame([(root,)], "file string"), 1, []
+    while count:
+        spread = level.repartition(count // FOLDERS_A_TASK + 1)
+        entries, seen = cut_counting(spread.mapInArrow(_lister(endings), "file string, folder boolean, mtime timestamp, length long"), folders=F.col("folder"))
+        found.append((entries, seen["rows"] - seen["folders"]))
+        level, count = entries.filter("folder").select("file"), seen["folders"]
+    files = found[0][0]
+    for entries, _ in found[1:]:
+        files = files.unionByName(entries)
+    files = files.filter("not folder").select("file", "mtime", "length")
+    if not with_content:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    spread = files.repartition(sum(n for _, n in found) // FILES_A_TASK + 1)
+    return spread.mapInArrow(_read_contents, "file string, mtime timestamp, length long, content binary")
+
+
 def scan_files(spark: SparkSession, root: str, repo: str | None = None, extensions=CODE_EXTENSIONS,
                modified_after: str | None = None, with_content: bool = False) -> DataFrame:
     """Inventory of the files below ``root``: path, directory, time, and content when asked for.
@@ -46,19 +126,27 @@ def scan_files(spark: SparkSession, root: str, repo: str | None = None, extensio
     Without ``repo`` the folders directly below ``root`` are the repositories (``name`` or ``repo_id=name``), all
     listed in one scan, and paths are relative to them; files beside these folders belong to none and go.
 
-    ``root`` is a path or URI of any store that Spark reads. The extension list, in either case, becomes
-    the file source's glob filter, so other files are never listed as input; ``content`` is read only when
-    selected.
+    ``root`` is a path or URI of any store that Spark reads. Files without one of the extensions, in either case, are
+    never input; ``content`` is read only when asked for. A folder of a file system is listed and read by tasks. In other
+    stores the extension list becomes the file source's glob filter, and the driver holds the list of all files.
     """
-    either = lambda ext: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
-    reader = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*{" + ",".join(map(either, extensions)) + "}"))
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    raw = reader.load(root)
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
-    whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath()
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    qualified = store.makeQualified(folder).toUri()
+    whole = qualified.getPath().rstrip("/") or "/"
+    if qualified.getScheme() == "file" and os.path.isdir(whole):
+        raw = _listed(spark, whole, tuple(e.lower() for e in extensions), with_content)
+        if modified_after:
+            raw = raw.filter(F.col("mtime") > F.lit(modified_after).cast("timestamp"))
+        raw = raw.withColumnsRenamed({"file": "path", "mtime": "modificationTime"})
+    else:
+        either = lambda ext: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+        reader = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", "*{" + ",".join(map(either, extensions)) + "}"))
+        if modified_after:
+            reader = reader.option("modifiedAfter", modified_after)
+        raw = reader.load(root)
     tail = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")  # scheme and host
     rel = F.substr(tail, F.lit(len(whole.rstrip("/")) + 2))
     if repo is None:

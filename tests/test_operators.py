@@ -198,6 +198,30 @@ def test_scan_files_from_disk(spark, tmp_path):
     assert nodes.count() == 2 and [tuple(r) for r in edges.collect()] == [("r", "a.js", "b.js")] and exports.first()["symbol"] == "x"
 
 
+def test_scan_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILES_A_TASK", 7)
+    monkeypatch.setattr(files, "FOLDERS_A_TASK", 2)
+    for i in range(40):
+        place = tmp_path / f"repo_id=r{i % 3}" / f"folder=a b%2F{i % 5}" / ("deep" if i % 4 == 0 else ".")
+        place.mkdir(parents=True, exist_ok=True)
+        (place / f"part-{i}.{'TXT' if i % 7 == 0 else 'txt'}").write_bytes(b"a\xc3\xa9\n" * i)
+    for name in ("_SUCCESS", "_x=1.txt", "._y.txt", "_y.txt", "z.txt._COPYING_", "_metadata.txt", "no.text"):
+        (tmp_path / "repo_id=r0" / name).write_text("1")
+    (tmp_path / "repo_id=r1" / "gone.txt").symlink_to(tmp_path / "nothing.txt")
+    (tmp_path / "repo_id=r1" / "_hidden").mkdir()
+    (tmp_path / "repo_id=r1" / "_hidden" / "h.txt").write_text("1")
+    found = files.scan_files(spark, tmp_path.as_uri(), extensions=(".txt",), with_content=True)
+    assert "BinaryFile" not in found._jdf.queryExecution().toString()  # that source lists all files on the driver
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").load(str(tmp_path))
+    want = {(r.path.split(f"{tmp_path}/repo_id=")[1], r.modificationTime, r.length, bytes(r.content).decode()) for r in raw.collect()}
+    got = found.collect()
+    assert {(f"{r.repo_id}/{r.path}", r.mtime, r.bytes, r.content) for r in got} == want and len(got) == len(want) == 40
+    assert not files.scan_files(spark, str(tmp_path), extensions=(".txt",), modified_after="2999-01-01T00:00:00").count()
+    assert files.scan_files(spark, str(tmp_path), extensions=(".txt",), modified_after="2001-01-01T00:00:00").count() == len(got)
+    (tmp_path / "empty").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "empty"), "r").count() == 0
+
+
 @pytest.mark.parametrize("dialect", ["bad"])
 def test_unknown_framework_is_refused(spark, dialect):
     with pytest.raises(ValueError):
